@@ -5,19 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .automaton import bpe_round_trip
 from .common import load
+from .packing import pack_documents
 from .simhash import simhash_near_dups
 from .substrings import substring_dedup
+from .token_counts import count_tokens
 
 
 def op1_simhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_near_dups(load(spark, sf_dir, "documents"))
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(load(spark, sf_dir, "documents"), cap=2048)
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(load(spark, sf_dir, "documents"), limit=4096)
+
+
+def op8_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bpe_round_trip(load(spark, sf_dir, "documents"))
+    ids = F.concat_ws(",", F.col("ids").cast("array<string>"))
+    return found.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup(load(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dups, op9_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dups, op4_best_fit_packing, op5_token_counts, op8_bpe_automaton, op9_substring_dedup)}
 ORACLE: dict[str, str] = {}
