@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import languages
 from .automaton import bpe_round_trip
 from .common import load
 from .packing import pack_documents
 from .simhash import simhash_near_dups
 from .substrings import substring_dedup
 from .token_counts import count_tokens
+from .urls import judge_urls
 
 
 def op1_simhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +27,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(load(spark, sf_dir, "documents"), limit=4096)
 
 
+def op7_url_language_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(load(spark, sf_dir, "pages"))
+
+
 def op8_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = bpe_round_trip(load(spark, sf_dir, "documents"))
     ids = F.concat_ws(",", F.col("ids").cast("array<string>"))
@@ -36,5 +42,11 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dups, op4_best_fit_packing, op5_token_counts, op8_bpe_automaton, op9_substring_dedup)}
+def op10_language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    model = languages.train(docs.where(~languages.held_out()))
+    return languages.identify(docs, model).select("doc_id", languages.held_out().alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dups, op4_best_fit_packing, op5_token_counts, op7_url_language_models, op8_bpe_automaton, op9_substring_dedup, op10_language_filters)}
 ORACLE: dict[str, str] = {}
