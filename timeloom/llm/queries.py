@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from . import languages
 from .automaton import bpe_round_trip
 from .common import load
+from .embeddings import embedding_near_dups
+from .matroska import matroska_features, store_matroska
 from .packing import pack_documents
 from .simhash import simhash_near_dups
 from .substrings import substring_dedup
@@ -19,6 +21,10 @@ def op1_simhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_near_dups(load(spark, sf_dir, "documents"))
 
 
+def op2_embedding_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_near_dups(load(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(load(spark, sf_dir, "documents"), cap=2048)
 
@@ -27,6 +33,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(load(spark, sf_dir, "documents"), limit=4096)
 
 
+def op6_matroska_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matroska_features(store_matroska(load(spark, sf_dir, "documents")))
+
+
 def op7_url_language_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(load(spark, sf_dir, "pages"))
 
@@ -48,5 +58,5 @@ def op10_language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages.identify(docs, model).select("doc_id", languages.held_out().alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dups, op4_best_fit_packing, op5_token_counts, op7_url_language_models, op8_bpe_automaton, op9_substring_dedup, op10_language_filters)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dups, op2_embedding_near_dups, op4_best_fit_packing, op5_token_counts, op6_matroska_media, op7_url_language_models, op8_bpe_automaton, op9_substring_dedup, op10_language_filters)}
 ORACLE: dict[str, str] = {}
