@@ -72,6 +72,8 @@ def grams_of(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 def predict(f: Filter, texts: list[str]) -> tuple[list[str], np.ndarray]:
+    if not f.languages:
+        return [UNKNOWN] * len(texts), np.zeros(len(texts))
     grams, doc, has = grams_of(texts, f.order)
     n = np.bincount(doc, minlength=len(texts))
     mask = f.slots[_slot(grams, 0, len(f.slots))]
@@ -89,12 +91,14 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", p
     """The filter of the `top` most frequent n-grams of each language, from at most about `per_language` of its rows.
 
     These rows are drawn evenly by a hash of the text; the languages' numbers of rows are counted over all. Up to 64 languages;
-    rows with a null text or language teach nothing. Without any row the filter knows no language: an error.
+    rows with a null text or language teach nothing. Without any row the filter knows no language and every text is `und`.
     """
     known = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     count = {r[0]: r[1] for r in known.groupBy(lang_col).count().limit(65).collect()}
-    if not 0 < len(count) <= 64:
-        raise ValueError(f"{len(count)} languages; 1 to 64 can be learned")
+    if len(count) > 64:
+        raise ValueError("at most 64 languages can be learned")
+    if not count:
+        return Filter([], np.zeros(1, np.uint64), order, hashes)
     share = F.create_map(*[F.lit(x) for k, n in count.items() for x in (k, min(1.0, per_language / n))])
     drawn = known.where(F.pmod(F.xxhash64(text_col), F.lit(1_000_000)) < share[F.col(lang_col)] * 1_000_000)
 
@@ -108,6 +112,7 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", p
                 yield pa.record_batch([pa.array([lang] * len(g), pa.string()), pa.array(g.view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
 
     counted = drawn.select(text_col, lang_col).mapInArrow(run, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    # the languages' tops are found by task first; what meets for one language are its distinct n-grams
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     chosen = counted.withColumn("r", rank).where(F.col("r") <= top).select("lang", "gram").toPandas()  # at most 64 * top rows
     languages = sorted(count)

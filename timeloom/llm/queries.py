@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import languages
+from . import languages, pii
 from .automaton import bpe_round_trip
 from .common import load
 from .embeddings import embedding_near_dups
@@ -25,6 +25,15 @@ def op2_embedding_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_near_dups(load(spark, sf_dir, "embeddings"), threshold=0.9)
 
 
+def op3_pii_random_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """n_*: how many spans of the patterns; n_added: how many more the field finds."""
+    found = pii.find_pii(load(spark, sf_dir, "documents"), pii.train(pii.labelled_table(spark)))
+    joined = lambda c: F.concat_ws(",", F.transform(c, lambda s: F.concat_ws(":", s.kind, s.start, s.end)))
+    counts = [F.expr(f"cast(size(filter(base, s -> s.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in pii.KINDS]
+    added = (F.size("spans") - F.size("base")).cast("bigint").alias("n_added")
+    return found.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"), added)
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(load(spark, sf_dir, "documents"), cap=2048)
 
@@ -58,5 +67,5 @@ def op10_language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages.identify(docs, model).select("doc_id", languages.held_out().alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dups, op2_embedding_near_dups, op4_best_fit_packing, op5_token_counts, op6_matroska_media, op7_url_language_models, op8_bpe_automaton, op9_substring_dedup, op10_language_filters)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dups, op2_embedding_near_dups, op3_pii_random_field, op4_best_fit_packing, op5_token_counts, op6_matroska_media, op7_url_language_models, op8_bpe_automaton, op9_substring_dedup, op10_language_filters)}
 ORACLE: dict[str, str] = {}
