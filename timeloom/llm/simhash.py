@@ -64,7 +64,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def _links(fps: list[int], max_bits: int, shared: int) -> np.ndarray:
     """Edges (i, j) that connect the linked fingerprints of one posting list: all links when it is short, enough of them when
     it is long."""
-    x = np.unique(np.asarray(fps, np.int64)).view(np.uint64)
+    x = np.unique(np.asarray(fps, np.int64).view(np.uint64))
     if len(x) <= 512:
         i, j = np.triu_indices(len(x), 1)
         differ = x[i] ^ x[j]
