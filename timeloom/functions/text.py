@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Words that the results depend on.
 GENERIC_TERMS = ("畫面", "段落", "片段")
@@ -96,7 +97,7 @@ def first_text(*columns: str) -> Column:
     return F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in columns], F.lit(""))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """Compatibility-normalised text with white space collapsed."""
     return text.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFKC", t).split()))

@@ -10,6 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from ..functions.text import strip_generic_terms
+from .dense import query_variants
 
 #: fn(list of dicts) gives for each one a dict of the output columns and cost_usd, or raises.
 BatchFn = Callable[[list[dict]], list[dict]]
@@ -24,6 +28,8 @@ def apply_model(df: DataFrame, in_cols: list[str], fn: BatchFn, out_schema: str,
     own: null outputs, no cost, and what went wrong. Limits of rate are waited for and tried again."""
     out = T.StructType.fromDDL(out_schema)
     schema = T.StructType([*df.schema.fields, *out.fields]).add("cost_usd", "double").add("error", "string")
+    columns, names = df.columns, [*out.names, "cost_usd", "error"]
+    target = to_arrow_schema(schema)
 
     def ask(rows: list[dict]) -> list[dict]:
         for attempt in range(retries + 1):
@@ -45,15 +51,11 @@ def apply_model(df: DataFrame, in_cols: list[str], fn: BatchFn, out_schema: str,
             return [x for r in rows for x in answers([r])] if len(rows) > 1 else [{"cost_usd": 0.0, "error": f"{type(e).__name__}: {e}"}]
 
     def run(batches):
-        from pyspark.sql.pandas.types import to_arrow_schema
-
-        target = to_arrow_schema(schema)
         for b in batches:
             rows = b.select(in_cols).to_pylist()
             got = [x for i in range(0, len(rows), batch) for x in answers(rows[i : i + batch])]
-            names = [*out.names, "cost_usd", "error"]
             added = [pa.array([x.get(n) for x in got], target.field(n).type) for n in names]
-            yield pa.RecordBatch.from_arrays([*(b.column(c).cast(target.field(c).type) for c in df.columns), *added], schema=target)
+            yield pa.RecordBatch.from_arrays([*(b.column(c).cast(target.field(c).type) for c in columns), *added], schema=target)
 
     return df.mapInArrow(run, schema)
 
@@ -75,9 +77,6 @@ def embed_columns(segments: DataFrame, columns: dict[str, str], fn: BatchFn, **o
 def prepare_queries(queries: DataFrame, translate: BatchFn, embed: BatchFn, **options) -> tuple[DataFrame, DataFrame]:
     """(query_id, variant, vector) of each query's text and translations (columns zh, en), and the cost of each query; a failed translation
     leaves the text alone."""
-    from ..functions.text import strip_generic_terms
-    from .dense import query_variants
-
     cleaned = queries.select("query_id", strip_generic_terms(F.col("query")).alias("query"))
     translated = apply_model(cleaned, ["query"], translate, "zh string, en string", **options)
     variants = query_variants(translated, "zh", "en")

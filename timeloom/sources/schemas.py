@@ -14,7 +14,13 @@ _DDL = {
     "jobs": "id int, job_type string, video_id int, source_url string, status string, stage string, progress_percent int, progress_message string, error_message string, cost_usd double, created_at string, started_at string, completed_at string",
     "conversations": "id int, state_json string, total_cost_usd double, created_at string, updated_at string",
 }
-SCHEMAS = {name: T.StructType.fromDDL(ddl) for name, ddl in _DDL.items()}
+
+
+def schema_of(name: str) -> T.StructType:
+    """The schema of one of the six tables."""
+    return T.StructType.fromDDL(_DDL[name])
+
+
 #: Columns that are computed and so never copied.
 GENERATED = {"segments": ("content",)}
 
@@ -30,7 +36,7 @@ def fit(df: DataFrame, schema: T.StructType) -> DataFrame:
 def load_table(spark: SparkSession, path: str, name: str) -> DataFrame:
     """One of the six tables from Parquet; columns added since a file was written are null."""
     found = spark.read.option("mergeSchema", "true").parquet(path)
-    return fit(found, SCHEMAS[name])
+    return fit(found, schema_of(name))
 
 
 def load_jdbc(spark: SparkSession, url: str, name: str, bounds: tuple[int, int] | None = None, partitions: int = 8, **options: str) -> DataFrame:
@@ -38,7 +44,7 @@ def load_jdbc(spark: SparkSession, url: str, name: str, bounds: tuple[int, int]
     reader = spark.read.format("jdbc").options(url=url, dbtable=name, **options)
     if bounds:
         reader = reader.options(partitionColumn="id", lowerBound=bounds[0], upperBound=bounds[1], numPartitions=partitions)
-    return fit(reader.load(), SCHEMAS[name])
+    return fit(reader.load(), schema_of(name))
 
 
 def with_content(segments: DataFrame) -> DataFrame:

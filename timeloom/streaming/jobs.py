@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 STATE = "job_id bigint, status string, stage string, progress_percent int, progress_message string, error_message string, cost_usd double, completed_at timestamp"
-SILENCE_MS = 3_600_000
 INTERRUPTED = "interrupted by a restart"
 
 
@@ -42,7 +41,7 @@ def job_state(events: DataFrame) -> DataFrame:
 _KEPT = "status string, stage string, percent int, message string, error string, cost double, completed timestamp"
 
 
-def _step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def _step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, silence_ms: int | None) -> Iterator[pd.DataFrame]:
     status, stage, percent, message, error, cost, completed = state.get if state.exists else ("running", None, None, None, None, None, None)
     if state.hasTimedOut:
         if status == "running":
@@ -62,15 +61,21 @@ def _step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Ite
                 percent = int(r.percent) if not pd.isna(r.percent) else percent
                 message = r.message if r.message is not None else message
     state.update((status, stage, percent, message, error, cost, completed))
-    if status == "running":
-        state.setTimeoutDuration(SILENCE_MS)
+    if status == "running" and silence_ms:
+        state.setTimeoutDuration(silence_ms)
     yield pd.DataFrame({"job_id": [key[0]], "status": [status], "stage": [stage], "progress_percent": pd.array([percent], "Int32"), "progress_message": [message], "error_message": [error], "cost_usd": [cost], "completed_at": [completed]})
 
 
-def job_state_stream(events: DataFrame) -> DataFrame:
-    """The stream twin of job_state in update mode: a row for each job that had events. A job that stays silent for an hour
-    fails. A finished job's state stays, so that late events can't open it again."""
-    return events.groupBy("job_id").applyInPandasWithState(_step, STATE, _KEPT, "update", GroupStateTimeout.ProcessingTimeTimeout)
+def job_state_stream(events: DataFrame, silence_ms: int | None = None) -> DataFrame:
+    """The stream twin of job_state in update mode: a row for each job that had events. A finished job's state stays, so that late
+    events can't open it again. With silence_ms a job that is silent for so long fails; such a stream needs a trigger that goes on,
+    as it waits for the clock."""
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if silence_ms else GroupStateTimeout.NoTimeout
+
+    def step(key, batches, state):
+        return _step(key, batches, state, silence_ms)
+
+    return events.groupBy("job_id").applyInPandasWithState(step, STATE, _KEPT, "update", timeout)
 
 
 def reconcile_after_restart(jobs: DataFrame, videos: DataFrame) -> tuple[DataFrame, DataFrame]:
