@@ -74,6 +74,17 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _dump(keys: pa.Array) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, pa.schema([("key", keys.type)])) as out:
+        out.write_batch(pa.record_batch([keys], ["key"]))
+    return sink.getvalue().to_pybytes()
+
+
+def _load(data: bytes) -> pa.Array:
+    return pa.ipc.open_stream(data).read_next_batch().column(0)
+
+
 def embedding_near_dups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, tile: int = TILE) -> DataFrame:
     """(id_col, n_links, component_id, kept) for every row: how many other rows are linked to it directly, the smallest id that
     it reaches by links, its own included, and whether that is its own.
@@ -87,17 +98,19 @@ def embedding_near_dups(vectors: DataFrame, id_col: str = "vec_id", vector_col:
     v = F.col("v")
     usable = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    rows = rows.select(F.monotonically_increasing_id().alias("row"), "id", "v", F.coalesce(usable, F.lit(False)).alias("ok"))
-    rows = materialize(rows, "vectors")
+    # a key of each row in the order of the ids, so that a group's least key names its component
+    key = F.struct(F.col("id").isNull().alias("missing"), "id", F.monotonically_increasing_id().alias("row"))
+    rows = materialize(rows.select(key.alias("key"), "id", "v", F.coalesce(usable, F.lit(False)).alias("ok")), "vectors")
+    kind = rows.schema["key"].dataType.simpleString()
     count = rows.where("ok").count()
     tiles = max(1, math.ceil(count / tile))
 
     def pack(group: pa.Table) -> pa.Table:
         u = _unit(np.asarray(group.column("v").combine_chunks().flatten()).reshape(group.num_rows, -1))
         blob = lambda x: pa.array([x.tobytes()])
-        return pa.table({"dim": pa.array([u.shape[1]], pa.int32()), "tile": group.column("tile").slice(0, 1), "rows": blob(np.asarray(group.column("row"))), "u": blob(u)})
+        return pa.table({"dim": pa.array([u.shape[1]], pa.int32()), "tile": group.column("tile").slice(0, 1), "rows": pa.array([_dump(group.column("key").combine_chunks())]), "u": blob(u)})
 
-    dealt = rows.where("ok").select("row", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("row"), F.lit(tiles)).cast("int").alias("tile"))
+    dealt = rows.where("ok").select("key", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("key.row"), F.lit(tiles)).cast("int").alias("tile"))
     packed = materialize(dealt.groupBy("dim", "tile").applyInArrow(pack, "dim int, tile int, rows binary, u binary"), "tiles")
     # tile i meets the tiles i to i + tiles // 2, counted round: each pair once, each tile in as many pairs
     half = tiles // 2
@@ -113,7 +126,7 @@ def embedding_near_dups(vectors: DataFrame, id_col: str = "vec_id", vector_col:
             for k in range(b.num_rows):
                 get = lambda c: b.column(c)[k].as_py()  # noqa: E731, B023
                 dim, same = get("dim"), get("tile") == get("other")
-                read = lambda r, u: (np.frombuffer(get(r), np.int64), np.frombuffer(get(u)).reshape(-1, dim))  # noqa: E731, B023
+                read = lambda r, u: (_load(get(r)), np.frombuffer(get(u)).reshape(-1, dim))  # noqa: E731, B023
                 (rx, ux), (ry, uy) = read("rows", "u"), read("rows2", "u2")
                 n, links = np.zeros(len(rx) + len(ry), np.int64), []
                 for i, j in _links((ux, *quantise(ux)), (uy, *quantise(uy)), threshold, same):
@@ -123,15 +136,13 @@ def embedding_near_dups(vectors: DataFrame, id_col: str = "vec_id", vector_col:
                 if not links:
                     continue
                 i, j = np.concatenate(links, 1)
-                ids, root = np.r_[rx, ry], _roots(len(n), i, j)
+                keys, root = pa.concat_arrays([rx, ry]), _roots(len(n), i, j)
                 hit = np.flatnonzero(n)
-                yield pa.record_batch([pa.array(ids[hit]), pa.array(ids[root[hit]]), pa.array(n[hit])], ["row", "root", "n"])
-
-    found = materialize(pairs.mapInArrow(work, "row bigint, root bigint, n bigint"), "links")
-    links = found.groupBy("row").agg(F.sum("n").alias("n_links"))
-    groups = components(found.select(F.col("row").alias("a"), F.col("root").alias("b")))
-    named = rows.select("row", "id").join(links, "row", "left").join(groups.withColumnRenamed("node", "row"), "row", "left")
-    smallest = named.where("root is not null").groupBy("root").agg(F.min("id").alias("least"))
-    out = named.join(smallest, "root", "left")
-    component = F.coalesce("least", "id")
+                yield pa.record_batch([keys.take(pa.array(hit)), keys.take(pa.array(root[hit])), pa.array(n[hit])], ["key", "root", "n"])
+
+    found = materialize(pairs.mapInArrow(work, f"key {kind}, root {kind}, n bigint"), "links")
+    links = found.groupBy("key").agg(F.sum("n").alias("n_links"))
+    groups = components(found.select(F.col("key").alias("a"), F.col("root").alias("b")))
+    out = rows.select("key", "id").join(links, "key", "left").join(groups.withColumnRenamed("node", "key"), "key", "left")
+    component = F.coalesce("root.id", "id")
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
