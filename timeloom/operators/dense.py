@@ -130,6 +130,11 @@ def dense_channel(queries: DataFrame, segments: DataFrame, events: DataFrame | N
     return out.groupBy("query_id", "id").agg(*best, F.max("score").alias("similarity"))
 
 
+def video_texts(videos: DataFrame) -> DataFrame:
+    """(video_id, text) by which a video is judged: its summary, or its title where there is none."""
+    return videos.select(F.col("id").alias("video_id"), F.coalesce(F.nullif(F.col("summary"), F.lit("")), F.col("title")).alias("text"))
+
+
 def relevant_videos(scores: DataFrame, least: float = 0.10, margin: float = 0.15) -> DataFrame:
     """From (query_id, video_id, score) the videos within `margin` of each query's best, for queries with two or more videos and
     a best of at least `least`; the other queries have no rows, which means no filter."""
