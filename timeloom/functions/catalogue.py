@@ -7,15 +7,15 @@ from pyspark.sql import functions as F
 
 # Topics in the order that decides between equals, with their keywords; the topic of the rest.
 TOPICS = {
-    "運動賽事": "世界盃 fifa 足球 梅西 messi 球賽 棒球 龍隊 全場精華 進球 籃球 nba 中職 球員 賽事 冠軍戰 de_paul dribbling 球隊 比賽 過人",
-    "科技與製造": "晶片 chip 半導體 工廠 工厂 主板 主機板 技嘉 intel 台積電 生產線 制造 製程 wafer factory 顯卡 cpu 板卡 電子產品 製造",
-    "教學課程": "python 程式 教學 入門 新手 安裝 code 開發 javascript 零基礎 課程 tutorial 軟體 education 教育 學習 單字 認識",
-    "數學與科學": "線性代數 向量 數學 微積分 矩陣 物理 化學 生物 定理 公式",
-    "美食料理": "壽司 料理 食譜 烹飪 美食 做法 甜點 餐廳 recipe cooking sushi 海苔 米飯 食谱 烹饪 甜点 餐厅 米饭 家常菜 下飯 下饭 翻炒 爆炒 stir_fry",
-    "旅遊": "旅遊 觀光 景點 行程 一日遊 遊記 自由行 travel 地理 關東 近畿",
-    "音樂": "mv 演唱會 專輯 樂團 鋼琴 吉他 music 歌曲 音樂",
-    "新聞時事": "新聞 報導 快訊 記者 選舉 疫情 股市 政府",
-    "人物與娛樂": "最美 beautiful_faces 名人 明星 排行 榜單 訪談 綜藝 搞笑 vlog 最美麗",
+    "運動賽事": "世界盃, fifa, 足球, 梅西, messi, 球賽, 棒球, 龍隊, 全場精華, 進球, 籃球, nba, 中職, 球員, 賽事, 冠軍戰, de paul, dribbling, 球隊, 比賽, 過人",
+    "科技與製造": "晶片, chip, 半導體, 工廠, 工厂, 主板, 主機板, 技嘉, intel, 台積電, 生產線, 制造, 製程, wafer, factory, 顯卡, cpu, 板卡, 電子產品, 製造",
+    "教學課程": "python, 程式, 教學, 入門, 新手, 安裝, code, 開發, javascript, 零基礎, 課程, tutorial, 軟體, education, 教育, 學習, 單字, 認識",
+    "數學與科學": "線性代數, 向量, 數學, 微積分, 矩陣, 物理, 化學, 生物, 定理, 公式",
+    "美食料理": "壽司, 料理, 食譜, 烹飪, 美食, 做法, 甜點, 餐廳, recipe, cooking, sushi, 海苔, 米飯, 食谱, 烹饪, 甜点, 餐厅, 米饭, 家常菜, 下飯, 下饭, 翻炒, 爆炒, stir fry",
+    "旅遊": "旅遊, 觀光, 景點, 行程, 一日遊, 遊記, 自由行, travel, 地理, 關東, 近畿",
+    "音樂": "mv, 演唱會, 專輯, 樂團, 鋼琴, 吉他, music, 歌曲, 音樂",
+    "新聞時事": "新聞, 報導, 快訊, 記者, 選舉, 疫情, 股市, 政府",
+    "人物與娛樂": "最美, beautiful faces, 名人, 明星, 排行, 榜單, 訪談, 綜藝, 搞笑, vlog, 最美麗",
 }
 OTHER_TOPIC = "其他"
 TITLE_WEIGHT, SUMMARY_WEIGHT = 3, 1
@@ -36,7 +36,7 @@ def keyword_score(title: Column, summary: Column, words: list[str]) -> Column:
 def topic(title: Column, summary: Column, topics: dict[str, str] | None = None, other: str = OTHER_TOPIC) -> Column:
     """The topic whose keywords score highest, a title's more than a summary's; of equals the first, without any `other`."""
     rules = TOPICS if topics is None else topics
-    scored = [F.struct(keyword_score(title, summary, [w.replace("_", " ") for w in words.split()]).alias("score"), F.lit(-i).alias("at"), F.lit(name).alias("topic")) for i, (name, words) in enumerate(rules.items())]
+    scored = [F.struct(keyword_score(title, summary, words.split(", ")).alias("score"), F.lit(-i).alias("at"), F.lit(name).alias("topic")) for i, (name, words) in enumerate(rules.items())]
     best = F.array_max(F.array(*scored))
     return F.when(best["score"] > 0, best["topic"]).otherwise(other)
 

@@ -10,7 +10,7 @@ from ..functions.text import first_text, strip_generic_terms
 from ..operators.dense import dense_channel, prefilter_videos, relevant_videos, vector_scores
 from ..operators.fusion import MIN_FUSION, MIN_SIMILARITY, is_confident, rrf, rrf_pruned, top_results
 from ..operators.sparse import LIMIT, exclude_negated, in_scope, sparse_channel
-from ..sources.tables import stage
+from ..sources.tables import small, stage
 
 #: Fixed value: the title of a segment whose video isn't among the analysed ones.
 UNKNOWN_TITLE = "未知影片"
@@ -46,7 +46,7 @@ def hybrid_search(
     """
     cleaned = queries.withColumn("query", strip_generic_terms(F.col("query")))
     rows = segments.select("id", "video_id", "start_sec")
-    scoped = rows.join(F.broadcast(cleaned.select("query_id", "scope")), in_scope(F.col("scope"), F.col("video_id")))
+    scoped = rows.join(small(cleaned.select("query_id", "scope")), in_scope(F.col("scope"), F.col("video_id")))
     if video_vectors is not None:
         relevance = vector_scores(query_vectors, video_vectors.select("video_id", "vector"), "video_id")
         free = cleaned.where("scope is null").select("query_id")

@@ -559,7 +559,7 @@ def library_sorted(spark, d):
     return top.select("id", F.coalesce("analyzed_at", "created_at").alias("_a")).select(F.row_number().over(Window.orderBy(F.desc("_a"), "id")).cast("bigint").alias("place"), "id")
 
 
-_TOPICS = {"urgent": "urgent high", "low": "low", "other priority": "specified medium 11"}
+_TOPICS = {"urgent": "urgent, high", "low": "low", "other priority": "specified, medium, 11"}
 
 
 @query(

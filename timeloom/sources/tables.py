@@ -22,6 +22,11 @@ def stage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """df marked for broadcast if it has at most `most` rows, else as it is."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def scan(df: DataFrame, scope: list[int] | None = None, order: tuple[str, ...] = ("video_id", "start_sec")) -> DataFrame:
     """Rows of the videos in scope, in time order; None is all videos, an empty list none."""
     found = df if scope is None else df.where(F.col("video_id").isin(scope) if scope else F.lit(False))
