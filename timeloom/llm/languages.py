@@ -19,6 +19,8 @@ from .common import text_slices
 from .pretokens import LETTER, char_classes, code_points
 
 UNKNOWN = "und"
+#: Bytes of text whose n-grams are held at once.
+SLICE = 1 << 20
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -103,7 +105,7 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", p
     drawn = known.where(F.pmod(F.xxhash64(text_col), F.lit(1_000_000)) < share[F.col(lang_col)] * 1_000_000)
 
     def run(batches):
-        for b in text_slices(batches, text_col):
+        for b in text_slices(batches, text_col, SLICE):
             langs = b.column(lang_col).dictionary_encode()
             grams, doc, _ = grams_of(b.column(text_col).to_pylist(), order)
             code = np.asarray(langs.indices)[doc]
@@ -137,7 +139,7 @@ def identify(docs: DataFrame, model: Filter, id_col: str = "doc_id", text_col: s
     read = list(dict.fromkeys([*keep, text_col]))
 
     def run(batches):
-        for b in text_slices(batches, text_col):
+        for b in text_slices(batches, text_col, SLICE):
             langs, score = predict(shared.value, pc.fill_null(b.column(text_col), "").to_pylist())
             yield pa.record_batch([*(b.column(c) for c in keep), pa.array(langs, pa.string()), pa.array(score)], [*keep, "lang_pred", "score"])
 

@@ -24,7 +24,7 @@ from .blocks import block_table, unpack
 from .common import utf8_list
 from .text import Words, words_of, xxh64_slices
 
-BLOCK = 6 << 20
+BLOCK = 4 << 20
 CELL_BYTES = 3
 #: Windows that a shard of the sketch holds at most, on average; it has 2 ** 24 cells.
 SHARD_WINDOWS = 1 << 20
