@@ -337,7 +337,7 @@ def _scaled(spark, d):
     return adapters.timeline(spark, d).select("video_id", (F.col("start_sec") / 1000).alias("start_sec"), (F.col("end_sec") / 1000).alias("end_sec"))
 
 
-@query(f"WITH {SPLIT} SELECT video_id, sum(n) AS pieces, round(min(len / n), 5) AS shortest, round(max(len / n), 5) AS longest, round(sum(len), 4) AS total FROM n GROUP BY 1")
+@query(f"WITH {SPLIT} SELECT video_id, CAST(sum(n) AS BIGINT) AS pieces, round(min(len / n), 5) AS shortest, round(max(len / n), 5) AS longest, round(sum(len), 4) AS total FROM n GROUP BY 1")
 def scene_split(spark, d):
     """Scenes of a thousandth of the events' length, split."""
     out = timeline.split_long(_scaled(spark, d))
