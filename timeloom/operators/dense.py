@@ -114,20 +114,48 @@ def event_scores(queries: DataFrame, events: DataFrame) -> DataFrame:
     return scores.groupBy("query_id", F.col("key.segment_id").alias("segment_id")).agg(F.max("score").alias("score"))
 
 
+MODALITIES = ("transcript", "visual", "ocr")
+
+
 def dense_channel(queries: DataFrame, segments: DataFrame, events: DataFrame | None = None) -> DataFrame:
     """(query_id, id, transcript_score, visual_score, ocr_score, similarity) for the segments with any vector.
 
-    segments have three array columns `*_embedding`, of which any may be null; text events raise the on-screen text's score.
+    segments have three array columns `*_embedding`, of which any may be null; they are scored in one pass, without a shuffle. Text
+    events raise the on-screen text's score; only their best scores are joined.
     """
-    out = None
-    for name in ("transcript", "visual", "ocr"):
-        scores = vector_scores(queries, segments.select("id", F.col(f"{name}_embedding").alias("vector"))).select("query_id", "id", F.lit(name).alias("modality"), "score")
-        out = scores if out is None else out.unionAll(scores)
-    if events is not None:
-        of = event_scores(queries, events).select("query_id", F.col("segment_id").alias("id"), F.lit("ocr").alias("modality"), "score")
-        out = out.unionByName(of.join(segments.select("id"), "id", "left_semi"))
-    best = [F.max(F.when(F.col("modality") == m, F.col("score"))).alias(f"{m}_score") for m in ("transcript", "visual", "ocr")]
-    return out.groupBy("query_id", "id").agg(*best, F.max("score").alias("similarity"))
+    spark = segments.sparkSession
+    types = {c: df.schema[c].dataType for c, df in (("query_id", queries), ("id", segments))}
+    q_type = to_arrow_type(types["query_id"])
+    zero = lambda c: F.transform(c, lambda x: F.lit(0.0))
+    vectors = [F.coalesce(unit(F.col(f"{m}_embedding")), zero(f"{m}_embedding")).alias(m) for m in MODALITIES]
+    rows = segments.select("id", *vectors)
+    names = ["query_id", "id", *(f"{m}_score" for m in MODALITIES), "similarity"]
+    schema = f"query_id {types['query_id'].simpleString()}, id {types['id'].simpleString()}, " + ", ".join(f"{n} double" for n in names[2:])
+    out = spark.createDataFrame([], schema)
+    for part in query_slices(queries):
+        shared = spark.sparkContext.broadcast(part)
+
+        def run(batches, shared=shared):
+            ids, matrix, owner = shared.value
+            q = pa.array(ids, q_type)
+            for b in batches:
+                scores = []
+                for m in MODALITIES:
+                    has = b.column(m).is_valid().to_numpy(zero_copy_only=False)
+                    s = np.full((b.num_rows, len(ids)), np.nan)
+                    if has.any():
+                        s[has] = _best(_matrix(b.column(m).drop_null()), matrix, owner, len(ids))
+                    scores.append(s)
+                best = np.fmax.reduce(scores)
+                i, j = np.nonzero(~np.isnan(best))
+                yield pa.record_batch([q.take(pa.array(j)), b.column("id").take(pa.array(i)), *(pa.array(s[i, j], from_pandas=True) for s in (*scores, best))], names)
+
+        out = out.unionAll(rows.mapInArrow(run, schema))
+    if events is None:
+        return out
+    of = event_scores(queries, events).select("query_id", F.col("segment_id").cast(types["id"]).alias("id"), F.col("score").alias("_event"))
+    joined = out.join(of.join(segments.select("id"), "id", "left_semi").select("query_id", "id", "_event"), ["query_id", "id"], "full_outer")
+    return joined.select("query_id", "id", *names[2:4], F.greatest("ocr_score", "_event").alias("ocr_score"), F.greatest("similarity", "_event").alias("similarity"))
 
 
 def video_texts(videos: DataFrame) -> DataFrame:
