@@ -19,23 +19,27 @@ from pyspark.sql import functions as F
 
 from .common import materialize, text_slices, utf8_list
 from .components import components
-from .text import words_of, xxh64_slices
+from .text import Words, words_of, xxh64_slices
 
 #: For each byte the eight bytes 0 or 1 of its bits, lowest bit first.
 SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").copy().view("<u8")[:, 0]
 
 
-def simhash(texts: list[bytes], shingle: int = 3, seed: int = 42) -> np.ndarray:
-    """Each text's fingerprint as uint64: ASCII lower case, shingles with repeats; zero for a text without words."""
-    w = words_of(texts, lower=True)
+def shingle_hashes(w: Words, shingle: int, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all texts' shingles in order, with repeats, and how many each text has: a shorter text is one, an empty one has none."""
     count = np.diff(w.first)
     shingles = np.where(count >= shingle, count - shingle + 1, np.minimum(count, 1))
     ends = np.cumsum(shingles)
-    begins = ends - shingles
-    doc = np.repeat(np.arange(len(texts)), shingles)
-    at = np.arange(ends[-1] if len(ends) else 0) - begins[doc] + w.first[:-1][doc]
+    doc = np.repeat(np.arange(len(count)), shingles)
+    at = np.arange(ends[-1] if len(ends) else 0) - (ends - shingles)[doc] + w.first[:-1][doc]
     last = at + np.minimum(count[doc], shingle) - 1
-    h = xxh64_slices(w.buf, w.start[at], w.end[last], seed)
+    return xxh64_slices(w.buf, w.start[at], w.end[last], seed), shingles
+
+
+def simhash(texts: list[bytes], shingle: int = 3, seed: int = 42) -> np.ndarray:
+    """Each text's fingerprint as uint64: ASCII lower case, shingles with repeats; zero for a text without words."""
+    h, shingles = shingle_hashes(words_of(texts, lower=True), shingle, seed)
+    begins = np.cumsum(shingles) - shingles
     out = np.zeros(len(texts), np.uint64)
     full = np.flatnonzero(shingles)
     if not len(full):
