@@ -17,7 +17,7 @@ from .sources import adapters
 from .sources.adapters import segments, table, vectors, videos
 from .sources.schemas import reconcile
 from .sources.tables import stage
-from .streaming.conversations import conversation_scopes
+from .streaming.conversations import conversation_scopes, history
 from .streaming.jobs import job_state
 from .streaming.tables import log_windows
 
@@ -639,7 +639,7 @@ def turns_of(spark: SparkSession, d: str) -> DataFrame:
     n = F.length("text")
     llm = F.when(n % 3 == 0, F.array((n % 5).cast("int"), (n % 7).cast("int"))).otherwise(F.array().cast("array<int>"))
     ui = F.when(F.col("conv_id") % 2 == 0, F.array(F.lit(0), F.lit(1), F.lit(2), F.lit(3))).otherwise(F.array().cast("array<int>"))
-    return c.select("conv_id", "turn", F.substring("text", 1, 20).alias("message"), action.alias("action"), F.md5("text").alias("query"), llm.alias("llm_video_ids"), ui.alias("ui_video_ids"), (n % 8).cast("int").alias("selected_index"), F.lit(5).alias("n_results"), F.lit(None).cast("string").alias("clarification"))
+    return c.select("conv_id", "turn", F.col("text").alias("message"), action.alias("action"), F.md5("text").alias("query"), llm.alias("llm_video_ids"), ui.alias("ui_video_ids"), (n % 8).cast("int").alias("selected_index"), F.lit(5).alias("n_results"), F.lit(None).cast("string").alias("clarification"))
 
 
 @query(
@@ -666,6 +666,12 @@ def history_tail(spark, d):
     return table(spark, d, "conversations").groupBy("conv_id").agg(lines.alias("l")).select("conv_id", F.md5(F.aggregate("l", F.lit(""), lambda acc, x: append_history(acc, x))).alias("history"))
 
 
+@query("SELECT conv_id, md5(coalesce(right(string_agg(text, chr(10) ORDER BY turn), 800), '')) AS history FROM conversations GROUP BY 1")
+def history_tail_whole(spark, d):
+    """Each conversation's history of its whole turns, its last 800 characters."""
+    return history(table(spark, d, "conversations")).select("conv_id", F.md5("history").alias("history"))
+
+
 @query("SELECT conv_id, turn FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 6")
 def recent_turns(spark, d):
     return catalogue.recent_turns(table(spark, d, "conversations"), 6, "conv_id").select("conv_id", "turn")

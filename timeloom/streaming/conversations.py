@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -122,6 +122,17 @@ def conversation_stream(turns: DataFrame) -> DataFrame:
     return turns.groupBy("conv_id").applyInPandasWithState(_fold, OUT, kept, "append", GroupStateTimeout.NoTimeout)
 
 
+def history(turns: DataFrame, chars: int = HISTORY_CHARS) -> DataFrame:
+    """(conv_id, history): the last `chars` characters of the texts of turns (conv_id, turn, text), a line each. Only the last turns that
+    reach so far are put together; null texts are none."""
+    later = Window.partitionBy("conv_id").orderBy(F.desc("turn"), F.desc("text")).rowsBetween(Window.unboundedPreceding, -1)
+    size = F.coalesce(F.sum(F.length("text") + 1).over(later), F.lit(0))
+    last = turns.select("conv_id", "turn", "text", size.alias("_after"))
+    line = F.when(F.col("text").isNotNull() & (F.col("_after") <= chars), F.struct("turn", F.substring("text", -chars, chars).alias("x")))
+    lines = F.transform(F.array_sort(F.collect_list(line)), lambda t: t["x"])
+    return last.groupBy("conv_id").agg(F.array_join(lines, "\n").alias("_h")).select("conv_id", F.substring("_h", -chars, chars).alias("history"))
+
+
 def select_result(turns: DataFrame, results: DataFrame) -> DataFrame:
     """The turns (conv_id, turn, selected_index) with the chosen earlier result (conv_id, rank, segment_id) and whether it is valid."""
     r = results.select("conv_id", F.col("rank").alias("selected_index"), "segment_id")
