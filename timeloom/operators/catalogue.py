@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.catalogue import topic
 from ..functions.text import has_text
+from ..sources.tables import stage
 
 TEXTS = (("has_transcript", "transcript"), ("has_visual", "visual_description"), ("has_ocr", "ocr_text"))
 #: What a reset blanks.
@@ -57,6 +58,16 @@ def library_sort(videos: DataFrame, column: str = "analyzed_at", desc: bool = Tr
     return videos.orderBy(keys[column].desc() if desc else keys[column].asc(), "id")
 
 
+def places(rows: DataFrame, *order: Column) -> DataFrame:
+    """Adds place: each row's number from 1 on in this order. Rows are numbered inside ranges of the order, and the rows before a
+    range are counted; no task has all of them."""
+    parted = stage(rows.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
+    count = parted.groupBy("_p").agg(F.count("*").alias("_n"))
+    before = count.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    number = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
+    return parted.withColumn("_i", number).join(F.broadcast(before), "_p").withColumn("place", F.col("_i") + F.col("_before")).drop("_p", "_i", "_before")
+
+
 def modality_flags(segments: DataFrame) -> DataFrame:
     """(video_id, has_transcript, has_visual, has_ocr): whether any segment has such a text."""
     return segments.groupBy("video_id").agg(*[F.bool_or(has_text(c)).alias(n) for n, c in TEXTS])

@@ -220,6 +220,16 @@ def rrf_fusion(spark, d):
     return _round(out.select("query_id", "id", "dense_rank", "sparse_rank", "fusion_score"), "fusion_score")
 
 
+@query(f"WITH {FUSED} SELECT query_id, id, dense_rank, sparse_rank, round(fusion_score, 6) AS fusion_score FROM ranked")
+def rrf_fusion_all(spark, d):
+    """Both ranks and the fused score of all rows."""
+    queries, s, whole = _fusion_inputs(spark, d)
+    scores = dense.vector_scores(adapters.query_vectors(spark, d), whole.select("id", "vector")).withColumnRenamed("score", "similarity")
+    scored = stage(scores.join(whole.select("id", "video_id", "start_sec"), "id"))
+    found = sparse.bm25(sparse.query_terms(queries), s, limit=None).join(scored, ["query_id", "id"], "left_semi")
+    return _round(fusion.rrf(scored, found).select("query_id", "id", "dense_rank", "sparse_rank", "fusion_score"), "fusion_score")
+
+
 @query(f"""WITH {FUSED}, best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fusion_score DESC, video_id, start_sec, id) AS rank FROM ranked WHERE similarity >= 0.05 AND fusion_score >= 0.05)
 SELECT query_id, rank, id, round(similarity, 6) AS similarity, round(fusion_score, 6) AS fusion_score FROM best WHERE rank <= 20""")
 def rrf_pruned(spark, d):
@@ -559,6 +569,13 @@ def library_sorted(spark, d):
     return top.select("id", F.coalesce("analyzed_at", "created_at").alias("_a")).select(F.row_number().over(Window.orderBy(F.desc("_a"), "id")).cast("bigint").alias("place"), "id")
 
 
+@query(f"WITH {VID} SELECT row_number() OVER (ORDER BY coalesce(analyzed_at, created_at) DESC, id) AS place, id FROM vi")
+def library_places(spark, d):
+    """Every video's place in the library's default order."""
+    rows = videos(spark, d).select("id", F.coalesce("analyzed_at", "created_at").alias("_a"))
+    return catalogue.places(rows, F.desc("_a"), F.col("id")).select("place", "id")
+
+
 _TOPICS = {"urgent": "urgent, high", "low": "low", "other priority": "specified, medium, 11"}
 
 
