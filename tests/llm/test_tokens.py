@@ -59,6 +59,31 @@ def test_automaton_on_small_merge_lists():
                 assert a.encode(word.encode()) == [vocab[p] for p in pieces], (word, merges)
 
 
+def test_arc_table_is_bounded(library):
+    """A table of few rows is made anew when it is full, and long words go through the same tables."""
+    from timeloom.llm import automaton as A
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    fresh = A.automaton.__wrapped__(path)[0]
+    r = random.Random(6)
+    words = ["".join(r.choice("theainrsUXW?49") for _ in range(r.randint(1, 40))) for _ in range(400)] + ["ab" * 2000, "?" * 500]
+    rows, A.ROWS, A.WORDS = A.ROWS, 300, 50
+    try:
+        got = fresh.encode_words(words)
+    finally:
+        A.ROWS, A.WORDS = rows, 4_096
+    assert fresh._held <= 300
+    pieces, first = A.token_ids(words, A.WordCache(fresh.encode_words), None)
+    assert [pieces[a:b].tolist() for a, b in zip(first, first[1:])] == [e.ids for e in library.encode_batch(words, add_special_tokens=False)]
+    assert got == fresh.encode_words(words)
+
+
+def test_packing_of_very_long_white_space(spark, library):
+    odd = [" " * 1_000_000 + "x", "\n" * 800_000, "a" * 300_000]
+    rows = pack_documents(spark.createDataFrame(list(enumerate(odd)), "doc_id bigint, text string")).collect()
+    check_packing(rows, {i: library.encode(t, add_special_tokens=False).ids for i, t in enumerate(odd)}, 2048)
+
+
 def test_round_trip(docs, odd_docs, no_docs, texts, library):
     want = sorted((i, library.encode(t or "", add_special_tokens=False).ids, t or "") for i, t in texts)
     assert sorted((r.doc_id, r.ids, r.decoded) for r in bpe_round_trip(docs).collect()) == want

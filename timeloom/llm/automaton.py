@@ -2,9 +2,10 @@
 
 The automaton starts as one state with an arc for each byte. A merge (u, v) -> w applies a gadget: after an arc u the arc v is
 cut, and every state that has an arc u gets an arc w, which leads where v led from there. A path's arcs then spell exactly
-the tokens that the merges give. A state is told by the last token, so the gadgets are kept as tables: for each state its
-cut arcs with the number of the merge that cut them, and the state of which it is a copy, as that was at its merge.
-Bytes are read by a second table, a trie of all arc labels with failure transitions; it names the arcs that end at a byte.
+the tokens that the merges give. A state is told by the last token. The gadgets are applied one after the other in the form
+of cut lists, and compiled into two tables, which are all that encoding reads: a row of bits for each state with an arc for each
+token, made when the state is first met, and a dense table of byte transitions over the trie of all arc labels, failures
+resolved, that names the arcs which end at a byte.
 """
 
 from __future__ import annotations
@@ -20,7 +21,11 @@ from pyspark.sql import DataFrame
 from .common import text_slices, tokenizer_file
 from .pretokens import WordCache, token_ids
 
-NEVER = 1 << 62
+NEVER = (1 << 31) - 1
+#: Rows of the arc table that are held at once.
+ROWS = 16_384
+#: Words encoded at once, and the longest of these; longer ones go byte by byte through the same tables.
+WORDS, LONGEST = 4_096, 96
 
 
 @lru_cache(1)
@@ -41,7 +46,6 @@ class TokenAutomaton:
         self.copied: dict[int, tuple[int, int]] = {}
         self.made: dict[int, tuple[int, int]] = {}
         arcs = [vocab[c] for c in letters if c in vocab]
-        self._known: dict[int, bool] = {}
         for k, merge in enumerate(merges):
             a, b = merge if not isinstance(merge, str) else merge.split(" ")
             u, v, w = vocab[a], vocab[b], vocab[a + b]
@@ -51,7 +55,8 @@ class TokenAutomaton:
             self.copied[w] = (v, k)
             self.made[w] = (u, k)
             arcs.append(w)
-        self._trie({self.labels[t]: t for t in arcs})
+        self._compile_arcs(arcs)
+        self._compile_bytes({self.labels[t]: t for t in arcs})
 
     def _cut_at(self, state: int, arc: int) -> int:
         """The number of the merge that cut the arc from the state, NEVER if none did."""
@@ -65,73 +70,159 @@ class TokenAutomaton:
             state, copied = self.copied[state]
             before = min(before, copied)
 
-    def _open(self, state: int, arc: int, at: int = NEVER) -> bool:
+    def _open(self, state: int, arc: int, at: int) -> bool:
         """Whether the state has the arc before merge number `at`: at each of its merges the arc to its left part was there."""
         before = at
         while True:
-            if self._cut_at(state, arc) <= before and self._cut_at(state, arc) != NEVER:
+            if (k := self._cut_at(state, arc)) <= before and k != NEVER:
                 return False
             if arc not in self.made:
                 return True
             arc, before = self.made[arc]
 
-    def allowed(self, state: int, arc: int) -> bool:
-        key = state << 32 | arc
-        found = self._known.get(key)
-        if found is None:
-            if len(self._known) > 500_000:
-                self._known.clear()
-            found = self._known[key] = self._open(state, arc)
-        return found
-
-    def _trie(self, labels: dict[bytes, int]) -> None:
-        move: dict[int, int] = {}
+    def _compile_arcs(self, arcs: list[int]) -> None:
+        """What a row of the arc table is made from: each arc's left part and merge, by how many merges made its left side."""
+        n = max(self.labels) + 1
+        self._arcs = np.array(arcs)
+        self._cuts = {u: (np.fromiter(c, np.int64, len(c)), np.fromiter(c.values(), np.int32, len(c))) for u, c in self.cut.items()}
+        depth: dict[int, int] = {}
+        for t in arcs:
+            depth[t] = depth[self.made[t][0]] + 1 if t in self.made else 0
+        self._levels = []
+        for d in range(1, max(depth.values(), default=0) + 1):
+            level = [t for t in arcs if depth[t] == d]
+            self._levels.append((np.array(level), np.array([self.made[t][0] for t in level]), np.array([self.made[t][1] for t in level], np.int32)))
+        self._row_of = np.full(n, -1, np.int32)
+        self._rows = np.zeros((0, (n + 7) // 8), np.uint8)
+        self._held = 0
+
+    def _row(self, state: int) -> np.ndarray:
+        """A bit for each token: whether the state has its arc after all merges."""
+        cut, before = np.full(len(self._row_of), NEVER, np.int32), NEVER
+        while True:
+            if state in self._cuts:
+                arc, k = self._cuts[state]
+                on = k < before
+                cut[arc[on]] = np.minimum(cut[arc[on]], k[on])
+            if state not in self.copied:
+                break
+            state, copied = self.copied[state]
+            before = min(before, copied)
+        there = np.ones(len(cut), bool)
+        for arc, left, k in self._levels:
+            there[arc] = there[left] & (cut[left] > k)
+        has = np.zeros(len(cut), bool)
+        has[self._arcs] = there[self._arcs] & (cut[self._arcs] == NEVER)
+        return np.packbits(has, bitorder="little")
+
+    def has_arcs(self, state: np.ndarray, arc: np.ndarray) -> np.ndarray:
+        """Whether each state has the arc beside it; at most ROWS different states at once."""
+        new = np.unique(state[self._row_of[state] < 0])
+        if len(new):
+            if self._held + len(new) > ROWS:
+                self._row_of[:] = -1
+                self._held, new = 0, np.unique(state)
+            if self._held + len(new) > len(self._rows):
+                grown = np.zeros((min(ROWS, 2 * (self._held + len(new))), self._rows.shape[1]), np.uint8)
+                grown[: self._held] = self._rows[: self._held]
+                self._rows = grown
+            for x in new.tolist():
+                self._rows[self._held] = self._row(x)
+                self._row_of[x] = self._held
+                self._held += 1
+        return (self._rows[self._row_of[state], arc >> 3] >> (arc & 7).astype(np.uint8) & 1).astype(bool)
+
+    def _compile_bytes(self, labels: dict[bytes, int]) -> None:
+        """go: for each node of the trie of labels and each byte the node of the longest suffix that is in the trie; end: the node of
+        the longest label that ends there, of which token and depth hold; shorter: the same for a shorter label, 0 for none."""
+        children: list[dict[int, int]] = [{}]
         token, depth = [-1], [0]
         for label, t in sorted(labels.items()):
             at = 0
             for b in label:
-                key = at << 8 | b
-                if key not in move:
-                    move[key] = len(token)
+                if b not in children[at]:
+                    children[at][b] = len(children)
+                    children.append({})
                     token.append(-1)
                     depth.append(depth[at] + 1)
-                at = move[key]
+                at = children[at][b]
             token[at] = t
-        # failure transitions, nodes by depth: each node's arcs end where its longest proper suffix's arcs end, too
-        n = len(token)
-        fail, ends = [0] * n, [()] * n
-        for key, node in sorted(move.items(), key=lambda x: depth[x[1]]):
-            at, b = key >> 8, key & 255
-            while at:
-                at = fail[at]
-                if (go := move.get(at << 8 | b)) is not None:
-                    fail[node] = go
-                    break
-            own = ((token[node], depth[node]),) if token[node] >= 0 else ()
-            ends[node] = own + ends[fail[node]]
-        self.move, self.fail, self.ends = move, fail, ends
+        n = len(children)
+        self.go, fail, end, shorter = np.zeros((n, 256), np.int32), np.zeros(n, np.int64), np.zeros(n, np.int32), np.zeros(n, np.int32)
+        for node in sorted(range(n), key=depth.__getitem__):
+            f = fail[node]
+            if node:
+                self.go[node] = self.go[f]
+                shorter[node] = end[f]
+                end[node] = node if token[node] >= 0 else end[f]
+            for b, child in children[node].items():
+                fail[child] = self.go[f, b] if node else 0
+                self.go[node, b] = child
+        # a node without a label of its own goes on with what is shorter than the label that ends there
+        self.end, self.shorter = end, shorter
+        self.token, self.depth = np.array(token, np.int32), np.array(depth, np.int32)
 
     def encode(self, word: bytes) -> list[int]:
         """The tokens of one pre-token. Each prefix has one path, so its last arc is enough to go on with."""
-        move, fail, ends, allowed = self.move, self.fail, self.ends, self.allowed
-        last, step, at = [-1], [0], 0
+        last, step, at = [0], [0], 0
         for j, b in enumerate(word, 1):
-            while (go := move.get(at << 8 | b)) is None:
-                at = fail[at]
-            at = go
-            for t, n in ends[at]:
-                if j == n or allowed(last[j - n], t):
-                    last.append(t)
-                    step.append(n)
+            at = self.go[at, b]
+            node = self.end[at]
+            while True:
+                t, n = int(self.token[node]), int(self.depth[node])
+                if j == n:
                     break
+                u = last[j - n]
+                if self._row_of[u] < 0:
+                    self.has_arcs(np.array([u]), np.array([t]))
+                if self._rows[self._row_of[u], t >> 3] >> (t & 7) & 1:
+                    break
+                node = self.shorter[node]
+            last.append(t)
+            step.append(n)
         out, j = [], len(word)
         while j:
             out.append(last[j])
             j -= step[j]
         return out[::-1]
 
+    def _encode_block(self, words: list[bytes]) -> list[list[int]]:
+        """The tokens of words in the order of their lengths, a byte of all words at a time."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        longest = int(size[-1])
+        data = np.zeros((len(words), longest), np.uint8)
+        data[np.arange(longest) < size[:, None]] = np.frombuffer(b"".join(words), np.uint8)
+        last, step = np.zeros((longest + 1, len(words)), np.int32), np.zeros((longest + 1, len(words)), np.int32)
+        at = np.zeros(len(words), np.int32)
+        for j in range(1, longest + 1):
+            a = int(np.searchsorted(size, j))
+            at[a:] = self.go[at[a:], data[a:, j - 1]]
+            node, todo = self.end[at[a:]], np.arange(a, len(words))
+            while len(todo):
+                t, n = self.token[node], self.depth[node]
+                ok = n == j
+                inner = np.flatnonzero(~ok)
+                ok[inner] = self.has_arcs(last[j - n[inner], todo[inner]], t[inner])
+                last[j, todo[ok]], step[j, todo[ok]] = t[ok], n[ok]
+                node, todo = self.shorter[node[~ok]], todo[~ok]
+        out: list[list[int]] = [[] for _ in words]
+        place, each = size.copy(), np.flatnonzero(size)
+        while len(each):
+            for i, t in zip(each.tolist(), last[place[each], each].tolist(), strict=True):
+                out[i].append(t)
+            place[each] -= step[place[each], each]
+            each = each[place[each] > 0]
+        return [x[::-1] for x in out]
+
     def encode_words(self, words: list[str]) -> list[list[int]]:
-        return [[self.special[w]] if w in self.special else self.encode(w.encode()) for w in words]
+        out: list = [[self.special[w]] if w in self.special else None for w in words]
+        coded = {i: w.encode() for i, w in enumerate(words) if out[i] is None}
+        short = sorted((i for i, b in coded.items() if len(b) <= LONGEST), key=lambda i: len(coded[i]))
+        for k in range(0, len(short), WORDS):
+            part = short[k : k + WORDS]
+            for i, ids in zip(part, self._encode_block([coded[i] for i in part]), strict=True):
+                out[i] = ids
+        return [self.encode(coded[i]) if x is None else x for i, x in enumerate(out)]
 
 
 @lru_cache(2)
@@ -140,6 +231,8 @@ def automaton(path: str) -> tuple[TokenAutomaton, WordCache, np.ndarray, np.ndar
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+    if len(special) > 1:
+        raise ValueError("texts are split at one added token only")
     a = TokenAutomaton(spec["model"]["vocab"], spec["model"]["merges"], special)
     size = [len(a.labels.get(i, b"")) for i in range(max(a.labels) + 1)]
     flat = np.frombuffer(b"".join(a.labels.get(i, b"") for i in range(len(size))), np.uint8)

@@ -8,6 +8,7 @@ place by its rank among the pieces of its length, from a range lookup in the pla
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from functools import lru_cache
 
@@ -35,17 +36,37 @@ def encoder(ranks: str, end_id: int):
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={END: end_id})
 
 
-def pieces_of(docs: DataFrame, id_col: str, text_col: str, cap: int, ranks: str, end_id: int = 50256, closing_id: int = 0) -> DataFrame:
+#: The rank encoder's pattern backtracks over runs of white space and gives up on those of most of a million characters.
+_LONG_BLANK = re.compile(r"\s{100000}")
+
+
+@lru_cache(2)
+def library(vocabulary: str):
+    from tokenizers import Tokenizer
+
+    found = Tokenizer.from_file(vocabulary)
+    found.no_truncation()
+    found.no_padding()
+    return found
+
+
+def token_numbers(text: str, ranks: str, vocabulary: str, end_id: int) -> np.ndarray:
+    """The text's ids: from the rank encoder, or from the slower library if the text has a very long run of white space."""
+    if len(text) >= 100_000 and _LONG_BLANK.search(text):
+        return np.array(library(vocabulary).encode(text, add_special_tokens=False).ids, "<u4")
+    return encoder(ranks, end_id).encode_to_numpy(text, allowed_special="all")
+
+
+def pieces_of(docs: DataFrame, id_col: str, text_col: str, cap: int, ranks: str, vocabulary: str, end_id: int = 50256, closing_id: int = 0) -> DataFrame:
     """(id_col, piece, start, length, ids_crc32, task, nth): each text's tokens and a closing id, cut only beyond `cap` tokens,
     so that all pieces but the first are full; nth counts the task's pieces of this length."""
 
     def run(batches):
         task, nth = TaskContext.get().partitionId(), np.zeros(cap + 1, np.int64)
-        encode = encoder(ranks, end_id).encode_to_numpy
         for b in text_slices(batches, text_col):
             rows, size, crc = [], [], []
             for d, text in enumerate(pc.fill_null(b.column(text_col), "").to_pylist()):
-                ids = np.append(encode(text, allowed_special="all"), closing_id).astype("<u4")
+                ids = np.append(token_numbers(text, ranks, vocabulary, end_id), closing_id).astype("<u4")
                 at = -(-len(ids) // cap) * cap - len(ids)
                 for i in range(-at, len(ids), cap):
                     a, z = max(i, 0), i + cap
@@ -169,7 +190,7 @@ def slots(planned: list[tuple[list[int], int]]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["length", "rank", "sequence", "offset"]).astype("int64").sort_values(["length", "rank"], ignore_index=True)
 
 
-def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cap: int = 2048, ranks: str = "byte_bpe_50k.tiktoken", folder: str | None = None) -> DataFrame:
+def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cap: int = 2048, ranks: str = "byte_bpe_50k.tiktoken", vocabulary: str = "byte_bpe_50k.json", folder: str | None = None) -> DataFrame:
     """(id_col, piece, start, length, ids_crc32, sequence_id, offset): where each piece of each row's tokens goes.
 
     A null or empty text is the closing id alone. Rows with one id stay apart, each with pieces from 0 on. An empty table gives
@@ -177,7 +198,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     several pieces of one length goes where does.
     """
     spark = docs.sparkSession
-    pieces = materialize(pieces_of(docs, id_col, text_col, cap, tokenizer_file(ranks, folder)), "pieces")
+    pieces = materialize(pieces_of(docs, id_col, text_col, cap, tokenizer_file(ranks, folder), tokenizer_file(vocabulary, folder)), "pieces")
     by_task = materialize(pieces.groupBy("length", "task").agg(F.count("*").alias("n")), "lengths")
     count = np.zeros(cap + 1, np.int64)
     for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most cap rows

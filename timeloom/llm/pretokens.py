@@ -117,8 +117,12 @@ def split_units(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
     return _strings(text, chars, run), np.r_[0, count[ends]]
 
 
+HELD_CHARS = 64
+
+
 class WordCache:
-    """What `encode` gives for each distinct word, kept for a worker's later batches; at most `most` words are held."""
+    """What `encode` gives for each distinct word, kept for a worker's later batches; at most `most` words are held, none of more than
+    HELD_CHARS characters."""
 
     def __init__(self, encode, most: int = 200_000):
         self.encode, self.most, self.held = encode, most, {}
@@ -130,7 +134,9 @@ class WordCache:
             if len(self.held) + len(missing) > self.most:
                 self.held = {}
             for i, x in zip(missing, self.encode([words[i] for i in missing]), strict=True):
-                found[i] = self.held[words[i]] = x
+                found[i] = x
+                if len(words[i]) <= HELD_CHARS:
+                    self.held[words[i]] = x
         return found
 
 
