@@ -27,14 +27,14 @@ MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 @dataclass
 class Filter:
     languages: list[str]
-    slots: np.ndarray  # a power of two of uint64 masks
+    slots: np.ndarray  # a power of two of masks, each of as many uint64 words as the languages need
     order: int
     hashes: int
 
     @property
     def false_rate(self) -> np.ndarray:
         """For each language the probability that the filter claims an n-gram that it doesn't have."""
-        return np.array([(self.slots >> np.uint64(i) & np.uint64(1)).mean() ** self.hashes for i in range(len(self.languages))])
+        return np.array([(self.slots[:, i // 64] >> np.uint64(i % 64) & np.uint64(1)).mean() ** self.hashes for i in range(len(self.languages))])
 
 
 def _slot(grams: np.ndarray, i: int, size: int) -> np.ndarray:
@@ -78,10 +78,15 @@ def predict(f: Filter, texts: list[str]) -> tuple[list[str], np.ndarray]:
         return [UNKNOWN] * len(texts), np.zeros(len(texts))
     grams, doc, has = grams_of(texts, f.order)
     n = np.bincount(doc, minlength=len(texts))
-    mask = f.slots[_slot(grams, 0, len(f.slots))]
-    for i in range(1, f.hashes):
-        mask &= f.slots[_slot(grams, i, len(f.slots))]
-    hits = np.stack([np.bincount(doc[(mask >> np.uint64(i) & np.uint64(1)).astype(bool)], minlength=len(texts)) for i in range(len(f.languages))], 1)
+    at = [_slot(grams, i, len(f.slots)) for i in range(f.hashes)]
+    hits = []
+    for i in range(len(f.languages)):
+        if i % 64 == 0:  # the masks' next word
+            mask = f.slots[at[0], i // 64]
+            for x in at[1:]:
+                mask &= f.slots[x, i // 64]
+        hits.append(np.bincount(doc[(mask >> np.uint64(i % 64) & np.uint64(1)).astype(bool)], minlength=len(texts)))
+    hits = np.stack(hits, 1)
     rate = f.false_rate
     true = np.clip((hits - n[:, None] * rate) / (1 - rate), 0, None)
     best = true.argmax(1)
@@ -89,20 +94,21 @@ def predict(f: Filter, texts: list[str]) -> tuple[list[str], np.ndarray]:
     return [f.languages[b] if h else UNKNOWN for b, h in zip(best, has, strict=True)], np.clip(score, 0, 1)
 
 
-def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = 5_000, top: int = 6_000, order: int = 4, hashes: int = 2) -> Filter:
+def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = 5_000, top: int = 6_000, order: int = 4, hashes: int = 2, id_col: str = "doc_id") -> Filter:
     """The filter of the `top` most frequent n-grams of each language, from at most about `per_language` of its rows.
 
-    These rows are drawn evenly by a hash of the text; the languages' numbers of rows are counted over all. Up to 64 languages;
-    rows with a null text or language teach nothing. Without any row the filter knows no language and every text is `und`.
+    These rows are drawn evenly by a hash of the text and, where there is one, the id, so that copies are drawn one by one; the
+    languages' numbers of rows are counted over all. There may be any number of languages: a mask has a bit for each, and the
+    driver holds one number and `top` n-grams for each. Rows with a null text or language teach nothing. Without any row the
+    filter knows no language and every text is `und`.
     """
     known = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    count = {r[0]: r[1] for r in known.groupBy(lang_col).count().limit(65).collect()}
-    if len(count) > 64:
-        raise ValueError("at most 64 languages can be learned")
+    count = {r[0]: r[1] for r in known.groupBy(lang_col).count().collect()}
     if not count:
-        return Filter([], np.zeros(1, np.uint64), order, hashes)
-    share = F.create_map(*[F.lit(x) for k, n in count.items() for x in (k, min(1.0, per_language / n))])
-    drawn = known.where(F.pmod(F.xxhash64(text_col), F.lit(1_000_000)) < share[F.col(lang_col)] * 1_000_000)
+        return Filter([], np.zeros((1, 1), np.uint64), order, hashes)
+    most = known.groupBy(lang_col).agg(F.least(F.lit(1.0), F.lit(float(per_language)) / F.count("*")).alias("_share"))
+    draw = F.pmod(F.xxhash64(text_col, *([id_col] if id_col in labelled.columns else [])), F.lit(1_000_000))
+    drawn = known.select(text_col, lang_col, draw.alias("_draw")).join(F.broadcast(most), lang_col).where(F.col("_draw") < F.col("_share") * 1_000_000)
 
     def run(batches):
         for b in text_slices(batches, text_col, SLICE):
@@ -114,16 +120,19 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", p
                 yield pa.record_batch([pa.array([lang] * len(g), pa.string()), pa.array(g.view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
 
     counted = drawn.select(text_col, lang_col).mapInArrow(run, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    # the languages' tops are found by task first; what meets for one language are its distinct n-grams
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-    chosen = counted.withColumn("r", rank).where(F.col("r") <= top).select("lang", "gram").toPandas()  # at most 64 * top rows
+    # the tops of 64 parts of each language, and of these the language's
+    parts = counted.withColumn("part", F.pmod("gram", F.lit(64)))
+    for keys in (("lang", "part"), ("lang",)):
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), "gram"))
+        parts = parts.withColumn("r", rank).where(F.col("r") <= top).drop("r")
+    chosen = parts.select("lang", "gram").toPandas()  # at most top rows for each language
     languages = sorted(count)
     size = 1 << int(np.ceil(np.log2(max(16, 8 * hashes * top))))
-    slots = np.zeros(size, np.uint64)
+    slots = np.zeros((size, (len(languages) + 63) // 64), np.uint64)
     for i, lang in enumerate(languages):
         g = chosen.loc[chosen["lang"] == lang, "gram"].to_numpy(np.int64).view(np.uint64)
         for k in range(hashes):
-            slots[_slot(g, k, size)] |= np.uint64(1 << i)
+            slots[_slot(g, k, size), i // 64] |= np.uint64(1 << (i % 64))
     return Filter(languages, slots, order, hashes)
 
 
