@@ -70,3 +70,41 @@ def test_links_of_crowded_fingerprints(spark):
 def test_too_far(spark):
     with pytest.raises(ValueError):
         link_fingerprints(spark.createDataFrame([], "fp bigint"), 8)
+
+
+def test_long_texts_in_parts(texts):
+    many = [(t or "").encode() for _, t in texts] + [b"x" * 500, b"a " + b"y" * 300 + b" b", b" " * 200 + b"a b"]
+    for shingle in (1, 3, 5):
+        for part in (1, 10, 64):
+            assert simhash(many, shingle, part=part).tolist() == simhash(many, shingle).tolist()
+
+
+def test_tally_filters_and_crowded_lists_are_whole(spark, monkeypatch):
+    """Fingerprints that share four bytes and more with many others, with lists that are crowded at three, for several distances."""
+    from timeloom.llm import simhash as S
+
+    r = random.Random(7)
+    near = [0x1234567890ABCDEF ^ sum(1 << b for b in r.sample(range(32), r.randint(0, 4))) for _ in range(80)]
+    fps = sorted({*near, *(f ^ (r.getrandbits(16) << 48) for f in near), *(r.getrandbits(64) for _ in range(30))})
+    rows = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp bigint")
+    for crowd in (512, 3):
+        monkeypatch.setattr(S, "CROWD", crowd)
+        for bits in (1, 2, 3):
+            pairs = {tuple(sorted((x.a % 2**64, x.b % 2**64))) for x in link_fingerprints(rows, bits).collect()}
+            assert pairs == {(a, b) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= bits}
+    assert len(S._key_positions(2)) == 6 and all(len(c) == 4 for c in S._key_positions(2))
+    x = [0x0101010101010101, 0x0202020201010101]  # four bytes shared: on one list, but not linked
+    assert len(_links(x, 2, 6)) == 0
+
+
+def test_heavy_keys(spark):
+    """Keys with a large part of all rows come by broadcast, and no row is lost or doubled."""
+    from pyspark.sql import functions as F
+
+    from timeloom.llm.common import look_up
+
+    rows = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("k"), "id").where("id <> 7")
+    table = rows.groupBy("k").agg(F.count("*").alias("n"), F.max("id").alias("most"))
+    got = look_up(rows, table, ["k"], "n", 30_000)
+    assert got.columns == ["k", "id", "most"] and got.count() == 29_999
+    assert got.where("k = 7 and most = 29997").count() == 10_000 and got.where("k <> 7 and most <> id").count() == 0

@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that numpy works on at once.
 BLOCK_BYTES = 2 << 20
@@ -21,9 +22,12 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines see: the session's spark.checkpoint.dir, or a new one where that is unset."""
+    """The folder that all machines see: the session's spark.checkpoint.dir. Where that is unset a session on one machine gets a new
+    one; on a cluster no folder of one machine would do."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines see")
         found = "file://" + tempfile.mkdtemp(prefix="timeloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -31,9 +35,36 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """df written as a table in the shared folder and read again: a lost executor then costs no earlier stage."""
+    return written(df, name)[0]
+
+
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """As materialize, and where the table lies."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a written table that nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+#: A key with more than this share of all rows is a heavy one.
+HEAVY = 1 / 1000
+
+
+def look_up(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
+    """rows with the columns of their key's row in table (an inner join): one row for each key, weight: how many rows have the key, total:
+    how many there are. The rows of heavy keys, of which there can't be a thousand, get them by broadcast and the others by shuffle,
+    so that no key's rows meet in one task. table is read several times."""
+    least = max(int(total * HEAVY), 100)
+    if total <= 20_000:
+        return rows.join(table.drop(weight), keys)
+    heavy = F.broadcast(table.where(F.col(weight) > least).drop(weight))
+    others = rows.join(heavy.select(*keys), keys, "left_anti").join(table.where(F.col(weight) <= least).drop(weight), keys)
+    return rows.join(heavy, keys).unionByName(others)
 
 
 def tokenizer_file(name: str, folder: str | None = None) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, look_up, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -13,22 +13,26 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternates the large-star and small-star steps (Kiveris et al., 2014), each of which keeps the components: every node's
     larger (or smaller) neighbours are linked to its least neighbour. Ends when every edge leads to its component's least node.
-    Each round is written to the shared folder. Null ends and edges from a node to itself are ignored.
+    Each round is written to the shared folder and the one before it deleted. A node with a large part of all edges, as the root
+    of a large component is, gets its edges' partners by broadcast, so that they don't meet in one task. Null ends and edges from
+    a node to itself are ignored.
     """
-    now = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
-    now = materialize(now, "edges")
+    spark = edges.sparkSession
+    now, path = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "edges")
     while True:
+        n = now.count()
         both = now.union(now.select("b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("m").alias("a"), "b").where("a < b").distinct()
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+        large = look_up(both, least, ["a"], "n", 2 * n).where("b > a").select(F.col("m").alias("a"), "b").where("a < b").distinct()
+        large, between = written(large, "edges")
         # small star: every edge (a, b) with a < b seen from its larger end
-        down = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(down, "b").select(F.col("m").alias("x"), F.explode(F.array("a", "b")).alias("y")).where("x < y")
-        after = materialize(small.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "edges")
+        down = large.groupBy("b").agg(F.min("a").alias("m"), F.count("*").alias("n"))
+        small = look_up(large, down, ["b"], "n", n).select(F.col("m").alias("x"), F.explode(F.array("a", "b")).alias("y")).where("x < y")
+        now, after = written(small.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "edges")
+        for old in (path, between):
+            discard(spark, old)
+        path = after
         # done when no node is both a root and a member, and every member has one root
-        mixed = after.select("a").intersect(after.select("b")).limit(1).count()
-        doubled = after.groupBy("b").count().where("count > 1").limit(1).count()
-        now = after
-        if not mixed and not doubled:
+        if now.select("a").intersect(now.select("b")).isEmpty() and now.groupBy("b").count().where("count > 1").isEmpty():
             break
     return now.select(F.col("b").alias("node"), F.col("a").alias("root")).union(now.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
