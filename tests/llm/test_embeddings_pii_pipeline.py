@@ -60,8 +60,36 @@ def test_error_bound_holds():
     bound = n[:, None] * e + e[:, None] * (n + e)
     assert (np.abs(estimate - u @ u.T) <= bound + 1e-12).all()
     full = (u @ u.T >= 0.3) & ~np.tri(400, dtype=bool)
-    i, j = (np.concatenate(x) for x in zip(*E._links((u, q, a, n, e), (u, q, a, n, e), 0.3, True)))
-    assert sorted(zip(i.tolist(), j.tolist())) == sorted(zip(*(x.tolist() for x in np.nonzero(full))))
+    i, j, sure = (np.concatenate(x) for x in zip(*E._near((q, a, n, e), (q, a, n, e), 0.3, True)))
+    linked = E._exact(u, u, i, j, 0.3)
+    assert linked[sure].all() and not sure.all() and not linked.all() and sure.any()
+    assert sorted(zip(i[linked].tolist(), j[linked].tolist())) == sorted(zip(*(x.tolist() for x in np.nonzero(full))))
+
+
+def test_folded_links():
+    r = np.random.default_rng(2)
+    i, j = r.integers(0, 300, 200), r.integers(0, 300, 200)
+    links = E._Links(300)
+    for k in range(0, 200, 30):
+        links.add(i[k : k + 30], j[k : k + 30])
+    assert (links.root == E.local_roots(300, i, j)).all() and (links.n == np.bincount(np.r_[i, j], minlength=300)).all()
+
+
+def test_vectors_near_the_threshold(spark):
+    """Pairs at 0.9 and a little off it, which the bounds leave in doubt, in single and double precision."""
+    r = np.random.default_rng(4)
+    a = E._unit(r.normal(size=(60, 32)))
+    b = E._unit(r.normal(size=(60, 32)))
+    b = E._unit(b - (a * b).sum(1, keepdims=True) * a)
+    cos = 0.9 + r.choice([0, 1e-7, -1e-7, 0.004, -0.004], 60)
+    rows = [(k, x.tolist()) for k, x in enumerate(np.r_[a, cos[:, None] * a + np.sqrt(1 - cos**2)[:, None] * b])]
+    for kind in ("float", "double"):
+        exact = [(k, [float(np.float32(x)) for x in v] if kind == "float" else v) for k, v in rows]
+        # a pair at exactly 0.9 may round to either side, but the same way in both
+        got = {x[0]: x for x in map(tuple, E.embedding_near_dups(spark.createDataFrame(exact, f"vec_id bigint, embedding array<{kind}>"), tile=50).collect())}
+        want = {x[0]: x for x in brute(exact)}
+        clear = [k for k in range(60) if cos[k] != 0.9]
+        assert all(got[k] == want[k] and got[k + 60] == want[k + 60] for k in clear)
 
 
 def test_embeddings_query(spark):

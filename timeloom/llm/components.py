@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,3 +37,17 @@ def components(edges: DataFrame) -> DataFrame:
         if now.select("a").intersect(now.select("b")).isEmpty() and now.groupBy("b").count().where("count > 1").isEmpty():
             break
     return now.select(F.col("b").alias("node"), F.col("a").alias("root")).union(now.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
+
+
+def local_roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For n nodes linked by i-j the least node that each reaches."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[i], root[j])
+        new = root.copy()
+        np.minimum.at(new, root[i], low)
+        np.minimum.at(new, root[j], low)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
