@@ -2,6 +2,8 @@ import hashlib
 import re
 
 import timeloom.llm.substrings as S
+import pytest
+
 from timeloom.llm.queries import op9_substring_dedup
 
 
@@ -32,9 +34,9 @@ def test_against_brute_force(docs, odd_docs, texts, monkeypatch):
 
 
 def test_a_crowded_sketch_loses_nothing(docs, texts, monkeypatch):
-    """With cells of one byte most windows collide; the second pass sorts them out."""
+    """With 256 cells a row most windows collide; the second pass sorts them out."""
     monkeypatch.setattr(S, "BLOCK", 3000)
-    monkeypatch.setattr(S, "CELL_BYTES", 1)
+    monkeypatch.setattr(S, "CELL_BITS", 8)
     assert rows_of(S.substring_dedup(docs)) == brute(texts)
 
 
@@ -54,3 +56,21 @@ def test_query(spark, data):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
     want = sorted((i, n, g, hashlib.sha256(k.encode()).hexdigest()) for i, n, g, k in brute(rows))
     assert sorted(map(tuple, op9_substring_dedup(spark, data).collect())) == want
+
+
+@pytest.mark.parametrize("bits", [4, 10, 25])
+def test_the_merged_sketch_only_overestimates(bits, monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(S, "CELL_BITS", bits)
+    r = np.random.default_rng(bits)
+    blocks = [np.unique(r.integers(0, 1 << 32, 300, dtype=np.uint64)) for _ in range(5)]
+    blocks[3] = np.unique(np.r_[blocks[3], blocks[0][:40]])
+    table = pa.table({"block": [0, 1, 2, 3, 4], "shard": [0] * 5, "cells": [S._planes(b, S.VALUE_BYTES) for b in blocks]})
+    seen = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(b)).astype(bool) for x, b in zip(S._estimate(table).column("seen").to_pylist(), blocks)]
+    for i, b in enumerate(blocks):
+        repeated = np.isin(b, np.concatenate([x for j, x in enumerate(blocks) if j != i]))
+        assert seen[i][repeated].all()
+        if bits == 25:
+            assert seen[i].sum() <= repeated.sum() + 2

@@ -1,12 +1,12 @@
 """Removal of word windows that documents with smaller ids already hold, with a count-min prefilter.
 
-Pass 1 counts every window's hash in a count-min sketch of one row. Its width grows with the number of windows (16 to 32
-cells each), so it is kept in shards by the hash's leading bits: each block of rows sends a shard the cells of its distinct
-windows, a partition sketch; the shard's task adds them up and answers each block which of its windows may occur in another
-block. The sketch only overestimates, so no repeated window is lost. Pass 2 sends just the windows estimated repeated, with
-a 104-bit hash and the block's smallest document, and groups them exactly. Pass 3 cuts the words.
-Sketches and answers are as large as their windows are many; nothing is broadcast and nothing goes through the driver but the
-number of words.
+Pass 1 counts every window's hash in a count-min sketch of two rows. Its width grows with the number of windows (16 to 32
+cells each), so it is kept in shards by the hash's leading bits: each block of rows sends a shard its partition sketch, the list
+of values whose cells it raises by one; the shard's task merges these and answers each block which of its windows may occur
+in another block, those of which both cells count two. The sketch only overestimates, so no repeated window is lost. Pass 2 sends
+just the windows estimated repeated, with a 104-bit hash and the block's smallest document, and groups them exactly. Pass 3
+cuts the words. Sketches and answers are as large as their windows are many; nothing is broadcast and nothing goes through the
+driver but the number of words.
 """
 
 from __future__ import annotations
@@ -25,9 +25,11 @@ from .common import utf8_list
 from .text import Words, words_of, xxh64_slices
 
 BLOCK = 4 << 20
-CELL_BYTES = 3
-#: Windows that a shard of the sketch holds at most, on average; it has 2 ** 24 cells.
-SHARD_WINDOWS = 1 << 20
+VALUE_BYTES = 4
+#: Windows that a shard of the sketch holds at most, on average, and the bits of a cell's number in each of its two rows.
+SHARD_WINDOWS, CELL_BITS = 1 << 21, 25
+#: Fixed odd multiplier from which a value's cell in the second row comes.
+SECOND = np.uint64(0x9E3779B1)
 #: Fixed odd multipliers of the two rolling hashes.
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 LAST = np.iinfo(np.int64).max
@@ -104,21 +106,32 @@ def _cells(block: pa.RecordBatch, text_col: str, width: int, bits: int):
     words = words_of(utf8_list(block.column(text_col)))
     distinct = np.unique(_rolling(words, _windows(words, width)[0], width, 0))
     bounds = _shard_bounds(distinct, bits)
-    cells = (distinct << np.uint64(bits)) >> np.uint64(64 - 8 * CELL_BYTES)
+    values = (distinct << np.uint64(bits)) >> np.uint64(64 - 8 * VALUE_BYTES)
     for shard in range(1 << bits):
         a, b = bounds[shard], bounds[shard + 1]
         if b > a:
-            yield shard, _planes(cells[a:b], CELL_BYTES)
+            yield shard, _planes(values[a:b], VALUE_BYTES)
+
+
+def _cells_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of each value's cells in the two rows."""
+    cut = np.uint64(8 * VALUE_BYTES - CELL_BITS)
+    return (values >> cut).astype(np.int64), ((values * SECOND & np.uint64((1 << (8 * VALUE_BYTES)) - 1)) >> cut).astype(np.int64)
 
 
 def _estimate(shard: pa.Table) -> pa.Table:
-    """The merged sketch of one shard, and its answer to each block: a bit for each window sent, set if its cell counts two."""
-    sketch = np.zeros(1 << (8 * CELL_BYTES), np.uint8)
-    sent = [_numbers(x, CELL_BYTES).astype(np.int64) for x in shard.column("cells").to_pylist()]
+    """The merged sketch of one shard, and its answer to each block: a bit for each window sent, set if both of its cells count two."""
+    rows = np.zeros((2, 1 << CELL_BITS), np.uint8)
+    sent = [_numbers(x, VALUE_BYTES) for x in shard.column("cells").to_pylist()]
+    for x in sent:
+        for row, cells in zip(rows, _cells_of(x), strict=True):
+            once = np.unique(cells)
+            row[once] += row[once] < 2
+    seen = []
     for x in sent:
-        once = np.unique(x)
-        sketch[once] += sketch[once] < 2
-    return pa.table({"block": shard.column("block"), "shard": shard.column("shard"), "seen": [np.packbits(sketch[x] > 1).tobytes() for x in sent]})
+        first, second = _cells_of(x)
+        seen.append(np.packbits((rows[0][first] > 1) & (rows[1][second] > 1)).tobytes())
+    return pa.table({"block": shard.column("block"), "shard": shard.column("shard"), "seen": seen})
 
 
 def _exact(shard: pa.Table) -> pa.Table:
