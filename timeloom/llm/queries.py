@@ -68,4 +68,19 @@ def op10_language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_simhash_near_dups, op2_embedding_near_dups, op3_pii_random_field, op4_best_fit_packing, op5_token_counts, op6_matroska_media, op7_url_language_models, op8_bpe_automaton, op9_substring_dedup, op10_language_filters)}
-ORACLE: dict[str, str] = {}
+
+#: The others need hashes, models and tokenizers that SQL lacks.
+ORACLE: dict[str, str] = {
+    "op2_embedding_near_dups": """WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+ok AS (SELECT * FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id <> b.vec_id WHERE CASE WHEN len(a.e) = len(b.e) THEN list_cosine_similarity(a.e, b.e) >= 0.9 ELSE false END),
+n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY 1),
+r AS (SELECT vec_id, vec_id AS root FROM v UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.vec_id WHERE r.root < l.b)
+SELECT vec_id, coalesce(any_value(n), 0) AS n_links, min(root) AS component_id, vec_id = min(root) AS kept FROM r LEFT JOIN n USING (vec_id) GROUP BY vec_id""",
+    "op9_substring_dedup": """WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS l FROM documents),
+s AS (SELECT doc_id, unnest(l) AS word, generate_subscripts(l, 1) AS i FROM w),
+k AS (SELECT *, CASE WHEN count(*) OVER x = 13 THEN string_agg(word, ' ') OVER x END AS win FROM s WINDOW x AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)),
+f AS (SELECT doc_id, i, word, win IS NOT NULL AND doc_id > min(doc_id) OVER (PARTITION BY win) AS f FROM k),
+g AS (SELECT doc_id, i, word, bool_or(f) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS gone FROM f)
+SELECT doc_id, count(word) AS n_words, count(*) FILTER (gone) AS n_removed, sha256(coalesce(string_agg(word, ' ' ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM documents LEFT JOIN g USING (doc_id) GROUP BY doc_id""",
+}
