@@ -142,9 +142,11 @@ def test_small_functions(spark):
     urls = spark.createDataFrame([(" https://youtu.be/x ", True), ("https://youtube.com/watch?v=1", True), ("http://example.com", False), (None, False)], "u string, want boolean")
     assert all(r.got == r.want for r in urls.withColumn("got", is_video_url(F.col("u"))).collect())
     items = spark.createDataFrame([("a", [("s", 10, 10), ("", 99, 99), ("l", 20, 20)]), ("b", [])], "id string, thumbnails array<struct<url:string,width:int,height:int>>")
-    assert {r.id: r.url for r in best_thumbnail(items).collect()} == {"a": "l", "b": None}
-    raw = spark.createDataFrame([("a", None, None, "c", 61.7)], "id string, url string, title string, channel string, duration double")
-    assert tuple(catalogue_items(raw).first()) == ("a", "https://www.youtube.com/watch?v=a", "", "c", 61)
+    assert {r.id: r.url for r in best_thumbnail(items).collect()} == {"a": "l", "b": "https://i.ytimg.com/vi/b/hqdefault.jpg"}
+    none = spark.createDataFrame([("", None), ("x", [("p", None, None), ("q", 0, 5)])], items.schema)
+    assert {r.id: r.url for r in best_thumbnail(none).collect()} == {"": None, "x": "p"}
+    raw = spark.createDataFrame([("a", None, None, None, 61.7, None, "up", 5), ("b", "t", "u", "d", 0.0, "c", "up", None)], "id string, title string, url string, description string, duration double, channel string, uploader string, view_count bigint")
+    assert sorted(map(tuple, catalogue_items(raw).collect())) == [("a", "（無標題）", "https://www.youtube.com/watch?v=a", "", 61, "up", 5), ("b", "t", "u", "d", None, "c", None)]
     turns = spark.createDataFrame([(1, i) for i in range(9)], "frame_id int, turn int")
     assert sorted(r.turn for r in catalogue.recent_turns(turns).collect()) == [3, 4, 5, 6, 7, 8]
 
@@ -273,3 +275,62 @@ def test_table_streams(spark, folder):
     log.coalesce(1).write.parquet(f"{folder}/log")
     run_stream(log_windows(spark.readStream.schema(log.schema).parquet(f"{folder}/log")), folder, "append", "log_rows")
     assert [(r.searches, r.cost_usd) for r in spark.table("log_rows").collect()] == [(2, 0.5)]
+
+
+def test_each_row_is_asked_once(spark, tmp_path):
+    """Models that answer differently each time: no row is lost, doubled or asked again by another reader of the result."""
+    import uuid
+
+    def asked(kind):
+        return len(list(tmp_path.glob(f"{kind}-*")))
+
+    def note(kind, rows):
+        for _ in rows:
+            (tmp_path / f"{kind}-{uuid.uuid4().hex}").touch()
+
+    def flaky(rows):
+        note("document", rows)
+        if len(rows) == 1 and asked("document") % 2:
+            raise ValueError("no")
+        if len(rows) > 1:
+            raise ValueError("one by one")
+        return [{"document_json": '{"doc_type": "sop", "overview": "o"}', "cost_usd": 0.5}]
+
+    def short(rows):
+        note("summary", rows)
+        return [{"summary": "s", "cost_usd": 0.25} for _ in rows]
+
+    material = spark.createDataFrame([(i, f"m{i}") for i in range(10)], "video_id int, material string").coalesce(1)
+    made = models.write_documents(material, flaky, short)
+    for _ in range(2):
+        rows = made.collect()
+        assert sorted(r.video_id for r in rows) == list(range(10))
+    documents, before = sum(r.document_json is not None for r in rows), asked("summary")
+    assert asked("document") == 20 and before == 10 - documents and all(r.summary in ("s", "o") for r in rows)
+
+    def embed(rows):
+        note("vector", rows)
+        return [{"vector": [float(asked("vector"))], "cost_usd": 1.0} for _ in rows]
+
+    seg = spark.createDataFrame([(1, "a", "b"), (2, "a", None)], "id int, transcript string, ocr_text string")
+    out, ledger = models.embed_columns(seg, {"transcript": "tv", "ocr_text": "ov"}, embed)
+    assert out.count() == 2 and ledger.count() == 2 and {tuple(r.tv) for r in out.collect()} == {tuple(out.first().tv)} and asked("vector") == 2
+    q = spark.createDataFrame([(1, "x"), (2, "y")], "query_id int, query string")
+    vectors, cost = models.prepare_queries(q, lambda rows: [note("translation", rows) or {"zh": None, "en": None, "cost_usd": 1.0} for r in rows][:len(rows)], embed)
+    assert vectors.count() == 2 and cost.count() == 2 and asked("vector") == 4
+
+
+def test_a_required_clarification_overrides_the_action(spark):
+    rows = [(1, '{"action": "new_search", "standalone_query": "q", "requires_clarification": true, "clarification_question": "which?"}'), (2, '{"action": "new_search", "standalone_query": "q", "requires_clarification": false}'), (3, '{"action": "refine_search"}')]
+    got = models.parse_intents(spark.createDataFrame(rows, "id int, answer string").withColumn("message", F.lit("m"))).collect()
+    assert {r.id: (r.action, r.clarification_question) for r in got} == {1: ("clarify", "which?"), 2: ("new_search", None), 3: ("refine_search", None)}
+
+
+def test_outcomes_set_the_models(spark):
+    from timeloom.sources.schemas import fit, schema_of
+
+    videos = fit(spark.createDataFrame([(1, "old", "s"), (2, "old", "t")], "id int, asr_model string, summary string"), schema_of("videos"))
+    outcome = spark.createDataFrame([(1, "analyzed", "2024-01-01", 3, 0.5, "a", "v", "e", None)], "id int, status string, analyzed_at string, segment_count int, cost_usd double, asr_model string, vlm_model string, embedding_model string, summary string")
+    outcome = outcome.withColumns({c: F.lit(None).cast("string") for c in ("summary_model", "document_json", "document_type", "document_model")} | {"stopped_by_budget": F.lit(False), "failed_scenes": F.lit(0)})
+    got = {r.id: (r.asr_model, r.vlm_model, r.embedding_model, r.summary) for r in catalogue.apply_outcomes(videos, outcome).collect()}
+    assert got == {1: ("a", "v", "e", "s"), 2: ("old", None, None, "t")}

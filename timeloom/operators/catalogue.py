@@ -90,7 +90,7 @@ def header_stats(videos: DataFrame) -> DataFrame:
     )
 
 
-def category_counts(videos: DataFrame, kind: str = "all", topics: dict[str, str] | None = None) -> DataFrame:
+def category_counts(videos: DataFrame, kind: str = "all", topics: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     return status_view(videos, kind).groupBy(topic(F.col("title"), F.col("summary"), topics).alias("category")).agg(F.count("*").alias("n"))
 
 
@@ -134,11 +134,12 @@ def reset_videos(videos: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def apply_outcomes(videos: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """The videos after their analyses: outcomes (id, status, analyzed_at, segment_count, cost_usd, summary, summary_model,
-    document_json, document_type, document_model, stopped_by_budget, failed_scenes). Texts that an outcome lacks stay; the cost
-    is the outcome's own; the stage notes a stop by the budget and failed scenes."""
+    """The videos after their analyses: outcomes (id, status, analyzed_at, segment_count, cost_usd, asr_model, vlm_model, embedding_model,
+    summary, summary_model, document_json, document_type, document_model, stopped_by_budget, failed_scenes). Summary and document
+    stay where an outcome lacks them; the cost and the three models are the outcome's own; the stage notes a stop by the budget and
+    failed scenes."""
     kept = [c for c in ("summary", "summary_model", "document_json", "document_type", "document_model")]
-    own = [c for c in ("status", "analyzed_at", "segment_count", "cost_usd")]
+    own = [c for c in ("status", "analyzed_at", "segment_count", "cost_usd", "asr_model", "vlm_model", "embedding_model") if c in outcomes.columns]
     note = F.nullif(F.concat_ws("; ", F.when(F.col("o.stopped_by_budget"), F.lit("stopped by budget")), F.when(F.col("o.failed_scenes") > 0, F.concat(F.col("o.failed_scenes").cast("string"), F.lit(" failed scenes")))), F.lit(""))
     joined = videos.alias("v").join(outcomes.alias("o"), F.col("v.id") == F.col("o.id"), "left")
     hit = F.col("o.id").isNotNull()

@@ -19,6 +19,8 @@ from ..functions.scoring import cosine
 
 #: Query rows that are broadcast at once; more are worked off in several passes.
 MAX_QUERIES = 4_096
+#: Scores that a task holds at once: rows of a batch times queries.
+MOST_SCORES = 2_000_000
 #: Scores are equal if they are up to this digit.
 DIGITS = 9
 
@@ -40,6 +42,14 @@ def _best(units: np.ndarray, queries: np.ndarray, owner: np.ndarray, n: int) ->
     return np.maximum.reduceat(product, np.searchsorted(owner, np.arange(n)), axis=1)
 
 
+def _slices(batches, queries: int) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that rows times queries stay within MOST_SCORES."""
+    step = max(1, MOST_SCORES // max(queries, 1))
+    for b in batches:
+        for i in range(0, b.num_rows, step):
+            yield b.slice(i, step)
+
+
 def query_slices(queries: DataFrame) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
     """(query ids, matrix, owner) of at most about MAX_QUERIES rows each; a query's variants stay together."""
     rows = queries.select("query_id", unit(F.col("vector")).alias("v")).where("v is not null").orderBy("query_id")
@@ -74,9 +84,7 @@ def vector_scores(queries: DataFrame, vectors: DataFrame, id_col: str = "id", ve
         def run(batches, shared=shared):
             ids, matrix, owner = shared.value
             q = pa.array(ids, q_type)
-            for b in batches:
-                if not b.num_rows:
-                    continue
+            for b in _slices(batches, len(ids)):
                 scores = _best(_matrix(b.column("_u")), matrix, owner, len(ids))
                 if top is not None and top < len(scores):
                     floor = np.partition(scores, len(scores) - top, axis=0)[len(scores) - top]
@@ -138,7 +146,7 @@ def dense_channel(queries: DataFrame, segments: DataFrame, events: DataFrame | N
         def run(batches, shared=shared):
             ids, matrix, owner = shared.value
             q = pa.array(ids, q_type)
-            for b in batches:
+            for b in _slices(batches, len(ids)):
                 scores = []
                 for m in MODALITIES:
                     has = b.column(m).is_valid().to_numpy(zero_copy_only=False)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_text
@@ -14,18 +14,34 @@ JUNK_SHARE, WATERMARK_SHARE = 0.4, 0.15
 VISUAL, TRANSCRIPT, ON_SCREEN, SECONDS = "畫面：", "字幕：", "畫面文字：", " 秒] "
 
 
-def text_shares(df: DataFrame, text: str, key: str = "video_id") -> DataFrame:
-    """(key, text, n, total, share) of each distinct cleaned, non-empty text; counted by text first, so that one video's rows
-    needn't meet."""
-    cleaned = df.select(key, clean_text(F.col(text)).alias("text")).where("text <> ''")
-    n = cleaned.groupBy(key, "text").agg(F.count("*").alias("n"))
-    total = n.groupBy(key).agg(F.sum("n").alias("total"))
-    return n.join(total, key).withColumn("share", F.col("n") / F.col("total"))
+def _cleaned(df: DataFrame, text: str, key: str) -> DataFrame:
+    """(key, text, h): the cleaned, non-empty texts, and 128 bits that stand for each."""
+    h = F.struct(F.xxhash64("text").alias("a"), F.xxhash64(F.lit("second"), "text").alias("b"))
+    return df.select(key, clean_text(F.col(text)).alias("text")).where("text <> ''").select(key, "text", h.alias("h"))
+
+
+def _counted(df: DataFrame, text: str, key: str) -> DataFrame:
+    """(key, h, n): how often a key has each cleaned, non-empty text."""
+    return _cleaned(df, text, key).groupBy(key, "h").agg(F.count("*").alias("n"))
+
+
+def text_shares(df: DataFrame, text: str, key: str = "video_id", where: Column | None = None) -> DataFrame:
+    """(key, text, n, total, share) of each distinct cleaned, non-empty text, or of those for which a condition on the three figures holds.
+
+    Texts are counted by hash, so that only hashes are shuffled and one video's rows needn't meet; the texts themselves are fetched
+    for the rows that stay.
+    """
+    n = _counted(df, text, key)
+    shares = n.join(n.groupBy(key).agg(F.sum("n").alias("total")), key).withColumn("share", F.col("n") / F.col("total"))
+    if where is not None:
+        shares = shares.where(where)
+    named = _cleaned(df, text, key).join(shares.select(key, "h"), [key, "h"], "left_semi").groupBy(key, "h").agg(F.min("text").alias("text"))
+    return shares.join(named, [key, "h"]).select(key, "text", "n", "total", "share")
 
 
 def dominant_share(df: DataFrame, text: str, key: str = "video_id", least: int = MIN_SAMPLES) -> DataFrame:
     """(key, share): how much of a key's texts the most frequent one is; 0 for fewer than `least` texts."""
-    top = text_shares(df, text, key).groupBy(key).agg(F.max("n").alias("n"), F.first("total").alias("total"))
+    top = _counted(df, text, key).groupBy(key).agg(F.max("n").alias("n"), F.sum("n").alias("total"))
     return top.select(key, F.when(F.col("total") >= least, F.col("n") / F.col("total")).otherwise(0.0).alias("share"))
 
 
@@ -36,7 +52,8 @@ def junk_transcript_videos(segments: DataFrame) -> DataFrame:
 
 def watermarks(segments: DataFrame) -> DataFrame:
     """(video_id, text): on-screen texts that are on too many of a video's segments."""
-    return text_shares(segments, "ocr_text").where((F.col("total") >= MIN_SAMPLES) & (F.col("share") > WATERMARK_SHARE)).select("video_id", "text")
+    often = (F.col("total") >= MIN_SAMPLES) & (F.col("share") > WATERMARK_SHARE)
+    return text_shares(segments, "ocr_text", where=often).select("video_id", "text")
 
 
 def build_material(segments: DataFrame, include_ocr: bool = False) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.text import strip_generic_terms
+from ..sources.tables import stage
 from .dense import query_variants
 
 #: fn(list of dicts) gives for each one a dict of the output columns and cost_usd, or raises.
@@ -62,13 +63,13 @@ def apply_model(df: DataFrame, in_cols: list[str], fn: BatchFn, out_schema: str,
 
 def embed_columns(segments: DataFrame, columns: dict[str, str], fn: BatchFn, **options) -> tuple[DataFrame, DataFrame]:
     """segments with a vector column for each text column of `columns` (text: vector), and the ledger (text, cost_usd, error). Each
-    distinct non-empty text is sent once."""
+    distinct non-empty text is sent once: the answers are written before they are used."""
     texts = None
     for c in columns:
         part = segments.select(F.col(c).alias("text"))
         texts = part if texts is None else texts.union(part)
     distinct = texts.where("coalesce(text, '') <> ''").distinct()
-    embedded = apply_model(distinct, ["text"], fn, "vector array<float>", **options)
+    embedded = stage(apply_model(distinct, ["text"], fn, "vector array<float>", **options))
     for c, v in columns.items():
         segments = segments.join(embedded.select(F.col("text").alias(c), F.col("vector").alias(v)), c, "left")
     return segments, embedded.select("text", "cost_usd", "error")
@@ -76,28 +77,28 @@ def embed_columns(segments: DataFrame, columns: dict[str, str], fn: BatchFn, **o
 
 def prepare_queries(queries: DataFrame, translate: BatchFn, embed: BatchFn, **options) -> tuple[DataFrame, DataFrame]:
     """(query_id, variant, vector) of each query's text and translations (columns zh, en), and the cost of each query; a failed translation
-    leaves the text alone."""
+    leaves the text alone. Vectors and costs come from the same answers."""
     cleaned = queries.select("query_id", strip_generic_terms(F.col("query")).alias("query"))
-    translated = apply_model(cleaned, ["query"], translate, "zh string, en string", **options)
+    translated = stage(apply_model(cleaned, ["query"], translate, "zh string, en string", **options))
     variants = query_variants(translated, "zh", "en")
-    embedded = apply_model(variants, ["variant"], lambda rows: embed([{"text": r["variant"]} for r in rows]), "vector array<float>", **options)
+    embedded = stage(apply_model(variants, ["variant"], lambda rows: embed([{"text": r["variant"]} for r in rows]), "vector array<float>", **options))
     cost = translated.select("query_id", "cost_usd").union(embedded.select("query_id", "cost_usd")).groupBy("query_id").agg(F.sum("cost_usd").alias("cost_usd"))
     return embedded.where("error is null").select("query_id", "variant", "vector"), cost
 
 
-INTENT = "struct<action:string,standalone_query:string,filters_video_ids:array<int>,selected_result_index:int,clarification_question:string>"
+INTENT = "struct<action:string,standalone_query:string,filters_video_ids:array<int>,selected_result_index:int,requires_clarification:boolean,clarification_question:string>"
 ACTIONS = ("new_search", "refine_search", "select_result", "clarify")
 
 
 def parse_intents(answers: DataFrame, raw: str = "answer", message: str = "message") -> DataFrame:
     """Adds the intent's columns from the model's JSON; what can't be read, or has another action, is a new search for the message
-    itself, and so is a blank query."""
+    itself, and so is a blank query. Where the model requires a clarification that is the action, whatever else it says."""
     x = F.from_json(raw, INTENT)
     fine = F.coalesce(x["action"].isin(*ACTIONS), F.lit(False))
     query = F.coalesce(F.nullif(F.trim(F.when(fine, x["standalone_query"])), F.lit("")), F.col(message))
     return answers.select(
         "*",
-        F.when(fine, x["action"]).otherwise("new_search").alias("action"),
+        F.when(fine & F.coalesce(x["requires_clarification"], F.lit(False)), "clarify").when(fine, x["action"]).otherwise("new_search").alias("action"),
         query.alias("standalone_query"),
         F.when(fine, F.coalesce(x["filters_video_ids"], F.array().cast("array<int>"))).otherwise(F.array().cast("array<int>")).alias("llm_video_ids"),
         F.when(fine, x["selected_result_index"]).alias("selected_index"),
@@ -107,10 +108,11 @@ def parse_intents(answers: DataFrame, raw: str = "answer", message: str = "messa
 
 def write_documents(material: DataFrame, document: BatchFn, summary: BatchFn, **options) -> DataFrame:
     """(video_id, document_json, document_type, summary, cost_usd, error) from each video's material (video_id, material): a document,
-    or if that fails a summary, or if both fail nulls and the last error."""
-    made = apply_model(material, ["material"], document, "document_json string", **options)
-    good, bad = made.where("error is null"), made.where("error is not null").select("video_id", "material")
-    short = apply_model(bad, ["material"], summary, "summary string", **options)
+    or if that fails a summary, or if both fail nulls and the last error. Either model is asked once for a video: its answers are
+    written before they are parted. A failed document's cost counts with its summary's."""
+    made = stage(apply_model(material.select("video_id", "material"), ["material"], document, "document_json string", **options))
+    good, bad = made.where("error is null"), made.where("error is not null").select("video_id", "material", F.coalesce("cost_usd", F.lit(0.0)).alias("_spent"))
+    short = stage(apply_model(bad, ["material"], summary, "summary string", **options)).withColumn("cost_usd", F.col("_spent") + F.coalesce("cost_usd", F.lit(0.0)))
     kind = F.get_json_object("document_json", "$.doc_type")
     a = good.select("video_id", "document_json", kind.alias("document_type"), F.get_json_object("document_json", "$.overview").alias("summary"), "cost_usd", "error")
     b = short.select("video_id", F.lit(None).cast("string").alias("document_json"), F.lit(None).cast("string").alias("document_type"), "summary", "cost_usd", "error")

@@ -6,10 +6,13 @@ id, video_id and content.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import bigrams, contains_ci, extract_terms, grams, negative_text, term_frequency
+from ..sources.tables import small, stage
 
 K1, B = 1.2, 0.75
 LIMIT = 200
@@ -17,7 +20,7 @@ SHORT_SCORE = -1e6
 MAX_SHARE = 0.2
 #: Scores are equal if they are up to this digit: the order in which a sum is made then doesn't part equal rows.
 DIGITS = 9
-#: Up to so many (query, term) rows are broadcast to the segments; beyond, hits come from the trigram index.
+#: So many different terms are looked for in one pass over the segments.
 BROADCAST_TERMS = 2_000
 
 
@@ -28,13 +31,16 @@ def in_scope(scope: Column, video_id: Column) -> Column:
 def corpus_stats(queries: DataFrame, segments: DataFrame) -> DataFrame:
     """(query_id, n_docs, avg_len) of the segments in each query's scope, the length at least 1.
 
-    The numbers are summed by video first, so that segments are read once, whatever the number of queries.
+    The numbers are summed by video first, so that segments are read once, whatever the number of queries. Scopes meet these sums by
+    video id, and queries without a scope the one row of all videos.
     """
     by_video = segments.groupBy("video_id").agg(F.count("*").alias("n"), F.sum(F.length("content")).alias("chars"))
-    scopes = queries.select("scope").distinct()
-    joined = scopes.join(by_video, in_scope(scopes["scope"], by_video["video_id"]), "left")
-    total = joined.groupBy("scope").agg(F.coalesce(F.sum("n"), F.lit(0)).cast("double").alias("n_docs"), F.greatest(F.coalesce(F.sum("chars") / F.sum("n"), F.lit(1.0)), F.lit(1.0)).alias("avg_len"))
-    return queries.select("query_id", F.col("scope").alias("_s")).join(total, F.col("_s").eqNullSafe(F.col("scope"))).select("query_id", "n_docs", "avg_len")
+    asked = queries.select("query_id", F.explode(F.array_distinct("scope")).alias("video_id")).join(by_video, "video_id").select("query_id", "n", "chars")
+    whole = by_video.groupBy().agg(F.sum("n").alias("n"), F.sum("chars").alias("chars")).withColumn("_all", F.lit(True))
+    free = queries.where("scope is null").select("query_id", F.lit(True).alias("_all")).join(F.broadcast(whole), "_all").select("query_id", "n", "chars")
+    total = asked.unionByName(free).groupBy("query_id").agg(F.sum("n").alias("n"), F.sum("chars").alias("chars"))
+    n = F.coalesce("n", F.lit(0))
+    return queries.select("query_id").join(total, "query_id", "left").select("query_id", n.cast("double").alias("n_docs"), F.greatest(F.coalesce(F.col("chars") / F.nullif(n, F.lit(0)), F.lit(1.0)), F.lit(1.0)).alias("avg_len"))
 
 
 def build_trigram_index(segments: DataFrame, n: int = 3) -> DataFrame:
@@ -43,33 +49,51 @@ def build_trigram_index(segments: DataFrame, n: int = 3) -> DataFrame:
 
 
 def trigram_lookup(terms: DataFrame, index: DataFrame, segments: DataFrame, n: int = 3) -> DataFrame:
-    """The rows of terms (query_id, term, scope), each with the id and content of a segment that holds the term: segments with
-    all of its pieces, then verified. Terms of fewer than n characters find nothing."""
-    wanted = terms.where(F.length("term") >= n).select("query_id", "term", "scope", grams(F.lower("term"), n).alias("pieces"))
-    asked = wanted.select("query_id", "term", "scope", F.size("pieces").alias("n_pieces"), F.explode("pieces").alias("gram"))
-    found = asked.join(index, "gram").where(in_scope(F.col("scope"), F.col("video_id")))
-    whole = found.groupBy("query_id", "term", "id").agg(F.count("*").alias("n"), F.first("n_pieces").alias("n_pieces")).where("n = n_pieces")
-    return whole.join(segments.select("id", "content"), "id").where(contains_ci(F.col("content"), F.col("term"))).select("query_id", "term", "id", "content")
-
-
-def term_hits(terms: DataFrame, segments: DataFrame) -> DataFrame:
-    """(query_id, term, id, content) for each term and segment in scope that holds it.
-
-    Few terms are broadcast to the segments. If there are more than BROADCAST_TERMS, those of three or more characters go
-    through the trigram index, and only the shorter ones, of which a bounded alphabet makes few, are broadcast.
+    """The rows of terms (query_id, term, scope), each with the id and content of a segment that holds the term: segments with the
+    rarest of its pieces, then verified. Terms of fewer than n characters find nothing. Of the index, which may be a stored one, only the
+    rows of the terms' pieces are read, once."""
+    wanted = terms.where(F.length("term") >= n).select("query_id", "term", "scope", F.explode(grams(F.lower("term"), n)).alias("gram"))
+    part = stage(index.join(wanted.select("gram").distinct(), "gram", "left_semi"))
+    sizes = part.groupBy("gram").agg(F.count("*").alias("n"))
+    # a piece that is nowhere is the rarest, and its term isn't found
+    of = F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")
+    rarest = wanted.join(sizes, "gram", "left").groupBy("query_id", "term").agg(F.min(of)["gram"].alias("gram"), F.first("scope").alias("scope"))
+    found = rarest.join(part, "gram").where(in_scope(F.col("scope"), F.col("video_id"))).select("query_id", "term", "id")
+    return found.join(segments.select("id", "content"), "id").where(contains_ci(F.col("content"), F.col("term"))).select("query_id", "term", "id", "content")
+
+
+def _scanned(words: list[str], segments: DataFrame) -> DataFrame:
+    """(low, id, video_id, len, lost): for each of the lower-cased words and each segment that holds it the content's length, and what of it
+    is lost without the word. One pass over the segments, in which each text is lower-cased once."""
+    listed = F.array(*[F.lit(w) for w in words])
+    lost = lambda text, w: F.length("content") - F.length(F.replace(text, w, F.lit("")))
+    inside = lambda text: F.transform(F.filter(listed, lambda w: F.contains(text, w)), lambda w: F.struct(w.alias("low"), lost(text, w).alias("lost")))
+    found = F.flatten(F.transform(F.array(F.lower("content")), inside))
+    return segments.select("id", "video_id", F.length("content").alias("len"), F.inline(found))
+
+
+def term_hits(terms: DataFrame, segments: DataFrame, index: DataFrame | None = None) -> DataFrame:
+    """(query_id, term, id, len, tf) for each term and segment in scope that holds it: the length of the segment's content and how often
+    the term occurs.
+
+    The segments are read once for up to BROADCAST_TERMS different terms, and once for each so many where there are more. With a
+    trigram index terms of three or more characters are looked up in it instead.
     """
-    some = terms.select("query_id", "term", "scope")
-
-    def scanned(part: DataFrame) -> DataFrame:
-        holds = in_scope(F.col("scope"), F.col("video_id")) & contains_ci(F.col("content"), F.col("term"))
-        return segments.select("id", "video_id", "content").join(F.broadcast(part), holds).select("query_id", "term", "id", "content")
-
-    if some.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
-        return scanned(some)
-    short = some.where(F.length("term") < 3)
-    holds = in_scope(F.col("scope"), F.col("video_id")) & contains_ci(F.col("content"), F.col("term"))
-    of_short = segments.select("id", "video_id", "content").join(short, holds).select("query_id", "term", "id", "content")
-    return trigram_lookup(some, build_trigram_index(segments), segments).unionByName(of_short)
+    some = terms.select("query_id", "term", "scope", F.lower("term").alias("low"))
+    tf = lambda lost: (lost.cast("double") / F.greatest(F.length("term"), F.lit(1))).alias("tf")
+    parts = []
+    if index is not None:
+        looked = trigram_lookup(some, index, segments)
+        parts.append(looked.select("query_id", "term", "id", F.length("content").alias("len"), term_frequency(F.col("content"), F.col("term")).alias("tf")))
+        some = some.where(F.length("term") < 3)
+    words = [r.low for r in some.select("low").where("low is not null").distinct().orderBy("low").toLocalIterator()]
+    for i in range(0, len(words), BROADCAST_TERMS):
+        met = _scanned(words[i : i + BROADCAST_TERMS], segments).join(small(some), "low")
+        parts.append(met.where(in_scope(F.col("scope"), F.col("video_id"))).select("query_id", "term", "id", "len", tf(F.col("lost"))))
+    if not parts:
+        kinds = {c: df.schema[c].dataType.simpleString() for c, df in (("query_id", terms), ("id", segments))}
+        return terms.sparkSession.createDataFrame([], f"query_id {kinds['query_id']}, term string, id {kinds['id']}, len int, tf double")
+    return reduce(DataFrame.unionByName, parts)
 
 
 def doc_freq(terms: DataFrame, hits: DataFrame) -> DataFrame:
@@ -84,8 +108,7 @@ def bm25(terms: DataFrame, segments: DataFrame, limit: int | None = LIMIT, hits:
     hits = term_hits(terms, segments) if hits is None else hits
     stats = corpus_stats(terms.select("query_id", "scope").distinct(), segments)
     n = doc_freq(terms, hits).join(stats, "query_id")
-    tf = term_frequency(F.col("content"), F.col("term"))
-    rows = hits.select("query_id", "term", "id", F.length("content").cast("double").alias("len"), tf.alias("tf")).join(n, ["query_id", "term"])
+    rows = hits.join(n, ["query_id", "term"])
     idf = F.log(1.0 + (F.col("n_docs") - F.col("n_hits") + 0.5) / (F.col("n_hits") + 0.5))
     part = idf * (F.col("tf") * (K1 + 1.0)) / (F.col("tf") + K1 * (1.0 - B + B * F.col("len") / F.col("avg_len")))
     scores = rows.groupBy("query_id", "id").agg(F.round(-F.sum(part), DIGITS).alias("score"))
@@ -109,36 +132,51 @@ def query_terms(queries: DataFrame, text: str = "query") -> DataFrame:
     return queries.select("query_id", "scope", F.explode(extract_terms(F.col(text))).alias("term"))
 
 
-def route_terms(terms: DataFrame, segments: DataFrame) -> DataFrame:
+def route_terms(terms: DataFrame, segments: DataFrame, hits: DataFrame | None = None) -> DataFrame:
     """(query_id, scope, term, channel): terms of three or more characters that occur in scope go to `bm25`; those that don't are
-    cut into pieces of two, which go to `like` with the shorter terms, each once."""
+    cut into pieces of two, which go to `like` with the shorter terms, each once. hits: what term_hits found for the terms."""
     long = terms.where(F.length("term") >= 3)
-    known = term_hits(long, segments).select("query_id", "term").distinct()
+    known = (term_hits(long, segments) if hits is None else hits).select("query_id", "term").distinct()
     kept = long.join(known, ["query_id", "term"], "left_semi").withColumn("channel", F.lit("bm25"))
     cut = long.join(known, ["query_id", "term"], "left_anti").select("query_id", "scope", F.explode(bigrams(F.col("term"))).alias("term"))
     short = terms.where(F.length("term") < 3).select("query_id", "scope", "term").union(cut).dropDuplicates(["query_id", "term"])
     return kept.select("query_id", "scope", "term", "channel").union(short.withColumn("channel", F.lit("like")))
 
 
-def sparse_channel(queries: DataFrame, segments: DataFrame, candidates: DataFrame, text: str = "query", limit: int | None = LIMIT, like_limit: int | None = None) -> DataFrame:
-    """(query_id, id, score) of the candidates (query_id, id) that the keywords find.
+def sparse_channel(queries: DataFrame, segments: DataFrame, candidates: DataFrame | None = None, text: str = "query", limit: int | None = LIMIT, like_limit: int | None = None, index: DataFrame | None = None) -> DataFrame:
+    """(query_id, id, score) of the candidates (query_id, id), or of all segments in a query's scope, that the keywords find.
 
     BM25 scores go first; a segment found by short terms only scores SHORT_SCORE. A short term that more than a fifth of
     a query's candidates hold says nothing and is left out. like_limit: consider only so many lowest ids for a short term.
+    The segments are scanned once for all terms, and once more only if terms that don't occur are cut into pieces.
     """
-    routed = route_terms(query_terms(queries, text), segments)
-    scored = bm25(routed.where("channel = 'bm25'"), segments, limit).join(candidates, ["query_id", "id"], "left_semi")
-    found = like_hits(routed.where("channel = 'like'"), segments, like_limit).join(candidates, ["query_id", "id"], "left_semi")
-    total = candidates.groupBy("query_id").agg(F.count("*").alias("n"))
+    terms = stage(query_terms(queries, text))
+    hits = stage(term_hits(terms, segments, index))
+    routed = stage(route_terms(terms, segments, hits))
+    known, short = routed.where("channel = 'bm25'"), routed.where("channel = 'like'")
+    found = hits.join(short, ["query_id", "term"], "left_semi")
+    cut = short.join(terms, ["query_id", "term"], "left_anti")
+    if not cut.isEmpty():
+        found = stage(found.unionByName(term_hits(cut, segments)))
+    found = found.select("query_id", "term", "id")
+    if like_limit is not None:
+        rank = F.row_number().over(Window.partitionBy("query_id", "term").orderBy("id"))
+        found = found.withColumn("_r", rank).where(F.col("_r") <= like_limit).drop("_r")
+    scored = bm25(known, segments, limit, hits.join(known, ["query_id", "term"], "left_semi"))
+    if candidates is None:
+        total = corpus_stats(queries.select("query_id", "scope"), segments).select("query_id", F.col("n_docs").alias("n"))
+    else:
+        scored, found = (x.join(candidates, ["query_id", "id"], "left_semi") for x in (scored, found))
+        total = candidates.groupBy("query_id").agg(F.count("*").alias("n"))
     rare = found.groupBy("query_id", "term").agg(F.count("*").alias("k")).join(total, "query_id").where(F.col("k") <= MAX_SHARE * F.col("n"))
-    short = found.join(rare, ["query_id", "term"], "left_semi").select("query_id", "id").distinct().withColumn("score", F.lit(SHORT_SCORE))
-    return scored.unionByName(short).groupBy("query_id", "id").agg(F.max("score").alias("score"))
+    only = found.join(rare, ["query_id", "term"], "left_semi").select("query_id", "id").distinct().withColumn("score", F.lit(SHORT_SCORE))
+    return scored.unionByName(only).groupBy("query_id", "id").agg(F.max("score").alias("score"))
 
 
-def negated_segments(queries: DataFrame, segments: DataFrame, candidates: DataFrame, limit: int | None = None) -> DataFrame:
-    """(query_id, id): the candidates that the negated part of a query finds."""
+def negated_segments(queries: DataFrame, segments: DataFrame, candidates: DataFrame | None = None, limit: int | None = None, index: DataFrame | None = None) -> DataFrame:
+    """(query_id, id): the candidates, or all segments in a query's scope, that the negated part of a query finds."""
     negative = queries.withColumn("_neg", negative_text(F.col("query"))).where("trim(_neg) <> ''")
-    return sparse_channel(negative, segments, candidates, "_neg", limit).select("query_id", "id")
+    return sparse_channel(negative, segments, candidates, "_neg", limit, index=index).select("query_id", "id")
 
 
 def exclude_negated(queries: DataFrame, segments: DataFrame, candidates: DataFrame, limit: int | None = None) -> DataFrame:

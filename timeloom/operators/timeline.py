@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import dominant_word, has_text, nfkc
 from ..functions.times import sample_times
+from .folds import ordered_fold
 
 MERGE_BELOW, SPLIT_ABOVE, SPLIT_TARGET = 8.0, 12.0, 10.0
 NO_SPEECH = 0.7
@@ -24,24 +25,30 @@ def scene_ranges(cuts: DataFrame, videos: DataFrame) -> DataFrame:
 
 def merge_short(scenes: DataFrame, least: float = MERGE_BELOW) -> DataFrame:
     """Scenes put together from left to right until they are `least` seconds long; what is left at the end joins the scene
-    before it, or stands alone. A video's scenes are folded as one array: they are few and small."""
-    ordered = F.array_sort(F.collect_list(F.struct("start_sec", "end_sec")))
-    scene = "struct<start_sec:double,end_sec:double>"
-    empty = F.struct(F.array().cast(f"array<{scene}>").alias("done"), F.lit(None).cast(scene).alias("open"))
-
-    def step(acc: Column, x: Column) -> Column:
-        grown = F.struct(F.coalesce(acc["open"]["start_sec"], x["start_sec"]).alias("start_sec"), x["end_sec"].alias("end_sec"))
-        full = grown["end_sec"] - grown["start_sec"] >= least
-        return F.struct(F.when(full, F.concat(acc["done"], F.array(grown))).otherwise(acc["done"]).alias("done"), F.when(~full, grown).alias("open"))
-
-    def close(acc: Column) -> Column:
-        done, rest = acc["done"], acc["open"]
-        n = F.size(done)
-        last = F.struct(F.get(done, n - 1)["start_sec"].alias("start_sec"), rest["end_sec"].alias("end_sec"))
-        return F.when(rest.isNull(), done).when(n == 0, F.array(rest)).otherwise(F.concat(F.slice(done, F.lit(1), n - 1), F.array(last)))
-
-    folded = scenes.select("video_id", F.col("start_sec").cast("double"), F.col("end_sec").cast("double")).groupBy("video_id").agg(ordered.alias("x"))
-    return folded.select("video_id", F.inline(F.aggregate("x", empty, step, close)))
+    before it, or stands alone. One sorted pass; a video's last whole scene is all that is held."""
+
+    def fold(video):
+        done = begin = end = None
+
+        def step(row):
+            nonlocal done, begin, end
+            out = []
+            if row is None:
+                if begin is not None:
+                    done = (done[0] if done else begin, end)
+                return [{"video_id": video, "start_sec": done[0], "end_sec": done[1]}] if done else []
+            begin, end = row["start_sec"] if begin is None else begin, row["end_sec"]
+            if end - begin >= least:
+                if done:
+                    out = [{"video_id": video, "start_sec": done[0], "end_sec": done[1]}]
+                done, begin = (begin, end), None
+            return out
+
+        return step
+
+    kind = scenes.schema["video_id"].dataType.simpleString()
+    rows = scenes.select("video_id", F.col("start_sec").cast("double").alias("start_sec"), F.col("end_sec").cast("double").alias("end_sec"))
+    return ordered_fold(rows, "video_id", ["start_sec", "end_sec"], fold, f"video_id {kind}, start_sec double, end_sec double")
 
 
 def split_long(scenes: DataFrame, above: float = SPLIT_ABOVE, target: float = SPLIT_TARGET, least: float = MERGE_BELOW) -> DataFrame:

@@ -424,7 +424,7 @@ def dominant_share(spark, d):
 @query(f"WITH {LINES} SELECT video_id, text, n, CAST(total AS BIGINT) AS total FROM sh WHERE n >= 3")
 def repeated_lines(spark, d):
     """Lines that a source has three times or more: what watermarks and junk come from."""
-    return material.text_shares(_lines(spark, d), "line").where("n >= 3").select("video_id", "text", "n", "total")
+    return material.text_shares(_lines(spark, d), "line", where=F.col("n") >= 3).select("video_id", "text", "n", "total")
 
 
 @query(
@@ -576,7 +576,7 @@ def library_places(spark, d):
     return catalogue.places(rows, F.desc("_a"), F.col("id")).select("place", "id")
 
 
-_TOPICS = {"urgent": "urgent, high", "low": "low", "other priority": "specified, medium, 11"}
+_TOPICS = {"urgent": ("urgent", "high"), "low": ("low",), "other priority": ("specified", "medium", "11")}
 
 
 @query(

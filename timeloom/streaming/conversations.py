@@ -1,6 +1,7 @@
 """Conversation turns to the scope, query, selection and history that hold after each, as a batch and as a stream.
 
-turns: (conv_id, turn, message, action, query, llm_video_ids, ui_video_ids, selected_index, n_results, clarification). Explicit ids
+turns: (conv_id, turn, message, action, query, llm_video_ids, ui_video_ids, selected_index, n_results, clarification) and, where known, what is
+selected (selected_title, selected_start, selected_end). Explicit ids
 narrow the scope, a refined search inherits it, a new one clears it; the user's own choice of videos bounds it, and takes its place if
 nothing is left. Clarifications and selections leave the search as it is; a selection out of range asks back, with an empty
 scope.
@@ -15,13 +16,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.text import append_history
+from ..operators.folds import ordered_fold
 
 # What is said and kept for each kind of turn.
 ASK_MORE = "可以再多說明一下想找的內容嗎？"
 ASK_WHICH = "不確定指的是上一輪的哪一個結果，可以說明是第幾個，或重新描述想找的內容嗎？"
 NOTHING_FOUND = "沒有找到足夠相關的片段，可以換個描述方式，或改用人物、動作、物件名稱再試一次。"
 UNSURE = "目前搜尋結果的把握度較低，"
+SELECTED, SELECTED_TITLE, SELECTED_TIMES = "已選取第 {} 段", "：《{}》", "{:.1f}s–{:.1f}s"
 HISTORY_CHARS = 800
 
 OUT = "conv_id bigint, turn bigint, action string, active_query string, scope array<int>, shown_scope array<int>, selected_index int, history string"
@@ -40,40 +42,50 @@ def resolve_scope(llm: Column, ui: Column) -> Column:
     return F.when(F.size(ui) == 0, llm).when(F.size(narrowed) > 0, narrowed).otherwise(ui)
 
 
+#: What is kept of a conversation after a turn, and what it is before the first.
+START = (None, [], None, "", 0)
+TURN = ("turn", "message", "action", "query", "llm_video_ids", "ui_video_ids", "selected_index", "n_results", "clarification")
+SELECTION = {"selected_title": "string", "selected_start": "double", "selected_end": "double"}
+
+
+def _whole(turns: DataFrame) -> DataFrame:
+    """The turns with all columns that a fold reads; of the selection those that are missing are null."""
+    chosen = [(F.col(c) if c in turns.columns else F.lit(None)).cast(kind).alias(c) for c, kind in SELECTION.items()]
+    return turns.select(F.col("conv_id").cast("bigint").alias("conv_id"), *TURN, *chosen)
+
+
 def conversation_scopes(turns: DataFrame) -> DataFrame:
-    """The state after each turn (see OUT): scope is the search's, shown_scope what the turn shows. Each conversation's turns are folded
-    as one array, which holds no results."""
-    none = F.array().cast("array<int>")
-    row = F.struct("turn", "message", "action", "query", "llm_video_ids", "ui_video_ids", "selected_index", "n_results", "clarification")
-    state = "struct<turn:bigint,action:string,active_query:string,scope:array<int>,shown_scope:array<int>,selected_index:int,history:string,results:int>"
-    start = F.lit(None).cast(f"array<{state}>")
-
-    def step(acc: Column, x: Column) -> Column:
-        last = F.get(acc, F.size(acc) - 1)
-        scope, history, results = F.coalesce(last["scope"], none), F.coalesce(last["history"], F.lit("")), F.coalesce(last["results"], F.lit(0))
-        ask, pick = x["action"] == "clarify", x["action"] == "select_result"
-        valid = pick & F.coalesce((x["selected_index"] >= 1) & (x["selected_index"] <= results), F.lit(False))
-        search = ~ask & ~pick
-        llm = F.when(F.size(F.coalesce(x["llm_video_ids"], none)) > 0, x["llm_video_ids"]).when(x["action"] == "refine_search", scope).otherwise(none)
-        new = F.when(search, resolve_scope(llm, x["ui_video_ids"])).otherwise(scope)
-        outcome = F.when(ask, F.coalesce(x["clarification"], F.lit(ASK_MORE))).when(valid, F.concat(F.lit("selected "), x["selected_index"].cast("string"))).when(pick, ASK_WHICH).otherwise(x["query"])
-        line = F.concat(F.lit("- 使用者：「"), F.coalesce(x["message"], F.lit("")), F.lit("」→ "), x["action"], F.lit("："), F.coalesce(outcome, F.lit("")))
-        chosen = F.when(search, F.lit(None).cast("int")).when(valid, x["selected_index"]).otherwise(last["selected_index"])
-        after = F.struct(
-            x["turn"].cast("bigint").alias("turn"),
-            x["action"].alias("action"),
-            F.when(search, x["query"]).otherwise(last["active_query"]).alias("active_query"),
-            new.alias("scope"),
-            F.when(pick & ~valid, none).otherwise(new).alias("shown_scope"),
-            chosen.alias("selected_index"),
-            append_history(history, line, HISTORY_CHARS).alias("history"),
-            F.when(search, F.coalesce(x["n_results"], F.lit(0))).otherwise(results).cast("int").alias("results"),
-        ).cast(state)
-        return F.concat(acc, F.array(after))
-
-    folded = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(row)).alias("x"))
-    states = F.aggregate("x", F.coalesce(start, F.array().cast(f"array<{state}>")), step)
-    return folded.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.inline(states)).drop("results")
+    """The state after each turn (see OUT): scope is the search's, shown_scope what the turn shows. One sorted pass that holds one state."""
+
+    def fold(conversation):
+        now = START
+
+        def step(row):
+            nonlocal now
+            if row is None:
+                return []
+            now, shown, action = next_state(now, row)
+            return [{"conv_id": conversation, "turn": row["turn"], "action": action, "active_query": now[0], "scope": now[1], "shown_scope": shown, "selected_index": now[2], "history": now[3]}]
+
+        return step
+
+    return ordered_fold(_whole(turns), "conv_id", ["turn", "message"], fold, OUT)
+
+
+def selection_text(index: int, title: str | None, start: float | None, end: float | None) -> str:
+    """What is said of the chosen result; its title and times where they are known."""
+    said = SELECTED.format(index)
+    if title is None:
+        return said
+    return said + SELECTED_TITLE.format(title) + (SELECTED_TIMES.format(start, end) if start is not None and end is not None else "")
+
+
+def bounded_scope(ids: list[int], choice: list[int]) -> list[int]:
+    """resolve_scope for one turn: the ids inside the user's choice, the choice if there are none, all ids where there is no choice."""
+    if not choice:
+        return ids
+    inside = [v for v in ids if v in choice]
+    return inside or choice
 
 
 def next_state(state: tuple, turn: dict) -> tuple[tuple, list[int], str]:
@@ -84,12 +96,13 @@ def next_state(state: tuple, turn: dict) -> tuple[tuple, list[int], str]:
         outcome, shown = turn["clarification"] or ASK_MORE, scope
     elif action == "select_result":
         if index is not None and 1 <= index <= results:
-            selected, outcome, shown = index, f"selected {index}", scope
+            selected, shown = index, scope
+            outcome = selection_text(index, *(turn.get(c) for c in SELECTION))
         else:
             outcome, shown = ASK_WHICH, []
     else:
-        llm, ui = turn["llm_video_ids"] or (scope if action == "refine_search" else []), turn["ui_video_ids"] or []
-        scope = ([v for v in llm if v in set(ui)] or ui) if ui else llm
+        inherited = scope if action == "refine_search" else []
+        scope = bounded_scope(turn["llm_video_ids"] or inherited, turn["ui_video_ids"] or [])
         query, selected, results = turn["query"], None, turn["n_results"] or 0
         outcome, shown = query or "", scope
     line = f"- 使用者：「{turn['message'] or ''}」→ {action}：{outcome}"
@@ -98,13 +111,14 @@ def next_state(state: tuple, turn: dict) -> tuple[tuple, list[int], str]:
 
 
 def _fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    query, scope, selected, history, results = state.get if state.exists else (None, [], None, "", 0)
+    query, scope, selected, history, results = state.get if state.exists else START
     now = (query, [int(v) for v in scope], selected, history, results)
     out = []
     for r in pd.concat(list(batches)).sort_values("turn").to_dict("records"):
         clean = {k: (None if v is None or (not isinstance(v, (list, str)) and not hasattr(v, "__len__") and pd.isna(v)) else v) for k, v in r.items()}
         for c in ("llm_video_ids", "ui_video_ids"):
             clean[c] = [int(v) for v in clean[c]] if clean[c] is not None else []
+        clean |= {c: clean.get(c) for c in SELECTION}
         for c in ("selected_index", "n_results"):
             clean[c] = None if clean[c] is None else int(clean[c])
         now, shown, action = next_state(now, clean)
