@@ -709,3 +709,6 @@ def time_functions(spark, d):
     e = table(spark, d, "events")
     scored = e.withColumns({"transcript_score": v, "visual_score": F.when(v <= 0.5, v - 0.01), "ocr_score": F.lit(None).cast("double")})
     return scored.select("event_id", format_timestamp(v * 60).alias("stamp"), F.size(sample_times(F.lit(0.0), v)).cast("bigint").alias("samples"), F.round(F.get(probe_times(F.lit(0.0), v), F.lit(2)), 6).alias("last_probe"), F.round(temporal_iou(F.lit(0.0), v, F.lit(5.0), F.lit(20.0)), 6).alias("iou"), hit_source_label().alias("label"))
+
+
+from . import queries_tables  # noqa: E402, F401  registers its queries

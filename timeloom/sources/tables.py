@@ -9,20 +9,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def stage(df: DataFrame) -> DataFrame:
-    """df written to the folder that all machines share, and read again: steps that use it several times compute it once, and a lost
-    executor costs no step before it. The folder is the session's spark.checkpoint.dir; where that is unset, a session on one machine
-    gets a new one, and a cluster, where no folder of one machine would do, an error."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new place in the folder that all machines share: the session's spark.checkpoint.dir. Where that is unset, a session on one
+    machine gets a new folder, and a cluster, where no folder of one machine would do, an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all machines see")
         folder = "file://" + tempfile.mkdtemp(prefix="timeloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder}/stage-{uuid.uuid4().hex}"
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """df written to the shared folder, and read again: steps that use it several times compute it once, and a lost executor costs no
+    step before it."""
+    path = shared_path(df.sparkSession, "stage")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def small(df: DataFrame, most: int = 10_000) -> DataFrame:
