@@ -172,3 +172,33 @@ def test_hybrid_search(spark):
     assert sorted((r.query_id, r.rank, r.segment_id) for r in plain.collect()) == sorted((k[0], v.rank, k[1]) for k, v in got.items())
     narrowed, _ = hybrid_search(q, vec, s, videos, events, video_vectors=spark.createDataFrame([(1, [0.0, 1.0, 0.0, 0.0]), (2, [1.0, 0.0, 0.0, 0.0])], "video_id int, vector array<float>"), sparse_scope="prefiltered")
     assert {r.video_id for r in narrowed.where("query_id = 1").collect()} == {2}
+
+
+def test_search_without_all_pairs_gives_the_sorted_results(spark, monkeypatch):
+    """Scopes, negations, short and unknown terms, events, missing vectors and equal scores: as from all pairs, sorted."""
+    import random
+
+    from timeloom.operators import pruned
+
+    monkeypatch.setattr(pruned, "HELD", 10)
+    r = random.Random(9)
+    words = ["alpha", "beta", "gamma", "delta", "q7", "zz"]
+    unit = [[1.0 if i == j else 0.0 for i in range(4)] for j in range(4)]
+    vec = lambda: r.choice([None, r.choice(unit), [r.randint(-3, 3) / 1.0 for _ in range(4)]])
+    rows = [(i, i % 5, float(i % 7), float(i % 7 + 5), " ".join(r.choice(words[:4]) for _ in range(4)) + (" q7" if i % 11 == 0 else ""), None, None, vec(), vec(), vec()) for i in range(240)]
+    s = spark.createDataFrame(rows, "id int, video_id int, start_sec double, end_sec double, transcript string, visual_description string, ocr_text string, transcript_embedding array<float>, visual_embedding array<float>, ocr_embedding array<float>").repartition(3)
+    from timeloom.sources.schemas import with_content
+
+    s = with_content(s)
+    events = spark.createDataFrame([(i % 260, r.choice(unit) if i % 9 else None) for i in range(80)], "segment_id int, embedding array<float>")
+    asked = [(1, "alpha，不要beta", None), (2, "gamma q7", [0, 1, 2]), (3, "unknown zz", None), (4, "delta alpha", []), (5, "沒有delta", [3, 4])]
+    q = spark.createDataFrame(asked, "query_id int, query string, scope array<int>")
+    vectors = spark.createDataFrame([(k, v, r.choice(unit)) for k, *_ in asked for v in range(2)], "query_id int, variant int, vector array<float>")
+    videos = spark.createDataFrame([(i, f"t{i}") for i in range(4)], "id int, title string")
+    columns = ("query_id", "rank", "segment_id", "video_title", "similarity", "hit_source", "transcript_score", "ocr_score", "fusion_score")
+    for top in (None, spark.createDataFrame([(i, unit[i % 4]) for i in range(5)], "video_id int, vector array<float>")):
+        a, sa = hybrid_search(q, vectors, s, videos, events, top, min_similarity=-1.0)
+        b, sb = hybrid_search(q, vectors, s, videos, events, top, min_similarity=-1.0, prune=False)
+        got, want = (sorted(map(tuple, x.select(*columns).collect()), key=repr) for x in (a, b))
+        assert got == want and len(got) > 20
+        assert sorted(map(tuple, sa.collect())) == sorted(map(tuple, sb.collect()))

@@ -6,6 +6,7 @@ id, video_id and content.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -143,8 +144,9 @@ def route_terms(terms: DataFrame, segments: DataFrame, hits: DataFrame | None =
     return kept.select("query_id", "scope", "term", "channel").union(short.withColumn("channel", F.lit("like")))
 
 
-def sparse_channel(queries: DataFrame, segments: DataFrame, candidates: DataFrame | None = None, text: str = "query", limit: int | None = LIMIT, like_limit: int | None = None, index: DataFrame | None = None) -> DataFrame:
-    """(query_id, id, score) of the candidates (query_id, id), or of all segments in a query's scope, that the keywords find.
+def sparse_channel(queries: DataFrame, segments: DataFrame, candidates: DataFrame | None = None, text: str = "query", limit: int | None = LIMIT, like_limit: int | None = None, index: DataFrame | None = None, restrict: Callable[[DataFrame], DataFrame] | None = None, totals: DataFrame | None = None) -> DataFrame:
+    """(query_id, id, score) of the candidates (query_id, id), or of all segments in a query's scope, that the keywords find. Instead of
+    all candidates `restrict` may say which of found rows (query_id, id, ...) are some, and totals (query_id, n) how many a query has.
 
     BM25 scores go first; a segment found by short terms only scores SHORT_SCORE. A short term that more than a fifth of
     a query's candidates hold says nothing and is left out. like_limit: consider only so many lowest ids for a short term.
@@ -163,7 +165,9 @@ def sparse_channel(queries: DataFrame, segments: DataFrame, candidates: DataFram
         rank = F.row_number().over(Window.partitionBy("query_id", "term").orderBy("id"))
         found = found.withColumn("_r", rank).where(F.col("_r") <= like_limit).drop("_r")
     scored = bm25(known, segments, limit, hits.join(known, ["query_id", "term"], "left_semi"))
-    if candidates is None:
+    if restrict is not None:
+        scored, found, total = restrict(scored), restrict(found), totals
+    elif candidates is None:
         total = corpus_stats(queries.select("query_id", "scope"), segments).select("query_id", F.col("n_docs").alias("n"))
     else:
         scored, found = (x.join(candidates, ["query_id", "id"], "left_semi") for x in (scored, found))
@@ -173,10 +177,11 @@ def sparse_channel(queries: DataFrame, segments: DataFrame, candidates: DataFram
     return scored.unionByName(only).groupBy("query_id", "id").agg(F.max("score").alias("score"))
 
 
-def negated_segments(queries: DataFrame, segments: DataFrame, candidates: DataFrame | None = None, limit: int | None = None, index: DataFrame | None = None) -> DataFrame:
-    """(query_id, id): the candidates, or all segments in a query's scope, that the negated part of a query finds."""
+def negated_segments(queries: DataFrame, segments: DataFrame, candidates: DataFrame | None = None, limit: int | None = None, **options) -> DataFrame:
+    """(query_id, id): the candidates, or all segments in a query's scope, that the negated part of a query finds; options: as in
+    sparse_channel."""
     negative = queries.withColumn("_neg", negative_text(F.col("query"))).where("trim(_neg) <> ''")
-    return sparse_channel(negative, segments, candidates, "_neg", limit, index=index).select("query_id", "id")
+    return sparse_channel(negative, segments, candidates, "_neg", limit, **options).select("query_id", "id")
 
 
 def exclude_negated(queries: DataFrame, segments: DataFrame, candidates: DataFrame, limit: int | None = None) -> DataFrame:

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scoring import hit_source_label
-from ..functions.text import first_text, strip_generic_terms
-from ..operators.dense import dense_channel, prefilter_videos, relevant_videos, vector_scores
-from ..operators.fusion import MIN_FUSION, MIN_SIMILARITY, is_confident, rrf, rrf_pruned, top_results
-from ..operators.sparse import LIMIT, exclude_negated, in_scope, sparse_channel
+from ..functions.text import first_text, negative_text, strip_generic_terms
+from ..operators.dense import dense_channel, relevant_videos, vector_scores
+from ..operators.fusion import MIN_FUSION, MIN_SIMILARITY, ORDER, few_sparse_ranks, fuse, is_confident, rank_bound, rrf, sparse_ranks_of, top_results
+from ..operators.pruned import best_rows, named_rows, rows_before, vector_rows
+from ..operators.sparse import LIMIT, corpus_stats, exclude_negated, in_scope, negated_segments, sparse_channel
 from ..sources.tables import small, stage
 
 #: Fixed value: the title of a segment whose video isn't among the analysed ones.
@@ -36,31 +37,27 @@ def hybrid_search(
     min_similarity: float = MIN_SIMILARITY,
     min_fusion: float = MIN_FUSION,
     prune: bool = True,
+    index: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """results (query_id, rank, segment and scores) and summary (query_id, n_results, is_confident), one row for each query.
 
     queries: (query_id, query, scope); query_vectors: (query_id, variant, vector); segments: with content and array vectors;
     videos: the analysed ones (id, title); video_vectors: (video_id, vector) of summaries, by which queries without a scope
     are first narrowed to relevant videos. sparse_scope `prefiltered` makes the keyword channel's figures and limit those of the
-    narrowed segments too. prune: rank by counting instead of sorting; the results are the same.
+    narrowed segments too. prune: only rows that can reach min_fusion are ranked, by counting, and no row is made for each pair of query
+    and segment; without it all pairs are written and sorted, as a reference. index: a trigram index of the segments, if there is one.
     """
     cleaned = queries.withColumn("query", strip_generic_terms(F.col("query")))
-    rows = segments.select("id", "video_id", "start_sec")
-    scoped = rows.join(small(cleaned.select("query_id", "scope")), in_scope(F.col("scope"), F.col("video_id")))
+    narrowed = cleaned.select("query_id", "query", "scope")
     if video_vectors is not None:
         relevance = vector_scores(query_vectors, video_vectors.select("video_id", "vector"), "video_id")
         free = cleaned.where("scope is null").select("query_id")
-        scoped = prefilter_videos(scoped, relevant_videos(relevance.join(free, "query_id", "left_semi")))
-    # what several steps read is written once
-    candidates = stage(exclude_negated(cleaned, segments, scoped, negation_limit))
-    scored = dense_channel(query_vectors, segments, events).join(candidates, ["query_id", "id"])
-    valid = stage(scored.select("query_id", "id", "video_id", "start_sec", "similarity", "transcript_score", "visual_score", "ocr_score"))
-    asked = cleaned
-    if sparse_scope == "prefiltered":
-        narrowed = scoped.groupBy("query_id").agg(F.collect_set("video_id").alias("scope"))
-        asked = cleaned.drop("scope").join(narrowed, "query_id")
-    sparse = stage(sparse_channel(asked, segments, valid.select("query_id", "id"), limit=bm25_limit))
-    fused = stage(rrf_pruned(valid, sparse, min_fusion) if prune else rrf(valid, sparse))
+        relevant = relevant_videos(relevance.join(free, "query_id", "left_semi")).groupBy("query_id").agg(F.collect_set("video_id").alias("_few"))
+        narrowed = narrowed.join(relevant, "query_id", "left").select("query_id", "query", F.coalesce("scope", "_few").alias("scope"))
+    narrowed = stage(narrowed)
+    asked = narrowed if sparse_scope == "prefiltered" else cleaned
+    search = _pruned if prune and min_fusion > 0 else _sorted
+    fused = stage(search(cleaned, narrowed, asked, query_vectors, segments, events, bm25_limit, negation_limit, min_fusion, index))
     best = top_results(fused, top_k, min_similarity, min_fusion)
     own = segments.select("id", "end_sec", "transcript", first_text("visual_description", "transcript", "ocr_text").alias("description"))
     results = attach_titles(best.join(own, "id"), videos).withColumn("hit_source", hit_source_label())
@@ -68,3 +65,56 @@ def hybrid_search(
     n = best.groupBy("query_id").agg(F.count("*").alias("n_results"))
     summary = queries.select("query_id", "query").join(n, "query_id", "left").join(is_confident(fused), "query_id", "left")
     return shown, summary.select("query_id", "query", F.coalesce("n_results", F.lit(0)).alias("n_results"), F.coalesce("is_confident", F.lit(False)).alias("is_confident"))
+
+
+def _within(narrowed: DataFrame, segments: DataFrame):
+    """Which of found rows (query_id, id, ...) are segments that their query may show."""
+    scopes, places = narrowed.select("query_id", "scope"), segments.select("id", "video_id")
+
+    def restrict(found: DataFrame) -> DataFrame:
+        met = found.join(places, "id").join(small(scopes), "query_id").where(in_scope(F.col("scope"), F.col("video_id")))
+        return met.select(*found.columns)
+
+    return restrict
+
+
+def _pruned(cleaned, narrowed, asked, query_vectors, segments, events, bm25_limit, negation_limit, min_fusion, index) -> DataFrame:
+    """The rows that can reach the floor, with both ranks and the fused score.
+
+    Such a row, and the best row of a query too, has one of its ranks at most rank_bound: the dense ones are the best of what the tasks
+    send, the sparse ones the first that the keywords find; the latter's dense rank is counted inside the tasks.
+    """
+    bound, scopes = max(rank_bound(min_fusion), 1), narrowed.select("query_id", "scope")
+    inside = _within(narrowed, segments)
+    negated = cleaned.where(F.trim(negative_text(F.col("query"))) != "")
+    excluded = None
+    if not negated.isEmpty():
+        n = corpus_stats(scopes, segments).select("query_id", F.col("n_docs").alias("n"))
+        excluded = stage(negated_segments(negated, segments, None, negation_limit, index=index, restrict=inside, totals=n))
+    vectors = stage(vector_rows(segments, events, excluded))
+    first = stage(best_rows(query_vectors, scopes, vectors, bound))
+    totals = first.where("id is null").groupBy("query_id").agg(F.sum("n").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), *ORDER))
+    top = first.where("id is not null").drop("n").withColumn("dense_rank", rank).where(F.col("dense_rank") <= bound)
+
+    def valid(found: DataFrame) -> DataFrame:
+        kept = inside(found).join(vectors.select("id"), "id", "left_semi")
+        return kept if excluded is None else kept.join(excluded, ["query_id", "id"], "left_anti")
+
+    sparse = stage(sparse_channel(asked, segments, limit=bm25_limit, index=index, restrict=valid, totals=totals))
+    low = few_sparse_ranks(sparse, bound).join(top, ["query_id", "id"], "left_anti").select("query_id", "id")
+    named = stage(named_rows(query_vectors, scopes, vectors, low))
+    counted = rows_before(query_vectors, scopes, vectors, named).select("query_id", "id", (F.col("before") + 1).cast("int").alias("dense_rank"))
+    rows = stage(top.unionByName(named.join(counted, ["query_id", "id"])))
+    return fuse(rows.join(sparse_ranks_of(sparse, rows), ["query_id", "id"], "left"))
+
+
+def _sorted(cleaned, narrowed, asked, query_vectors, segments, events, bm25_limit, negation_limit, min_fusion, index) -> DataFrame:
+    """The same from all pairs of queries and segments, for all rows."""
+    rows = segments.select("id", "video_id", "start_sec")
+    scoped = rows.join(small(narrowed.select("query_id", "scope")), in_scope(F.col("scope"), F.col("video_id")))
+    candidates = stage(exclude_negated(narrowed, segments, scoped, negation_limit))
+    scored = dense_channel(query_vectors, segments, events).join(candidates, ["query_id", "id"])
+    valid = stage(scored.select("query_id", "id", "video_id", "start_sec", "similarity", "transcript_score", "visual_score", "ocr_score"))
+    sparse = stage(sparse_channel(asked, segments, valid.select("query_id", "id"), limit=bm25_limit, index=index))
+    return rrf(valid, sparse)

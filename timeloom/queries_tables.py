@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from .functions.catalogue import OTHER_TOPIC, TOPICS, best_thumbnail, catalogue_items, chat_cost, embedding_cost, is_video_url, speech_cost
 from .functions.text import dominant_word
 from .operators import catalogue, coverage, dense, evaluation, material, models, quality, sparse, timeline
+from .plans.hybrid import hybrid_search
 from .plans.segments import build_segments
-from .queries import EVAL, HITS, LINE, ORACLE, PAIRS, SEG, SPLIT, STATS, STEPS, VID, _document, _round, _scaled, query, turns_of
+from .queries import EVAL, HITS, HYBRID, LINE, ORACLE, PAIRS, SEG, SPLIT, STATS, STEPS, VID, _document, _fusion_inputs, _round, _scaled, query, turns_of
 from .sources import adapters
 from .sources.adapters import segments, table, vectors, videos
 from .sources.golden import read_golden_set
@@ -451,6 +452,24 @@ def dense_modalities(spark, d):
     return _round(out, "transcript_score", "visual_score", "ocr_score", "similarity")
 
 
+_FREE = "t AS (SELECT * FROM (SELECT vec_id AS query_id FROM embeddings WHERE vec_id % 100 = 0), (VALUES ('thing', NULL::INT[]), ('ment', NULL)) AS v(term, scope))"
+_SCOPED = "t AS (SELECT query_id, term, CASE WHEN query_id % 200 = 0 THEN [0, 1, 2]::INT[] END AS scope FROM (SELECT vec_id AS query_id FROM embeddings WHERE vec_id % 100 = 0), (VALUES ('thing'), ('ment')) AS v(term))"
+assert _FREE in HYBRID
+
+
+@query(
+    f"""WITH {HYBRID.replace(_FREE, _SCOPED).replace("FROM p JOIN seg s ON s.id = p.id", "FROM p JOIN seg s ON s.id = p.id WHERE p.query_id % 200 <> 0 OR s.video_id IN (0, 1, 2)")}, {VID},
+best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fusion_score DESC, video_id, start_sec, id) AS rank FROM ranked WHERE similarity >= 0.1 AND fusion_score >= 0.1)
+SELECT query_id, rank, best.id AS segment_id, coalesce(title, '未知影片') AS video_title, md5(seg.transcript) AS description, round(fusion_score, 6) AS fusion_score FROM best JOIN seg ON seg.id = best.id LEFT JOIN vi ON vi.id = best.video_id WHERE rank <= 20"""
+)
+def hybrid_in_scopes(spark, d):
+    """Half of the queries in a scope of three sources; results with their titles and descriptions, which fall back to the transcript."""
+    q, _, whole = _fusion_inputs(spark, d)
+    q = q.withColumn("scope", F.when(F.col("query_id") % 200 == 0, F.array(F.lit(0), F.lit(1), F.lit(2))))
+    results, _ = hybrid_search(q, adapters.query_vectors(spark, d), whole, videos(spark, d), min_similarity=0.1, bm25_limit=None)
+    return _round(results.select("query_id", "rank", "segment_id", "video_title", F.md5("description").alias("description"), "fusion_score"), "fusion_score")
+
+
 @query(f"WITH {EVAL} SELECT round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END, 6) AS no_answer_precision FROM (SELECT count(*) FILTER (NOT is_answerable AND NOT conf) AS tp, count(*) FILTER (is_answerable AND NOT conf) AS fp FROM e)")
 def no_answer_precision(spark, d):
     from .queries import _evaluated
