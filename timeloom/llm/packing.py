@@ -206,7 +206,9 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # the table of places has at most a few rows for each length
     places = spark.sparkContext.broadcast(slots(plan(count, cap)))
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = pieces.join(by_task.select("length", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), ["length", "task"])
+    # this table grows with the tasks: it isn't broadcast, however small it looks
+    bases = by_task.select("length", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")).hint("merge")
+    ranked = pieces.join(bases, ["length", "task"])
     ranked = ranked.select(id_col, "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("nth")).alias("rank"))
 
     def place(batches):

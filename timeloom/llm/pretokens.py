@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -146,7 +147,7 @@ def token_ids(texts: list[str], cache: WordCache, special: str | None) -> tuple[
     coded = words.dictionary_encode()
     each = cache(coded.dictionary.to_pylist())
     size = np.fromiter(map(len, each), np.int64, len(each))
-    flat = np.concatenate([np.asarray(x, np.uint32) for x in each]) if each else np.empty(0, np.uint32)
+    flat = np.fromiter(chain.from_iterable(each), np.uint32, int(size.sum()))
     start = np.cumsum(size) - size
     at = np.asarray(coded.indices).astype(np.int64)
     count = size[at]
