@@ -16,7 +16,7 @@ from .plans.hybrid import hybrid_search
 from .sources import adapters
 from .sources.adapters import segments, table, vectors, videos
 from .sources.schemas import reconcile
-from .sources.tables import stage
+from .sources.tables import small, stage
 from .streaming.conversations import conversation_scopes, history
 from .streaming.jobs import job_state
 from .streaming.tables import log_windows
@@ -121,7 +121,7 @@ def negation_exclude(spark, d):
     """The candidates that no negated term finds, without a limit; all of these terms occur."""
     q = spark.createDataFrame(NEGATIVE, "query_id int, query string, scope array<int>")
     s = segments(spark, d)
-    candidates = s.join(F.broadcast(q), sparse.in_scope(F.col("scope"), F.col("video_id"))).select("query_id", "id")
+    candidates = s.join(small(q), sparse.in_scope(F.col("scope"), F.col("video_id"))).select("query_id", "id")
     return sparse.exclude_negated(q, s, candidates)
 
 
