@@ -74,3 +74,37 @@ def test_the_merged_sketch_only_overestimates(bits, monkeypatch):
         assert seen[i][repeated].all()
         if bits == 25:
             assert seen[i].sum() <= repeated.sum() + 2
+
+
+def test_messages_take_several_hops(docs, odd_docs, no_docs, texts, monkeypatch):
+    """With two bits a hop, many blocks and many shards, messages and answers go by way of others."""
+    for name, value in {"BLOCK": 1500, "SHARD_WINDOWS": 100, "FAN_BITS": 2}.items():
+        monkeypatch.setattr(S, name, value)
+    assert rows_of(S.substring_dedup(docs)) == brute(texts)
+    assert rows_of(S.substring_dedup(odd_docs)) == brute(texts)
+    assert S.substring_dedup(no_docs).collect() == []
+
+
+def test_rows_sent_grow_with_the_blocks_alone(spark):
+    """Each sender writes to each receiver, over one table and another eight times as large: eight times as many rows, and all arrive."""
+    import numpy as np
+    import pyarrow as pa
+
+    from timeloom.llm import messages as M
+
+    def sent(n):
+        last = M.hops(n, 2)
+
+        def run(batches):
+            for b in batches:
+                for i in b.column("id").to_pylist():
+                    yield M.rows(np.arange(n), np.full(n, i), pa.array([b"%d>%d" % (i, j) for j in range(n)], pa.binary()), 1, last, 2)
+
+        first = spark.range(n, numPartitions=2).mapInArrow(run, M.ROW)
+        got = M.delivered(first, last, 2).collect()
+        assert all(set(r.receiver) == {r.part} for r in got)
+        assert sorted(bytes(x) for r in got for x in r.payload) == sorted(b"%d>%d" % (i, j) for i in range(n) for j in range(n))
+        return first.count()
+
+    few, many = sent(16), sent(128)
+    assert few <= 4 * 16 and many <= 4 * 128

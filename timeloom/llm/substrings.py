@@ -3,7 +3,8 @@
 Pass 1 counts every window's hash in a count-min sketch of two rows. Its width grows with the number of windows (16 to 32
 cells each), so it is kept in shards by the hash's leading bits: each block of rows sends a shard its partition sketch, the list
 of values whose cells it raises by one; the shard's task merges these and answers each block which of its windows may occur
-in another block, those of which both cells count two. The sketch only overestimates, so no repeated window is lost. Pass 2 sends
+in another block, those of which both cells count two. Lists and answers to many receivers share rows (`messages`), so that a block or
+a shard sends at most 2^FAN_BITS of them however many shards and blocks there are. The sketch only overestimates, so no repeated window is lost. Pass 2 sends
 just the windows estimated repeated, with a 104-bit hash and the block's smallest document, and groups them exactly. Pass 3
 cuts the words. Sketches and answers are as large as their windows are many; nothing is broadcast and nothing goes through the
 driver but the number of words.
@@ -22,16 +23,21 @@ from pyspark.sql import types as T
 
 from .blocks import block_table, unpack
 from .common import utf8_list
+from .messages import ROW, delivered, hops, opened, rows
 from .text import Words, words_of, xxh64_slices
 
 BLOCK = 4 << 20
 VALUE_BYTES = 4
 #: Windows that a shard of the sketch holds at most, on average, and the bits of a cell's number in each of its two rows.
 SHARD_WINDOWS, CELL_BITS = 1 << 21, 25
+#: A block's or a shard's messages leave in at most 2^FAN_BITS rows.
+FAN_BITS = 8
 #: Fixed odd multiplier from which a value's cell in the second row comes.
 SECOND = np.uint64(0x9E3779B1)
 #: Fixed odd multipliers of the two rolling hashes.
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+#: Bytes of an entry's two hashes and id.
+ENTRY_BYTES = (8, 5, 8)
 LAST = np.iinfo(np.int64).max
 
 
@@ -134,9 +140,17 @@ def _estimate(shard: pa.Table) -> pa.Table:
     return pa.table({"block": shard.column("block"), "shard": shard.column("shard"), "seen": seen})
 
 
+def _entries(data: bytes) -> list[np.ndarray]:
+    """The two hashes and the smallest id of each entry sent."""
+    data = zstandard.decompress(data)
+    n = len(data) // sum(ENTRY_BYTES)
+    at = np.cumsum([0, *ENTRY_BYTES]) * n
+    return [_numbers(data[a:b], k) for a, b, k in zip(at[:-1], at[1:], ENTRY_BYTES, strict=True)]
+
+
 def _exact(shard: pa.Table) -> pa.Table:
     """A bit for each entry sent: set if another block has the same window in a document with a smaller id than all of its own."""
-    parts = [[_numbers(d, n) for d, n in zip(x, (8, 5, 8), strict=True)] for x in zip(*(map(zstandard.decompress, shard.column(c).to_pylist()) for c in ("one", "two", "least")), strict=True)]
+    parts = [_entries(x) for x in shard.column("entries").to_pylist()]
     size = [len(p[0]) for p in parts]
     one, two, least = (np.concatenate([p[i] for p in parts]) for i in range(3))
     least = least.view(np.int64)
@@ -163,7 +177,7 @@ def _kept(words: Words, drop: np.ndarray) -> pa.Array:
 
 
 def _answers(column: pa.Array) -> list[list]:
-    return [[(x["shard"], x["seen"]) for x in row or []] for row in column.to_pylist()]
+    return [[x for bundle in row or [] for x in zip(bundle["sender"], bundle["payload"], strict=True)] for row in column.to_pylist()]
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 13, keep: tuple[str, ...] | None = None) -> DataFrame:
@@ -184,29 +198,30 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return len(words_of(utf8_list(b.column(text_col))).start)
 
     blocks = block_table(docs.select(*read), text_col, measure, BLOCK)
-    n = blocks.agg(F.sum("n")).first()[0] or 0
-    bits = max(3, math.ceil(math.log2(max(n, 1) / SHARD_WINDOWS)))
+    n, n_blocks = blocks.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    bits, fan = max(3, math.ceil(math.log2(max(n, 1) / SHARD_WINDOWS))), FAN_BITS
+    to_shards, to_blocks = hops(1 << bits, fan), hops(n_blocks, fan)
 
     def sketch(batches):
         for batch in batches:
-            for block, rows in zip(batch.column("block").to_pylist(), batch.column("rows").to_pylist(), strict=True):
-                found = list(_cells(unpack(rows), text_col, width, bits))
-                yield pa.record_batch([pa.array([x[0] for x in found], pa.int32()), pa.array([block] * len(found), pa.int64()), pa.array([x[1] for x in found], pa.binary())], ["shard", "block", "cells"])
+            for block, packed in zip(batch.column("block").to_pylist(), batch.column("rows").to_pylist(), strict=True):
+                found = list(_cells(unpack(packed), text_col, width, bits))
+                yield rows([x[0] for x in found], [block] * len(found), pa.array([x[1] for x in found], pa.binary()), 1, to_shards, fan)
 
     def repeated(batches):
+        press = zstandard.ZstdCompressor(3).compress
         for batch in batches:
-            for block, rows, answers in zip(batch.column("block").to_pylist(), batch.column("rows").to_pylist(), _answers(batch.column("answers")), strict=True):
-                b = unpack(rows)
+            for block, packed, answers in zip(batch.column("block").to_pylist(), batch.column("rows").to_pylist(), _answers(batch.column("answers")), strict=True):
+                b = unpack(packed)
                 r = _Repeats(utf8_list(b.column(text_col)), _ids(b, id_col), width, answers, bits)
-                out = [(s, r.bounds[s], r.bounds[s + 1]) for s in range(1 << bits) if r.bounds[s + 1] > r.bounds[s]]
-                press = zstandard.ZstdCompressor(3).compress
-                cols = [[press(_planes(x[i:j], k)) for _, i, j in out] for x, k in ((r.one, 8), (r.two, 5), (r.least, 8))]
-                yield pa.record_batch([pa.array([x[0] for x in out], pa.int32()), pa.array([block] * len(out), pa.int64()), *(pa.array(c, pa.binary()) for c in cols)], ["shard", "block", "one", "two", "least"])
+                shards = np.flatnonzero(np.diff(r.bounds))
+                entries = [press(b"".join(_planes(x[r.bounds[s] : r.bounds[s + 1]], k) for x, k in zip((r.one, r.two, r.least), ENTRY_BYTES, strict=True))) for s in shards]
+                yield rows(shards, [block] * len(shards), pa.array(entries, pa.binary()), 1, to_shards, fan)
 
     def cut(batches):
         for batch in batches:
-            for rows, answers, smaller in zip(batch.column("rows").to_pylist(), _answers(batch.column("answers")), _answers(batch.column("smaller")), strict=True):
-                b = unpack(rows)
+            for packed, answers, smaller in zip(batch.column("rows").to_pylist(), _answers(batch.column("answers")), _answers(batch.column("smaller")), strict=True):
+                b = unpack(packed)
                 r = _Repeats(utf8_list(b.column(text_col)), _ids(b, id_col), width, answers, bits)
                 gone = np.zeros(len(r.one), bool)
                 for s, seen in smaller:
@@ -218,15 +233,21 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 before = np.r_[0, np.cumsum(drop)][r.words.first]
                 yield pa.record_batch([*(b.column(c) for c in keep), pa.array(np.diff(r.words.first)), pa.array(np.diff(before)), _kept(r.words, drop)], [*keep, *results])
 
-    reply = "block bigint, shard int, seen binary"
+    def asked_of(work, column):
+        """What a shard answers to the blocks that asked it."""
+
+        def run(shard):
+            receiver, sender, payload = opened(shard)
+            found = work(pa.table({"block": sender, "shard": receiver, column: payload}))
+            return pa.Table.from_batches([rows(found.column("block"), found.column("shard"), found.column("seen").combine_chunks(), 1, to_blocks, fan)])
+
+        return run
 
-    def gathered(df, name):
-        return df.groupBy("block").agg(F.collect_list(F.struct("shard", "seen")).alias(name))
+    def exchanged(sent, work, column, name):
+        answers = delivered(sent, to_shards, fan).groupBy("part").applyInArrow(asked_of(work, column), ROW)
+        return delivered(answers, to_blocks, fan).groupBy(F.col("part").alias("block")).agg(F.collect_list(F.struct("sender", "payload")).alias(name))
 
-    cells = blocks.mapInArrow(sketch, "shard int, block bigint, cells binary")
-    answers = gathered(cells.groupBy("shard").applyInArrow(_estimate, reply), "answers")
-    asked = blocks.join(answers, "block", "left")
-    entries = asked.mapInArrow(repeated, "shard int, block bigint, one binary, two binary, least binary")
-    smaller = gathered(entries.groupBy("shard").applyInArrow(_exact, reply), "smaller")
+    asked = blocks.join(exchanged(blocks.mapInArrow(sketch, ROW), _estimate, "cells", "answers"), "block", "left")
+    smaller = exchanged(asked.mapInArrow(repeated, ROW), _exact, "entries", "smaller")
     out = T.StructType([docs.schema[c] for c in keep]).add("n_words", "long").add("n_removed", "long").add("kept_text", "string")
     return asked.join(smaller, "block", "left").mapInArrow(cut, out)
