@@ -104,6 +104,26 @@ def test_relevant_videos(spark):
     assert dense.prefilter_videos(s, relevant).count() == 2 + 2 + 1
 
 
+def test_relevant_videos_by_their_vectors(spark, monkeypatch):
+    """The same as from all pairs, for batches of a few rows: videos without an id, repeated rows, a query with one video only."""
+    r = np.random.default_rng(4)
+    centre = r.normal(size=(12, 6)) * 2
+    rows = [(i, i % 12 if i % 7 else None, (centre[i % 12] + r.normal(size=6)).tolist()) for i in range(90)]
+    rows += [rows[3], (200, 5, None), (201, 6, [0.0] * 6), (None, 2, rows[2][2])]
+    v = spark.createDataFrame(rows, "id int, video_id int, vector array<double>").repartition(3)
+    q = v.where("id % 9 = 3").dropDuplicates(["id"]).selectExpr("id as query_id", "0 as variant", "vector")
+    pairs = dense.vector_scores(q, v.select(F.struct("id", "video_id").alias("key"), "vector"), "key").where("not key.id <=> query_id")
+    best = pairs.groupBy("query_id", F.col("key.video_id").alias("video_id")).agg(F.round(F.max("score"), 9).alias("score"))
+    want = sorted(map(str, dense.relevant_videos(best, margin=0.3).collect()))
+    assert want and sorted(map(str, dense.relevant_of_vectors(q, v, margin=0.3).collect())) == want
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)
+    monkeypatch.setattr(dense, "MAX_QUERIES", 4)
+    assert sorted(map(str, dense.relevant_of_vectors(q, v, margin=0.3).collect())) == want
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    one = v.where("video_id = 3")
+    assert dense.relevant_of_vectors(q, one).count() == 0 and dense.relevant_of_vectors(q.limit(0), v).count() == 0
+
+
 def test_labels_and_floors(spark):
     rows = [(0.9, 0.88, 0.5, "字幕＋畫面"), (0.9, 0.87, None, "字幕"), (0.9, 0.89, 0.88, "綜合"), (None, None, 0.1, "OCR"), (None, None, None, "畫面")]
     df = spark.createDataFrame(rows, "transcript_score double, visual_score double, ocr_score double, want string")

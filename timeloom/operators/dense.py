@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -179,6 +180,52 @@ def relevant_videos(scores: DataFrame, least: float = 0.10, margin: float = 0.15
     return best.where((F.col("_n") > 1) & (F.col("_max") >= least) & (F.col("score") >= F.col("_max") - margin)).select("query_id", "video_id")
 
 
+def _near_the_best(scores: np.ndarray, video: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(video, query, score) of each video's best score where it is near the query's best or one of its best two; video is sorted."""
+    first = np.flatnonzero(np.r_[True, video[1:] != video[:-1]])
+    best = np.maximum.reduceat(scores, first, axis=0)
+    floor = best.max(axis=0) - margin - 10.0 ** (2 - DIGITS)
+    if len(best) > 1:
+        floor = np.minimum(floor, np.partition(best, len(best) - 2, axis=0)[len(best) - 2])
+    i, j = np.nonzero((best >= floor) & (best > -np.inf))
+    return video[first][i], j, best[i, j]
+
+
+def relevant_of_vectors(queries: DataFrame, vectors: DataFrame, least: float = 0.10, margin: float = 0.15) -> DataFrame:
+    """As relevant_videos, where a video scores by the best of its vectors (id, video_id, vector) other than the query's own.
+
+    No pair of a query and a vector leaves a task: of each part of a batch the best score of each video does, if it is near enough to the
+    query's best there. The best two videos always do, so that a query has one video just if it has one in all.
+    """
+    spark = vectors.sparkSession
+    kinds = {"query_id": queries.schema["query_id"].dataType, "video_id": vectors.schema["video_id"].dataType}
+    schema = f"query_id {kinds['query_id'].simpleString()}, video_id {kinds['video_id'].simpleString()}, score double"
+    q_type = to_arrow_type(kinds["query_id"])
+    rows = vectors.where("vector is not null").select("id", "video_id", F.coalesce(unit(F.col("vector")), F.transform("vector", lambda x: F.lit(0.0))).alias("_u"))
+    out = spark.createDataFrame([], schema)
+    for part in query_slices(queries):
+        shared = spark.sparkContext.broadcast(part)
+
+        def run(batches, shared=shared):
+            ids, matrix, owner = shared.value
+            q = pa.array(ids, q_type)
+            names = q.cast(pa.string())
+            for b in _slices(batches, len(ids)):
+                scores = _best(_matrix(b.column("_u")), matrix, owner, len(ids))
+                own = pc.index_in(b.column("id").cast(pa.string()), value_set=names, skip_nulls=True).to_numpy(zero_copy_only=False)
+                at = np.flatnonzero(~np.isnan(own))
+                scores[at, own[at].astype(np.int64)] = -np.inf
+                video = pc.dictionary_encode(b.column("video_id"), null_encoding="encode")
+                code = video.indices.to_numpy()
+                order = np.argsort(code, kind="stable")
+                i, j, s = _near_the_best(scores[order], code[order], margin)
+                yield pa.record_batch([q.take(pa.array(j)), video.dictionary.take(pa.array(i)), pa.array(s)], ["query_id", "video_id", "score"])
+
+        out = out.unionAll(rows.mapInArrow(run, schema))
+    best = out.groupBy("query_id", "video_id").agg(F.round(F.max("score"), DIGITS).alias("score"))
+    return relevant_videos(best, least, margin)
+
+
 def prefilter_videos(candidates: DataFrame, relevant: DataFrame) -> DataFrame:
     """The candidates (query_id, video_id, ...) in relevant videos, and all of those queries that have none."""
     filtered = relevant.select("query_id").distinct()

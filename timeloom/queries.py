@@ -174,9 +174,7 @@ SELECT query_id, video_id FROM v WINDOW q AS (PARTITION BY query_id) QUALIFY cou
 )
 def relevant_sources(spark, d):
     """For each query the labels whose best other vector is near the best of all."""
-    s = dense.vector_scores(adapters.query_vectors(spark, d), vectors(spark, d).select(F.struct("id", "video_id").alias("key"), "vector"), "key")
-    best = s.where("key.id <> query_id").groupBy("query_id", F.col("key.video_id").alias("video_id")).agg(F.round(F.max("score"), 9).alias("score"))
-    return dense.relevant_videos(best)
+    return dense.relevant_of_vectors(adapters.query_vectors(spark, d), vectors(spark, d))
 
 
 @query(f"SELECT a.vec_id AS query_id, b.vec_id AS id, round({COS}, 6) AS score FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE a.vec_id % 100 = 0")
@@ -445,6 +443,15 @@ def material_of_sources(spark, d):
     lines = material.material_lines(material.build_material(segments(spark, d), include_ocr=True))
     return lines.select("video_id", "line_sec", F.md5("line").alias("line"))
 
+@query(
+    """WITH s AS (SELECT doc_id, CAST(substr(source, 4) AS INT) AS video_id, doc_id * 12 AS sec, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) AS t FROM documents)
+SELECT video_id, sec AS line_sec, md5(max('[' || lpad((sec // 60)::VARCHAR, greatest(2, length((sec // 60)::VARCHAR))::INT, '0') || ':' || lpad((sec % 60)::VARCHAR, 2, '0') || '｜' || sec || ' 秒] 字幕：' || t)) AS line FROM s WHERE t <> '' GROUP BY 1, 2"""
+)
+def material_of_sources_whole(spark, d):
+    """The lines of material of every source, where each document begins in a second of its own, so that every text keeps its line."""
+    lines = material.material_lines(material.build_material(segments(spark, d, wrap=False), include_ocr=True))
+    return lines.select("video_id", "line_sec", F.md5("line").alias("line"))
+
 
 STEPS = """st AS (SELECT conv_id AS video_id, turn // 3 AS section_idx, turn % 3 AS step_idx, (length(text) * 7 % 900)::DOUBLE AS t FROM conversations WHERE role = 'assistant'),
 li AS (SELECT DISTINCT conv_id AS video_id, length(text) * 13 % 700 AS line_sec FROM conversations),

@@ -15,10 +15,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents as segments: their source is the video, their text the transcript."""
+def segments(spark: SparkSession, sf_dir: str, wrap: bool = True) -> DataFrame:
+    """documents as segments: their source is the video, their text the transcript. Without wrap each has a start of its own."""
     d = table(spark, sf_dir, "documents")
-    start = (F.col("doc_id") % SPAN) * STEP
+    start = (F.col("doc_id") % SPAN if wrap else F.col("doc_id")) * STEP
     none = F.lit(None).cast("string")
     rows = d.select(F.col("doc_id").alias("id"), F.expr("cast(substr(source, 4) as int)").alias("video_id"), start.alias("start_sec"), (start + STEP).alias("end_sec"), F.col("text").alias("transcript"), none.alias("visual_description"), none.alias("ocr_text"), "lang")
     return with_content(rows)
