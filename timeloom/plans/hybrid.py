@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scoring import hit_source_label
 from ..functions.text import first_text, negative_text, strip_generic_terms
-from ..operators.dense import dense_channel, relevant_videos, vector_scores
+from ..operators.dense import dense_channel, relevant_of_vectors
 from ..operators.fusion import MIN_FUSION, MIN_SIMILARITY, ORDER, few_sparse_ranks, fuse, is_confident, rank_bound, rrf, sparse_ranks_of, top_results
 from ..operators.pruned import best_rows, named_rows, rows_before, vector_rows
 from ..operators.sparse import LIMIT, corpus_stats, exclude_negated, in_scope, negated_segments, sparse_channel
@@ -50,9 +50,9 @@ def hybrid_search(
     cleaned = queries.withColumn("query", strip_generic_terms(F.col("query")))
     narrowed = cleaned.select("query_id", "query", "scope")
     if video_vectors is not None:
-        relevance = vector_scores(query_vectors, video_vectors.select("video_id", "vector"), "video_id")
-        free = cleaned.where("scope is null").select("query_id")
-        relevant = relevant_videos(relevance.join(free, "query_id", "left_semi")).groupBy("query_id").agg(F.collect_set("video_id").alias("_few"))
+        free = query_vectors.join(cleaned.where("scope is null").select("query_id"), "query_id", "left_semi")
+        relevance = relevant_of_vectors(free, video_vectors.select(F.lit(None).cast("string").alias("id"), "video_id", "vector"))
+        relevant = relevance.groupBy("query_id").agg(F.collect_set("video_id").alias("_few"))
         narrowed = narrowed.join(relevant, "query_id", "left").select("query_id", "query", F.coalesce("scope", "_few").alias("scope"))
     narrowed = stage(narrowed)
     asked = narrowed if sparse_scope == "prefiltered" else cleaned
