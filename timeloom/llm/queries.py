@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import languages, pii
 from .automaton import bpe_round_trip
+from .codes import codebooks_sha256, vector_codes, with_group_error
 from .common import load
 from .embeddings import embedding_near_dups
 from .matroska import matroska_features, store_matroska
@@ -67,10 +68,31 @@ def op10_language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages.identify(docs, model).select("doc_id", languages.held_out().alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dups, op2_embedding_near_dups, op3_pii_random_field, op4_best_fit_packing, op5_token_counts, op6_matroska_media, op7_url_language_models, op8_bpe_automaton, op9_substring_dedup, op10_language_filters)}
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes(load(spark, sf_dir, "embeddings"), group_col="label")
+    return with_group_error(coded).select("vec_id", "code", "error", F.col("group_error").alias("label_error"), F.lit(codebooks_sha256(books)).alias("codebooks_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dups, op2_embedding_near_dups, op3_pii_random_field, op4_best_fit_packing, op5_token_counts, op6_matroska_media, op7_url_language_models, op8_bpe_automaton, op9_substring_dedup, op10_language_filters, op11_vector_codes)}
+
+def _codes_sql(rounds: int = 4) -> str:
+    """The rounds one after the other: a<r> assigns every part to the nearest entry of c<r>, of which c<r+1> are the means."""
+    first = """WITH kept AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+ WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+x AS MATERIALIZED (SELECT r, (j - 1) // (len(e) // 4) AS part, (j - 1) % (len(e) // 4) AS i, CAST(floor(1024 * e[j]) AS BIGINT) AS x FROM (SELECT r, e, unnest(range(1, len(e) + 1)) AS j FROM kept)),
+c0 AS MATERIALIZED (SELECT part, r - 1 AS entry, i, x AS c FROM x WHERE r <= 256)"""
+    assign = """a{r} AS MATERIALIZED (SELECT r, part, min(d) AS d, arg_min(entry, (d, entry)) AS entry FROM (SELECT x.r, x.part, entry, CAST(sum((x - c) * (x - c)) AS BIGINT) AS d FROM x JOIN c{r} USING (part, i) GROUP BY ALL) GROUP BY 1, 2)"""
+    update = """c{n} AS MATERIALIZED (SELECT part, entry, i, coalesce(m, c) AS c FROM c{r} LEFT JOIN (SELECT part, entry, i, CAST(floor(sum(x) / count(*)) AS BIGINT) AS m FROM x JOIN a{r} USING (r, part) GROUP BY 1, 2, 3) USING (part, entry, i))"""
+    steps = [first] + [t.format(r=r, n=r + 1) for r in range(rounds) for t in (assign, update)] + [assign.format(r=rounds)]
+    return ",\n".join(steps) + f""",
+codes AS (SELECT r, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY 1),
+books AS (SELECT sha256(string_agg(c, ',' ORDER BY part, entry, i)) AS h FROM c{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256 FROM kept JOIN codes USING (r), books"""
+
 
 #: The others need hashes, models and tokenizers that SQL lacks.
 ORACLE: dict[str, str] = {
+    "op11_vector_codes": _codes_sql(),
     "op2_embedding_near_dups": """WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 ok AS (SELECT * FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
 l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id <> b.vec_id WHERE CASE WHEN len(a.e) = len(b.e) THEN list_cosine_similarity(a.e, b.e) >= 0.9 ELSE false END),
