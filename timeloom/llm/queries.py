@@ -10,8 +10,10 @@ from .automaton import bpe_round_trip
 from .codes import codebooks_sha256, vector_codes, with_group_error
 from .common import load
 from .embeddings import embedding_near_dups
+from .licenses import scan_licenses
 from .matroska import matroska_features, store_matroska
 from .packing import pack_documents
+from .resampling import importance_resample
 from .simhash import simhash_near_dups
 from .substrings import substring_dedup
 from .token_counts import count_tokens
@@ -73,7 +75,16 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_group_error(coded).select("vec_id", "code", "error", F.col("group_error").alias("label_error"), F.lit(codebooks_sha256(books)).alias("codebooks_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dups, op2_embedding_near_dups, op3_pii_random_field, op4_best_fit_packing, op5_token_counts, op6_matroska_media, op7_url_language_models, op8_bpe_automaton, op9_substring_dedup, op10_language_filters, op11_vector_codes)}
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = importance_resample(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(load(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dups, op2_embedding_near_dups, op3_pii_random_field, op4_best_fit_packing, op5_token_counts, op6_matroska_media, op7_url_language_models, op8_bpe_automaton, op9_substring_dedup, op10_language_filters, op11_vector_codes, op12_importance_resampling, op13_license_scans)}
 
 def _codes_sql(rounds: int = 4) -> str:
     """The rounds one after the other: a<r> assigns every part to the nearest entry of c<r>, of which c<r+1> are the means."""
@@ -90,9 +101,25 @@ books AS (SELECT sha256(string_agg(c, ',' ORDER BY part, entry, i)) AS h FROM c{
 SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256 FROM kept JOIN codes USING (r), books"""
 
 
+#: CRC-32 over the bytes of each different feature, by a table that SQL makes itself.
+_RESAMPLED = """WITH table_ AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda a, i: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS t),
+d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+b AS (SELECT -row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+u AS MATERIALIZED (SELECT r, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM (SELECT r, w FROM d UNION ALL SELECT r, w FROM b)),
+h AS MATERIALIZED (SELECT f, xor(list_reduce(list_prepend(4294967295, list_transform(range(len(x) // 2), lambda i: CAST('0x' || substr(x, 2 * i + 1, 2) AS BIGINT))), lambda a, y: xor(a >> 8, t[1 + (xor(a, y) & 255)])), 4294967295) % 10000 AS k FROM (SELECT f, hex(encode(f)) AS x FROM (SELECT DISTINCT f FROM u)), table_),
+n AS (SELECT g.k, count(*) FILTER (r > 0) AS s, count(*) FILTER (r < 0) AS t FROM range(10000) AS g(k) LEFT JOIN (SELECT r, k FROM u JOIN h USING (f)) USING (k) GROUP BY 1),
+a AS (SELECT sum(s)::DOUBLE AS sa, sum(t)::DOUBLE AS ta FROM n),
+gain AS (SELECT k, CAST(floor(1000 * ln((t + 1.0::DOUBLE) * (sa + 10000) / ((s + 1.0::DOUBLE) * (ta + 10000)))) AS BIGINT) AS g FROM n, a),
+v AS (SELECT r, CAST(floor(sum(g) / count(*)) AS BIGINT) AS w FROM u JOIN h USING (f) JOIN gain USING (k) WHERE r > 0 GROUP BY 1),
+z AS (SELECT r, doc_id, len(d.w) AS words, greatest(2 * len(d.w) - 1, 0) AS n_features, coalesce(v.w, 0) AS weight, coalesce(v.w, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('7:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM d LEFT JOIN v USING (r)),
+k AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM z WHERE words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT count(*) FROM k) * 25 // 100 THEN rank END AS rank FROM z LEFT JOIN k USING (r)"""
+
+
 #: The others need hashes, models and tokenizers that SQL lacks.
 ORACLE: dict[str, str] = {
     "op11_vector_codes": _codes_sql(),
+    "op12_importance_resampling": _RESAMPLED,
     "op2_embedding_near_dups": """WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 ok AS (SELECT * FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
 l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id <> b.vec_id WHERE CASE WHEN len(a.e) = len(b.e) THEN list_cosine_similarity(a.e, b.e) >= 0.9 ELSE false END),

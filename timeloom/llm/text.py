@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -98,3 +99,89 @@ def xxh64_slices(buf: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int)
     for i in order[bounds[VECTOR_BYTES + 1] :]:
         out[i] = xxhash.xxh64_intdigest(data[start[i] : end[i]], seed)
     return out
+
+
+#: The characters of words that have only letters, digits and what isn't ASCII.
+ALNUM = np.zeros(256, bool)
+ALNUM[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
+
+
+@dataclass
+class Lines:
+    """raw: the texts with A-Z lower-cased, each closed by a line feed; word i is raw[start[i]:end[i]], in line line[i]; line l ends before its line feed
+    at feed[l]; text d has the words first[d] to first[d+1] and the lines lines[d] to lines[d+1]."""
+
+    raw: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    line: np.ndarray
+    feed: np.ndarray
+    first: np.ndarray
+    lines: np.ndarray
+
+
+def alnum_words(texts: list[bytes]) -> Lines:
+    """The runs of characters other than U+0000-002F, 003A-0060 and 007B-007F after A-Z were lower-cased."""
+    raw = np.frombuffer((b"\n".join(texts) + b"\n" if texts else b"").translate(LOWER), np.uint8)
+    edge = np.flatnonzero(np.diff(ALNUM[raw], prepend=False))
+    start, end = edge[0::2], edge[1::2]
+    feed = np.flatnonzero(raw == 0x0A)
+    begin = np.r_[0, np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))]
+    return Lines(raw, start, end, np.searchsorted(feed, start), feed, np.searchsorted(start, begin), np.searchsorted(feed, begin))
+
+
+def _crc_table() -> np.ndarray:
+    """CRC-32 of each byte, by the reflected polynomial."""
+    t = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        t = np.where(t & 1, (t >> 1) ^ np.uint32(0xEDB88320), t >> 1)
+    return t
+
+
+CRC = _crc_table()
+#: Words of up to so many bytes are hashed together, longer ones one by one.
+CRC_BYTES = 64
+
+
+def _crc_shifts() -> np.ndarray:
+    """[n, k, v]: what byte k = v of a CRC becomes by n more zero bytes."""
+    now = np.arange(256, dtype=np.uint32) << (np.arange(4, dtype=np.uint32) * 8)[:, None]
+    out = [now]
+    for _ in range(CRC_BYTES + 1):
+        now = CRC[now & 255] ^ (now >> 8)
+        out.append(now)
+    return np.stack(out)
+
+
+SHIFT = _crc_shifts()
+
+
+def crc32_words(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """CRC-32 of each buf[start:end]."""
+    size = end - start
+    order = np.argsort(-np.minimum(size, CRC_BYTES + 1).astype(np.int8), kind="stable")
+    at, n = start[order], np.minimum(size, CRC_BYTES + 1)[order]
+    c = np.full(len(at), 0xFFFFFFFF, np.uint32)
+    longer = np.searchsorted(-n, -np.arange(1, CRC_BYTES + 2), side="right")  # how many have so many bytes or more
+    for j in range(min(int(n[0]) if len(n) else 0, CRC_BYTES)):
+        some = c[: longer[j]]
+        c[: longer[j]] = CRC[(some ^ buf[at[: longer[j]] + j]) & 255] ^ (some >> 8)
+    out = np.empty(len(at), np.uint32)
+    out[order] = c ^ np.uint32(0xFFFFFFFF)
+    for i in order[: longer[CRC_BYTES]]:
+        out[i] = zlib.crc32(buf[start[i] : end[i]])
+    return out
+
+
+def crc32_pairs(buf: np.ndarray, start: np.ndarray, end: np.ndarray, crc: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """CRC-32 of the words left and right with a space between them, from the words' own."""
+    size = end[right] - start[right]
+    n = np.minimum(size, CRC_BYTES)
+
+    def behind(c, n):
+        return SHIFT[n, 0, c & 255] ^ SHIFT[n, 1, (c >> 8) & 255] ^ SHIFT[n, 2, (c >> 16) & 255] ^ SHIFT[n, 3, c >> 24]
+
+    out = behind(crc[left], n + 1) ^ behind(np.full(1, zlib.crc32(b" "), np.uint32), n) ^ crc[right]
+    for i in np.flatnonzero(size > CRC_BYTES):
+        out[i] = zlib.crc32(buf[start[right[i]] : end[right[i]]], zlib.crc32(b" ", int(crc[left[i]])))
+    return out
