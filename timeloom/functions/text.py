@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import unicodedata
+from collections import Counter
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -19,17 +21,25 @@ PLACEHOLDERS = ("null", "none", "n/a", "na", "無", "-")
 BLANK = r"[\s\x1c-\x1f\x85\p{Z}]"
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where value is computed once a row however often use names it: a plan writes a column out at each place that names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip_blank(c: Column) -> Column:
     return F.regexp_replace(c, f"^{BLANK}+|{BLANK}+$", "")
 
 
 def strip_generic_terms(query: Column) -> Column:
     """The query without generic words; as it was if nothing else is left."""
-    cleaned = query
-    for term in GENERIC_TERMS:
-        cleaned = F.replace(cleaned, F.lit(term), F.lit(""))
-    cleaned = strip_blank(cleaned)
-    return F.when(cleaned != "", cleaned).otherwise(query)
+
+    def without(q: Column) -> Column:
+        cleaned = q
+        for term in GENERIC_TERMS:
+            cleaned = F.replace(cleaned, F.lit(term), F.lit(""))
+        return bound(strip_blank(cleaned), lambda c: F.when(c != "", c).otherwise(q))
+
+    return bound(query, without)
 
 
 def extract_terms(query: Column) -> Column:
@@ -43,14 +53,13 @@ def extract_terms(query: Column) -> Column:
 _NEGATED = "(?:" + "|".join(NEGATIONS) + f")([^{CLAUSE_MARKS}]*)"
 
 
-def positive_text(query: Column) -> Column:
-    """The query with spaces in place of each negation up to the next clause mark."""
+#: Each character of a negation: the first of its marker, or one right after another of them.
+_IN_NEGATION = "(?:(?=" + "|".join(NEGATIONS) + rf")|(?!^)\G)[^{CLAUSE_MARKS}]"
 
-    def blank(text: Column, piece: Column) -> Column:
-        at = F.position(piece, text)
-        return F.concat(F.substr(text, F.lit(1), at - 1), F.repeat(F.lit(" "), F.length(piece)), F.substr(text, at + F.length(piece)))
 
-    return F.aggregate(F.regexp_extract_all(query, F.lit(f"({_NEGATED})"), 1), query, blank)
+def positive_text(query: Column) -> Column:
+    """The query with spaces in place of each negation up to the next clause mark."""
+    return F.regexp_replace(query, _IN_NEGATION, " ")
 
 
 def negative_text(query: Column) -> Column:
@@ -84,7 +93,7 @@ def term_frequency(text: Column, term: Column) -> Column:
 def clean_text(text: Column) -> Column:
     """White space collapsed, and '' for null and for words that stand for nothing."""
     one = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), f"{BLANK}+", " "))
-    return F.when(F.lower(one).isin(*PLACEHOLDERS), "").otherwise(one)
+    return bound(one, lambda t: F.when(F.lower(t).isin(*PLACEHOLDERS), "").otherwise(t))
 
 
 def has_text(c: Column | str) -> Column:
@@ -103,14 +112,24 @@ def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFKC", t).split()))
 
 
+@F.pandas_udf(T.StructType([T.StructField("word", T.StringType()), T.StructField("share", T.DoubleType())]))
+def _dominant_word(text: pd.Series) -> pd.DataFrame:
+    def best(t: str | None) -> tuple[str | None, float]:
+        words = Counter((t or "").lower().split())  # in order of first occurrence, which decides between equals
+        word = max(words, key=words.__getitem__, default=None)
+        return word, words[word] / words.total() if words else 0.0
+
+    return pd.DataFrame([best(t) for t in text], columns=["word", "share"])
+
+
+#: Called once a row: a plan may move or repeat what it takes for pure.
+_dominant_word = _dominant_word.asNondeterministic()
+
+
 def dominant_word(text: Column) -> Column:
     """struct(word, share): the most frequent lower-cased word, of equals the first to occur, and its share; null and 0 without
-    words."""
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), f"{BLANK}+"), lambda w: w != "")
-    counted = F.transform(F.array_distinct(words), lambda w: F.struct(F.size(F.filter(words, lambda x: x == w)).alias("n"), (-F.array_position(words, w)).alias("at"), w.alias("word")))
-    best = F.array_max(counted)
-    share = F.when(F.size(words) > 0, best["n"] / F.size(words)).otherwise(0.0)
-    return F.struct(best["word"].alias("word"), share.alias("share"))
+    words. One count of a text's words, in Arrow batches."""
+    return _dominant_word(text)
 
 
 def append_history(history: Column, line: Column, most: int = 800) -> Column:

@@ -15,9 +15,11 @@ VISUAL, TRANSCRIPT, ON_SCREEN, SECONDS = "畫面：", "字幕：", "畫面文字
 
 
 def _cleaned(df: DataFrame, text: str, key: str) -> DataFrame:
-    """(key, text, h): the cleaned, non-empty texts, and 128 bits that stand for each."""
+    """(key, text, h): the cleaned, non-empty texts, and 128 bits that stand for each. A row's text is cleaned once: it leaves a generator, which
+    no filter or later column moves below."""
+    once = F.explode(F.filter(F.array(clean_text(F.col(text))), lambda t: t != ""))
     h = F.struct(F.xxhash64("text").alias("a"), F.xxhash64(F.lit("second"), "text").alias("b"))
-    return df.select(key, clean_text(F.col(text)).alias("text")).where("text <> ''").select(key, "text", h.alias("h"))
+    return df.select(key, once.alias("text")).select(key, "text", h.alias("h"))
 
 
 def _counted(df: DataFrame, text: str, key: str) -> DataFrame:
@@ -58,7 +60,8 @@ def watermarks(segments: DataFrame) -> DataFrame:
 
 def build_material(segments: DataFrame, include_ocr: bool = False) -> DataFrame:
     """(video_id, start_sec, line_sec, line): one line for each segment with any text, without junk transcripts and watermarks."""
-    rows = segments.select("video_id", "start_sec", clean_text(F.col("visual_description")).alias("v"), clean_text(F.col("transcript")).alias("t"), clean_text(F.col("ocr_text")).alias("o"))
+    cleaned = [clean_text(F.col(c)).alias(n) for c, n in (("visual_description", "v"), ("transcript", "t"), ("ocr_text", "o"))]
+    rows = segments.select("video_id", "start_sec", F.inline(F.array(F.struct(*cleaned))))  # a generator: each text is cleaned once
     junk = junk_transcript_videos(segments).withColumn("junk", F.lit(True))
     rows = rows.join(junk, "video_id", "left")
     parts = [F.when(F.col("v") != "", F.concat(F.lit(VISUAL), F.col("v"))), F.when((F.col("t") != "") & F.col("junk").isNull(), F.concat(F.lit(TRANSCRIPT), F.col("t")))]
@@ -69,7 +72,8 @@ def build_material(segments: DataFrame, include_ocr: bool = False) -> DataFrame:
     text = F.concat_ws("；", *parts)
     second = F.col("start_sec").cast("bigint")
     line = F.concat(F.lit("["), format_timestamp(F.col("start_sec")), F.lit("｜"), second.cast("string"), F.lit(SECONDS), text)
-    return rows.where(text != "").select("video_id", "start_sec", second.alias("line_sec"), line.alias("line"))
+    some = F.exists(F.array(*parts), lambda x: x.isNotNull())
+    return rows.where(some).select("video_id", "start_sec", second.alias("line_sec"), line.alias("line"))
 
 
 def material_lines(material: DataFrame) -> DataFrame:

@@ -29,6 +29,26 @@ def stage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: A key with more than this share of all rows is a heavy one.
+HEAVY = 1 / 1000
+
+
+def look_up(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, total: int, how: str = "inner") -> DataFrame:
+    """rows with the columns of their key's row in table, joined `how` (inner or left); null keys are keys. weight: how many rows have
+    the key, total: how many there are. The rows of heavy keys, of which there can't be a thousand, get theirs by broadcast and the others by
+    shuffle, so that no key's rows meet in one task."""
+    least = max(int(total * HEAVY), 100)
+    named = table.withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(keys)})
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    helpers = [f"_k{i}" for i in range(len(keys))]
+    if total <= 20_000:
+        return rows.join(named.drop(weight), same, how).drop(*helpers)
+    heavy = F.broadcast(named.where(F.col(weight) > least).drop(weight))
+    others = rows.join(heavy.select(*helpers), same, "left_anti")
+    rest = named.where(F.coalesce(F.col(weight) <= least, F.lit(True))).drop(weight)
+    return rows.join(heavy, same).drop(*helpers).unionByName(others.join(rest, same, how).drop(*helpers))
+
+
 def small(df: DataFrame, most: int = 10_000) -> DataFrame:
     """df marked for broadcast if it has at most `most` rows, else as it is."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
