@@ -108,3 +108,20 @@ def test_rows_sent_grow_with_the_blocks_alone(spark):
 
     few, many = sent(16), sent(128)
     assert few <= 4 * 16 and many <= 4 * 128
+
+
+def test_work_does_not_grow_with_the_shards(docs, texts, monkeypatch):
+    """With 2^20 shards a block has to do with those only that its windows are in; and no table stays in the catalogue."""
+    import numpy as np
+
+    h = np.unique(np.random.default_rng(1).integers(0, 1 << 63, 5000, dtype=np.uint64)) << np.uint64(1)
+    for bits in (3, 20, 40):
+        shards, bounds = S._shards(h, bits)
+        assert len(shards) <= len(h) and len(bounds) == len(shards) + 1 and (np.repeat(shards, np.diff(bounds)) == h >> np.uint64(64 - bits)).all()
+    assert [len(x) for x in S._shards(h[:0], 20)] == [0, 1]
+    n = sum(len((t or "").split()) for _, t in texts)
+    monkeypatch.setattr(S, "SHARD_WINDOWS", n / (1 << 20))
+    monkeypatch.setattr(S, "BLOCK", 20_000)
+    few = [(i, t) for i, t in texts if len(t or "") < 2000]
+    assert rows_of(S.substring_dedup(docs.where("coalesce(length(text), 0) < 2000"))) == brute(few)
+    assert not [t for t in docs.sparkSession.catalog.listTables() if t.name.startswith("timeloom_blocks")]

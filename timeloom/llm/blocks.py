@@ -9,7 +9,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import text_slices
+from .common import shared_dir, text_slices
 
 
 def pack(batch: pa.RecordBatch) -> bytes:
@@ -27,8 +27,8 @@ def block_table(docs: DataFrame, text_col: str, measure, block_bytes: int) -> Da
     """(block, n, rows): docs cut into blocks of about block_bytes of text, whole rows each; n is measure(batch), say of its words.
 
     Each block has a number of its own; the table is written once, so every later pass sees the same rows in the same order.
-    It is a managed table in the warehouse, bucketed by block into as many buckets as the session has shuffle partitions:
-    joins on block leave it where it is. It stays until the session's catalog drops it, since results read it lazily.
+    It lies in the shared folder, bucketed by block into as many buckets as the session has shuffle partitions: joins on block leave it
+    where it is. The catalogue knows it only until it is read; its files stay, like those of other stages, as results read them lazily.
     """
 
     def run(batches):
@@ -51,7 +51,11 @@ def block_table(docs: DataFrame, text_col: str, measure, block_bytes: int) -> Da
         if held:
             yield full()
 
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = docs.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"timeloom_blocks_{uuid.uuid4().hex}"
-    docs.mapInArrow(run, "block bigint, n bigint, rows binary").write.bucketBy(buckets, "block").option("compression", "none").saveAsTable(name)
-    return docs.sparkSession.table(name)
+    writer = docs.mapInArrow(run, "block bigint, n bigint, rows binary").write.bucketBy(buckets, "block").option("compression", "none")
+    writer.option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)  # only tables can be bucketed
+    found = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # of an outside path: the files stay
+    return found

@@ -66,8 +66,12 @@ def _ids(batch: pa.RecordBatch, id_col: str) -> np.ndarray:
     return np.asarray(batch.column(id_col).cast(pa.int64()).fill_null(LAST))
 
 
-def _shard_bounds(sorted_hash: np.ndarray, bits: int) -> np.ndarray:
-    return np.searchsorted(sorted_hash >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+def _shards(sorted_hash: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shards that some of the hashes are in, and where each one's begin, with the end: as many as there are hashes at most, whatever the
+    number of shards."""
+    of = sorted_hash >> np.uint64(64 - bits)
+    first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else np.zeros(0, np.int64)
+    return of[first].astype(np.int64), np.r_[first, len(of)]
 
 
 def _planes(x: np.ndarray, n: int) -> bytes:
@@ -91,10 +95,7 @@ class _Repeats:
         one = _rolling(self.words, at, width, 0)
         distinct, inverse = np.unique(one, return_inverse=True)
         flagged = np.bincount(inverse, minlength=len(distinct)) > 1
-        bounds = _shard_bounds(distinct, bits)
-        for shard, seen in answers or []:
-            a, b = bounds[shard], bounds[shard + 1]
-            flagged[a:b] |= np.unpackbits(np.frombuffer(seen, np.uint8), count=b - a).astype(bool)
+        _flag(flagged, answers or [], *_shards(distinct, bits))
         chosen = np.flatnonzero(flagged[inverse])
         self.at, self.doc, one = at[chosen], ids[doc[chosen]], one[chosen]
         two = _rolling(self.words, self.at, width, 1) >> np.uint64(24)
@@ -105,18 +106,24 @@ class _Repeats:
         self.entry = np.empty(len(one), np.int64)
         self.entry[order] = np.cumsum(new) - 1
         self.one, self.two, self.least = one[new], two[new], self.doc[order][new]
-        self.bounds = _shard_bounds(self.one, bits)
+        self.shards, self.bounds = _shards(self.one, bits)
+
+
+def _flag(flags: np.ndarray, answers: list, shards: np.ndarray, bounds: np.ndarray) -> None:
+    """Sets the flags that the shards' answers set."""
+    at = np.searchsorted(shards, np.fromiter((s for s, _ in answers), np.int64, len(answers)))
+    for i, (_, seen) in zip(at.tolist(), answers, strict=True):
+        a, b = bounds[i], bounds[i + 1]
+        flags[a:b] |= np.unpackbits(np.frombuffer(seen, np.uint8), count=b - a).astype(bool)
 
 
 def _cells(block: pa.RecordBatch, text_col: str, width: int, bits: int):
     words = words_of(utf8_list(block.column(text_col)))
     distinct = np.unique(_rolling(words, _windows(words, width)[0], width, 0))
-    bounds = _shard_bounds(distinct, bits)
+    shards, bounds = _shards(distinct, bits)
     values = (distinct << np.uint64(bits)) >> np.uint64(64 - 8 * VALUE_BYTES)
-    for shard in range(1 << bits):
-        a, b = bounds[shard], bounds[shard + 1]
-        if b > a:
-            yield shard, _planes(values[a:b], VALUE_BYTES)
+    for shard, a, b in zip(shards.tolist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        yield shard, _planes(values[a:b], VALUE_BYTES)
 
 
 def _cells_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -214,9 +221,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             for block, packed, answers in zip(batch.column("block").to_pylist(), batch.column("rows").to_pylist(), _answers(batch.column("answers")), strict=True):
                 b = unpack(packed)
                 r = _Repeats(utf8_list(b.column(text_col)), _ids(b, id_col), width, answers, bits)
-                shards = np.flatnonzero(np.diff(r.bounds))
-                entries = [press(b"".join(_planes(x[r.bounds[s] : r.bounds[s + 1]], k) for x, k in zip((r.one, r.two, r.least), ENTRY_BYTES, strict=True))) for s in shards]
-                yield rows(shards, [block] * len(shards), pa.array(entries, pa.binary()), 1, to_shards, fan)
+                cuts = zip(r.bounds[:-1].tolist(), r.bounds[1:].tolist(), strict=True)
+                entries = [press(b"".join(_planes(x[i:j], k) for x, k in zip((r.one, r.two, r.least), ENTRY_BYTES, strict=True))) for i, j in cuts]
+                yield rows(r.shards, [block] * len(r.shards), pa.array(entries, pa.binary()), 1, to_shards, fan)
 
     def cut(batches):
         for batch in batches:
@@ -224,9 +231,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 b = unpack(packed)
                 r = _Repeats(utf8_list(b.column(text_col)), _ids(b, id_col), width, answers, bits)
                 gone = np.zeros(len(r.one), bool)
-                for s, seen in smaller:
-                    i, j = r.bounds[s], r.bounds[s + 1]
-                    gone[i:j] = np.unpackbits(np.frombuffer(seen, np.uint8), count=j - i)
+                _flag(gone, smaller, r.shards, r.bounds)
                 hit = r.at[gone[r.entry] | (r.doc > r.least[r.entry])]
                 change = np.bincount(hit, minlength=len(r.words.start) + width) - np.bincount(hit + width, minlength=len(r.words.start) + width)
                 drop = (np.cumsum(change) > 0)[: len(r.words.start)]
