@@ -141,7 +141,7 @@ def test_base_spans():
 
 @pytest.fixture(scope="module")
 def field():
-    return pii.fit(pii.labelled_examples())
+    return pii._trained(tuple((t, tuple(s)) for t, s in pii.labelled_examples()))
 
 
 def test_field_on_unseen_examples(field):
@@ -218,13 +218,14 @@ def test_gain_on_other_notations(field):
     r = random.Random(12)
     names, places = ["maria", "tom", "li", "svenja"], ["posteo", "acme", "fizz"]
     n = lambda k: "".join(r.choice("0123456789") for _ in range(k))
+    plain = [lambda: f"{r.choice(names)} at {r.choice(places)} dot {r.choice(['com', 'net'])}", lambda: f"{r.choice(names)} AT {r.choice(places)} DOT org"]
     phones = [lambda: f"({r.randint(201, 989)}) {n(3)}-{n(4)}", lambda: f"{r.randint(201, 989)}-{n(3)}-{n(4)}", lambda: f"0{n(3)}/{n(7)}"]
     mails = [lambda: f"{r.choice(names)} [at] {r.choice(places)} [dot] net", lambda: f"{r.choice(names)}.{r.choice(names)}(at){r.choice(places)}.org"]
-    clean = ["Room 12 opens on 2024-03-05 at 14:30.", "Chapter 3, pages 120-145, costs 1,299.00 euros", "item 44 (of 90) at gate 7", "the years 1914-1918 and 1939-1945", "SELECT 1 FROM t WHERE id = 12345"]
+    clean = ["Room 12 opens on 2024-03-05 at 14:30.", "Chapter 3, pages 120-145, costs 1,299.00 euros", "item 44 (of 90) at gate 7", "the years 1914-1918 and 1939-1945", "SELECT 1 FROM t WHERE id = 12345", "They met at noon near the red dot.", "Look at the dot on page 3."]
     lead = ["Write to ", "You may reach us under ", "Our number: ", "Questions? ", ""]
     cases = []
-    for _ in range(200):
-        kind, make = r.choice([("phone", phones), ("email", mails)])
+    for _ in range(300):
+        kind, make = r.choice([("phone", phones), ("email", mails), ("email", plain)])
         before, s = r.choice(lead), r.choice(make)()
         cases.append((f"{before}{s} {r.choice(clean)}", (kind, len(before), len(before) + len(s))))
     hit = base_hit = wrong = 0
@@ -236,6 +237,23 @@ def test_gain_on_other_notations(field):
     assert not any(pii.added_spans(field, [c], [[]])[0] for c in clean)
 
 
+def test_probabilities_are_those_of_all_paths(field):
+    """Of a short text, by going through all of its paths."""
+    from itertools import product
+
+    shape, _, _, first = pii.tokens(["(212) 555"])
+    s, begin = pii._padded(shape, first)
+    e = field.emissions(s, begin[0] + np.arange(len(shape)))
+    weight = lambda p: field.begin[p[0]] + e[0, p[0]] + sum(field.moves[a, b] + e[t, b] for t, (a, b) in enumerate(zip(p, p[1:]), 1))
+    paths = list(product(range(len(pii.LABELS)), repeat=len(shape)))
+    z = np.exp([weight(p) for p in paths])
+    b = pii.LABELS.index("B-phone")
+    for i, n in ((0, 4), (0, 2), (1, 3), (2, 1)):
+        path = np.array([b] + [b + 1] * (n - 1))
+        want = sum(x for p, x in zip(paths, z) if p[i : i + n] == tuple(path) and (i + n == len(shape) or p[i + n] != b + 1)) / z.sum()
+        assert abs(field.probability(s, begin[0] + i, i, len(shape) - i - n, path) - want) < 1e-9
+
+
 def test_pii_table(docs, odd_docs, no_docs, texts, field):
     for frame in (docs, odd_docs):
         got = pii.find_pii(frame, field).collect()
@@ -258,12 +276,12 @@ def test_pii_query(spark, data):
 
 def test_stages(docs, no_docs, spark, texts):
     stages = dict(corpus_pipeline.STAGES)
-    assert [n for n, _ in corpus_pipeline.STAGES] == ["language ID", "SimHash near-dedup", "substring dedup", "PII", "best-fit packing"]
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["language ID", "near-dedup by shared shingles", "substring dedup", "PII", "best-fit packing"]
     for stage in list(stages.values())[:-1]:
         assert stage(spark, docs, "").columns == docs.columns
         assert stage(spark, no_docs, "").collect() == []
     assert {r.doc_id for r in docs.collect()} - {r.doc_id for r in stages["language ID"](spark, docs, "").collect()} >= {1, 2, 3}
-    kept = [r.doc_id for r in stages["SimHash near-dedup"](spark, docs, "").collect()]
+    kept = [r.doc_id for r in stages["near-dedup by shared shingles"](spark, docs, "").collect()]
     assert not set(range(50, 56)) & set(kept) and not {60, 61, 62} & set(kept) and set(range(11, 35)) <= set(kept) and kept.count(10) == 2
     cut = {r.doc_id: r.text for r in stages["substring dedup"](spark, docs, "").collect()}
     assert cut[70] == dict(texts)[70] and all(len(cut[i].split()) == 17 for i in range(71, 75)) and cut[1] is None
@@ -271,6 +289,21 @@ def test_stages(docs, no_docs, spark, texts):
     assert stages["best-fit packing"](spark, docs, "").count() >= len(texts)
 
 
+CLASHING = ("score", "lang_pred", "n_words", "n_removed", "kept_text", "base", "spans", "masked", "_key", "_again", "k", "marks", "component_id", "block")
+
+
+def test_stages_keep_columns_of_any_name(docs, spark):
+    """Extra columns named like results or helpers come back with the values that they had."""
+    from pyspark.sql import functions as F
+
+    extra = docs.withColumns({c: F.concat(F.lit(f"{c} "), F.col("doc_id").cast("string")) for c in CLASHING}).withColumn("a.b", F.col("doc_id"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, extra, "")
+        assert out.columns == extra.columns
+        rows = out.collect()
+        assert len(rows) > 20 and all(r[c] == f"{c} {r.doc_id}" for r in rows for c in CLASHING) and all(r["a.b"] == r.doc_id for r in rows)
+
+
 def test_pipeline(spark, data):
     out = corpus_pipeline.run(spark, data)
     rows = out.collect()

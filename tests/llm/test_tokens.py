@@ -106,7 +106,19 @@ def test_counts(docs, odd_docs, no_docs, texts, model):
     for frame, top in ((docs, 16_384), (odd_docs, 5), (docs, 0)):
         assert sorted(map(tuple, count_tokens(frame, top=top).collect())) == want
     assert count_tokens(no_docs).collect() == []
-    assert frequent_units(docs, top=7).count() == 7
+    assert len(frequent_units(docs, top=7)) == 7 and frequent_units(no_docs) == []
+    assert sorted(map(tuple, count_tokens(docs.unionAll(docs), top=3).collect())) == sorted(want * 2)
+
+
+def test_no_pre_token_is_shuffled(docs, monkeypatch):
+    """All texts are read by one pass without an exchange; the first tier comes from some of the rows."""
+    from timeloom.llm import token_counts
+
+    plan = count_tokens(docs.coalesce(1))._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" not in plan and "unit" not in plan
+    monkeypatch.setattr(token_counts, "SAMPLE", 5)
+    few = frequent_units(docs, sample=5)
+    assert 0 < len(few) < len(frequent_units(docs))
 
 
 def test_counts_query(spark, data, model):

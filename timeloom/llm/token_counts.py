@@ -1,8 +1,8 @@
 """Token counts by a two-tier lookup on the map side.
 
-The first tier is a compact table of the corpus's most frequent pre-tokens with their numbers of tokens. It is found in one
-pass over all texts, from bounded summaries of each partition, and broadcast; its size is a parameter, whatever the corpus. The second tier is each worker's cache
-before the tokenizer. Pre-tokens are never shuffled, and the tiers change the speed only, not the counts.
+The first tier is a compact table of frequent pre-tokens with their numbers of tokens, broadcast; its size is a parameter, whatever the corpus. It is
+fitted to a sample of at most SAMPLE rows. The second tier is each worker's cache before the tokenizer. Pre-tokens are never shuffled: all texts are read once, and
+the tiers change the speed only, not the counts.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from .common import text_slices, tokenizer_file
 from .pretokens import WordCache, split_units
 
 TOP = 16_384
+#: Rows, and characters of each, that the first tier is fitted to.
+SAMPLE, SAMPLE_CHARS = 2_000, 20_000
 
 
 @lru_cache(2)
@@ -35,25 +37,23 @@ def counter(path: str) -> WordCache:
     return WordCache(lambda units: [len(x) - 2 for x in model.encode(["\n" + u for u in units], num_threads=1)])
 
 
-def frequent_units(docs: DataFrame, text_col: str = "text", top: int = TOP) -> DataFrame:
-    """(unit, n): about the `top` most frequent pre-tokens of all texts. Each task sends at most `top` units with their counts;
-    on its way it holds at most 8 times as many and drops the rarest when there are more."""
+def frequent_units(docs: DataFrame, text_col: str = "text", top: int = TOP, sample: int = SAMPLE) -> list[str]:
+    """The `top` most frequent pre-tokens of a sample of at most `sample` rows, of each of which the first SAMPLE_CHARS characters are looked at. One task counts them and
+    sends no more than this list."""
 
     def run(batches):
         held: dict[str, int] = {}
         for b in text_slices(batches, text_col):
             units, _ = split_units(pc.fill_null(b.column(text_col), "").to_pylist())
-            found = units.value_counts()
-            found = found.filter(pc.greater(found.field("counts"), 2))
-            for u, n in zip(found.field("values").to_pylist(), found.field("counts").to_pylist(), strict=True):
-                held[u] = held.get(u, 0) + n
-            if len(held) > 8 * top:
-                held = dict(sorted(held.items(), key=lambda x: -x[1])[: 4 * top])
-        best = sorted(held.items(), key=lambda x: -x[1])[:top]
-        yield pa.record_batch([pa.array([x[0] for x in best], pa.string()), pa.array([x[1] for x in best], pa.int64())], ["unit", "n"])
+            for x in units.value_counts().to_pylist():
+                held[x["values"]] = held.get(x["values"], 0) + x["counts"]
+        best = sorted(held.items(), key=lambda x: (-x[1], x[0]))[:top]
+        yield pa.record_batch([pa.array([u for u, _ in best], pa.string())], ["unit"])
 
-    partial = docs.select(text_col).mapInArrow(run, "unit string, n bigint")
-    return partial.groupBy("unit").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "unit").limit(top)
+    total, some = docs.count(), docs.select(F.substring(text_col, 1, SAMPLE_CHARS).alias(text_col))
+    if total > sample:
+        some = some.where(F.rand(1) < 2 * sample / total)
+    return [r.unit for r in some.limit(sample).coalesce(1).mapInArrow(run, "unit string").collect()]
 
 
 def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = "piece_bpe_32k.model", folder: str | None = None, limit: int = 4096, top: int = TOP) -> DataFrame:
@@ -64,7 +64,7 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     path = tokenizer_file(model, folder)
     known = docs.sparkSession.sparkContext
-    units = [r.unit for r in frequent_units(docs, text_col, top).select("unit").toLocalIterator()]
+    units = frequent_units(docs, text_col, top)
     table = known.broadcast((units, np.asarray(counter(path)(units), np.int32)))
 
     def run(batches):
