@@ -1,6 +1,7 @@
 """Terms, keyword scores, vectors and fusion."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -8,8 +9,9 @@ from pyspark.sql import functions as F
 
 from timeloom.functions.scoring import hit_source_label
 from timeloom.functions.text import bigrams, clean_text, extract_terms, negative_text, nfkc, positive_text, strip_generic_terms
-from timeloom.operators import dense, fusion, sparse
+from timeloom.operators import dense, fusion, sparse, trigrams
 from timeloom.plans.hybrid import hybrid_search
+from timeloom.sources.tables import stage
 
 
 def one(spark, column, text):
@@ -71,14 +73,54 @@ def test_negation(spark):
     assert (1, 1) not in left and (2, 1) in left and len(left) == 15
 
 
-def test_trigram_lookup_equals_scan(spark, monkeypatch):
+def test_every_way_to_look_for_terms_finds_the_same(spark, monkeypatch):
+    """Few terms, the automaton in one pass and in several, a stored index, and one with rows of several streams' batches; with terms that overlap, that other
+    case lengthens, and an empty one."""
     r = random.Random(1)
-    s = corpus(spark, [(i, i % 3, "".join(r.choice("abC 漢\U0001d4b3%") for _ in range(r.randint(0, 30)))) for i in range(120)])
-    words = ["".join(r.choice("abc漢\U0001d4b3%") for _ in range(r.randint(1, 4))) for _ in range(40)]
+    s = corpus(spark, [(i, i % 3, "".join(r.choice("abC 漢\U0001d4b3%İ") for _ in range(r.randint(0, 30)))) for i in range(120)] + [(200, 1, "aaaa aaa"), (201, 0, "")])
+    words = ["".join(r.choice("abc漢\U0001d4b3%İ") for _ in range(r.randint(1, 4))) for _ in range(40)] + ["aa", "aaa", "aaaaaa", ""]
     t = terms(spark, *[(i, w, [None, [0, 2], []][i % 3]) for i, w in enumerate(words)])
-    scanned = {(x.query_id, x.id) for x in sparse.term_hits(t, s).collect()}
-    monkeypatch.setattr(sparse, "BROADCAST_TERMS", 5)
-    assert {(x.query_id, x.id) for x in sparse.term_hits(t, s).collect()} == scanned and scanned
+    rows = lambda df: sorted((x.query_id, x.term, x.id, x.len, round(x.tf, 6)) for x in df.collect())
+    scanned = rows(sparse.term_hits(t, s))
+    assert scanned and {(x[1], x[2], x[4]) for x in scanned} >= {("aa", 200, 3.0)} or any(x[1] == "aa" for x in scanned)
+    monkeypatch.setattr(sparse, "FEW_TERMS", 1)
+    assert rows(sparse.term_hits(t, s)) == scanned
+    monkeypatch.setattr(sparse, "PATTERN_CHARS", 20)
+    assert rows(sparse.term_hits(t, s)) == scanned
+    monkeypatch.setattr(trigrams, "ID_BLOCK", 32)
+    monkeypatch.setattr(trigrams, "CHARS", 100)
+    index = trigrams.build_trigram_index(s)
+    assert rows(sparse.term_hits(t, s, index)) == scanned
+    grown = trigrams.postings(s.repartition(4))
+    assert grown.count() > index.count() == index.select("gram", "block").distinct().count()
+    assert rows(sparse.term_hits(t, s, grown)) == scanned
+    monkeypatch.setattr(trigrams, "MOST_NAMED", 2)
+    assert rows(sparse.term_hits(t, s, index)) == scanned
+    assert rows(sparse.term_hits(t.limit(0), s, index)) == []
+
+
+def test_an_index_reads_the_wanted_grams_only(spark, tmp_path):
+    s = corpus(spark, [(i, 0, f"text {i} about things") for i in range(500)])
+    trigrams.write_index(trigrams.build_trigram_index(s), f"{tmp_path}/index")
+    rows = trigrams._wanted_rows(trigrams.read_index(spark, f"{tmp_path}/index"), spark.createDataFrame([("abo",), ("out",)], "gram string"))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(gram,abo)" in plan and "EqualTo(gram,out)" in plan and "Join" not in plan
+    assert {r.gram for r in rows.collect()} == {"abo", "out"} and rows.agg(F.sum(F.size("ids"))).first()[0] == 1000
+
+
+def test_many_terms_take_one_pass(spark):
+    """50,000 terms: one scan of the segments in the plan, and not many times the time of 200."""
+    s = stage(corpus(spark, [(i, 0, " ".join(f"w{(i * 7 + k) % 90_000}" for k in range(60))) for i in range(400)]))
+    took = {}
+    for n in (200, 50_000):
+        t = terms(spark, *[(1, f"w{i} ", None) for i in range(n)])
+        hits = sparse.term_hits(t, s)
+        assert hits._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+        at = time.perf_counter()
+        found = hits.count()
+        took[n] = time.perf_counter() - at
+        assert found == sum(1 for i in range(400) for k in range(59) if (i * 7 + k) % 90_000 < n)
+    assert took[50_000] < 10 * took[200] + 3
 
 
 def test_vector_scores(spark, monkeypatch):

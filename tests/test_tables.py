@@ -266,7 +266,7 @@ def test_table_streams(spark, folder):
     content.coalesce(1).write.parquet(f"{folder}/in")
     stream = spark.readStream.schema(content.schema).parquet(f"{folder}/in")
     grow_index(stream, f"{folder}/idx", f"{folder}/ck1").awaitTermination(120)
-    assert {r.gram for r in spark.read.parquet(f"{folder}/idx").where("id = 1").collect()} >= {"abc", "bcd"}
+    assert {r.gram for r in spark.read.parquet(f"{folder}/idx").where("array_contains(ids, 1)").collect()} >= {"abc", "bcd"}
     tables.write_segments(content.withColumn("transcript", F.lit("old")), f"{folder}/seg")
     swap_analyses(stream.where("video_id = 1"), f"{folder}/seg", f"{folder}/ck2").awaitTermination(120)
     assert {r.video_id: r.transcript for r in spark.read.parquet(f"{folder}/seg").collect()} == {1: "abcd", 2: "old"}

@@ -6,14 +6,19 @@ id, video_id and content.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import bigrams, contains_ci, extract_terms, grams, negative_text, term_frequency
+from ..functions.patterns import counted
+from ..functions.text import bigrams, extract_terms, negative_text, term_frequency
 from ..sources.tables import small, stage
+from .scopes import in_scope
+from .trigrams import trigram_lookup
 
 K1, B = 1.2, 0.75
 LIMIT = 200
@@ -21,12 +26,8 @@ SHORT_SCORE = -1e6
 MAX_SHARE = 0.2
 #: Scores are equal if they are up to this digit: the order in which a sum is made then doesn't part equal rows.
 DIGITS = 9
-#: So many different terms are looked for in one pass over the segments.
-BROADCAST_TERMS = 2_000
-
-
-def in_scope(scope: Column, video_id: Column) -> Column:
-    return scope.isNull() | F.array_contains(scope, video_id)
+#: Up to so many different terms are tested one by one; more by an automaton, of which one pass has so many characters at most.
+FEW_TERMS, PATTERN_CHARS = 64, 8_000_000
 
 
 def corpus_stats(queries: DataFrame, segments: DataFrame) -> DataFrame:
@@ -44,28 +45,9 @@ def corpus_stats(queries: DataFrame, segments: DataFrame) -> DataFrame:
     return queries.select("query_id").join(total, "query_id", "left").select("query_id", n.cast("double").alias("n_docs"), F.greatest(F.coalesce(F.col("chars") / F.nullif(n, F.lit(0)), F.lit(1.0)), F.lit(1.0)).alias("avg_len"))
 
 
-def build_trigram_index(segments: DataFrame, n: int = 3) -> DataFrame:
-    """(gram, id, video_id): each distinct lower-cased piece of n characters of each segment's content."""
-    return segments.select(F.explode(grams(F.lower("content"), n)).alias("gram"), "id", "video_id")
-
-
-def trigram_lookup(terms: DataFrame, index: DataFrame, segments: DataFrame, n: int = 3) -> DataFrame:
-    """The rows of terms (query_id, term, scope), each with the id and content of a segment that holds the term: segments with the
-    rarest of its pieces, then verified. Terms of fewer than n characters find nothing. Of the index, which may be a stored one, only the
-    rows of the terms' pieces are read, once."""
-    wanted = terms.where(F.length("term") >= n).select("query_id", "term", "scope", F.explode(grams(F.lower("term"), n)).alias("gram"))
-    part = stage(index.join(wanted.select("gram").distinct(), "gram", "left_semi"))
-    sizes = part.groupBy("gram").agg(F.count("*").alias("n"))
-    # a piece that is nowhere is the rarest, and its term isn't found
-    of = F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")
-    rarest = wanted.join(sizes, "gram", "left").groupBy("query_id", "term").agg(F.min(of)["gram"].alias("gram"), F.first("scope").alias("scope"))
-    found = rarest.join(part, "gram").where(in_scope(F.col("scope"), F.col("video_id"))).select("query_id", "term", "id")
-    return found.join(segments.select("id", "content"), "id").where(contains_ci(F.col("content"), F.col("term"))).select("query_id", "term", "id", "content")
-
-
-def _scanned(words: list[str], segments: DataFrame) -> DataFrame:
+def _scanned_few(words: list[str], segments: DataFrame) -> DataFrame:
     """(low, id, video_id, len, lost): for each of the lower-cased words and each segment that holds it the content's length, and what of it
-    is lost without the word. One pass over the segments, in which each text is lower-cased once."""
+    is lost without the word. One pass over the segments, in which each text is lower-cased once; without Python."""
     listed = F.array(*[F.lit(w) for w in words])
     lost = lambda text, w: F.length("content") - F.length(F.replace(text, w, F.lit("")))
     inside = lambda text: F.transform(F.filter(listed, lambda w: F.contains(text, w)), lambda w: F.struct(w.alias("low"), lost(text, w).alias("lost")))
@@ -73,12 +55,50 @@ def _scanned(words: list[str], segments: DataFrame) -> DataFrame:
     return segments.select("id", "video_id", F.length("content").alias("len"), F.inline(found))
 
 
+def _scanned_many(words: list[str], segments: DataFrame) -> DataFrame:
+    """As _scanned_few, by one automaton of all words (none empty): the time of a text hardly depends on their number."""
+    shared = segments.sparkSession.sparkContext.broadcast(tuple(words))
+    low = F.lower("content")
+    # lower case may be longer
+    rows = segments.where("content is not null").select("id", "video_id", F.length("content").alias("len"), (F.length("content") - F.length(low)).alias("more"), low.alias("text"))
+    kinds = [f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("id", "video_id")]
+
+    def run(batches):
+        names = pa.array(shared.value, pa.string())
+        size = np.array([len(w) for w in shared.value])
+        for b in batches:
+            row, word, n = [], [], []
+            for i, found in enumerate(counted(shared.value, b.column("text").to_pylist())):
+                row += [i] * len(found)
+                word += found.keys()
+                n += found.values()
+            at, word = pa.array(row, pa.int64()), np.array(word, np.int64)
+            more = b.column("more").to_numpy()[np.array(row, np.int64)]
+            lost = (np.array(n, np.int64) * size[word] + more).astype(np.int32)
+            yield pa.record_batch([*(b.column(c).take(at) for c in ("id", "video_id", "len")), names.take(pa.array(word)), pa.array(lost)], ["id", "video_id", "len", "low", "lost"])
+
+    return rows.mapInArrow(run, ", ".join([*kinds, "len int, low string, lost int"]))
+
+
+def _slices(terms: DataFrame) -> Iterator[list[str]]:
+    """The different words, in slices of at most PATTERN_CHARS characters."""
+    held, size = [], 0
+    for r in terms.select("low").where("low is not null").distinct().orderBy("low").toLocalIterator():
+        if held and size + len(r.low) > PATTERN_CHARS:
+            yield held
+            held, size = [], 0
+        held.append(r.low)
+        size += len(r.low)
+    if held:
+        yield held
+
+
 def term_hits(terms: DataFrame, segments: DataFrame, index: DataFrame | None = None) -> DataFrame:
     """(query_id, term, id, len, tf) for each term and segment in scope that holds it: the length of the segment's content and how often
     the term occurs.
 
-    The segments are read once for up to BROADCAST_TERMS different terms, and once for each so many where there are more. With a
-    trigram index terms of three or more characters are looked up in it instead.
+    The segments are read once for all terms: up to FEW_TERMS different ones are tested one by one, more by an automaton. Only terms of more than PATTERN_CHARS
+    characters together, which is as much as is broadcast, take another pass. With a trigram index terms of three or more characters are looked up in it instead.
     """
     some = terms.select("query_id", "term", "scope", F.lower("term").alias("low"))
     tf = lambda lost: (lost.cast("double") / F.greatest(F.length("term"), F.lit(1))).alias("tf")
@@ -87,10 +107,11 @@ def term_hits(terms: DataFrame, segments: DataFrame, index: DataFrame | None = N
         looked = trigram_lookup(some, index, segments)
         parts.append(looked.select("query_id", "term", "id", F.length("content").alias("len"), term_frequency(F.col("content"), F.col("term")).alias("tf")))
         some = some.where(F.length("term") < 3)
-    words = [r.low for r in some.select("low").where("low is not null").distinct().orderBy("low").toLocalIterator()]
-    for i in range(0, len(words), BROADCAST_TERMS):
-        met = _scanned(words[i : i + BROADCAST_TERMS], segments).join(small(some), "low")
-        parts.append(met.where(in_scope(F.col("scope"), F.col("video_id"))).select("query_id", "term", "id", "len", tf(F.col("lost"))))
+    for words in _slices(some):
+        scans = [_scanned_few(words, segments)] if len(words) <= FEW_TERMS else [_scanned_few([w for w in words if not w], segments)] * (not words[0]) + [_scanned_many([w for w in words if w], segments)]
+        for scan in scans:
+            met = scan.join(small(some), "low").where(in_scope(F.col("scope"), F.col("video_id")))
+            parts.append(met.select("query_id", "term", "id", "len", tf(F.col("lost"))))
     if not parts:
         kinds = {c: df.schema[c].dataType.simpleString() for c, df in (("query_id", terms), ("id", segments))}
         return terms.sparkSession.createDataFrame([], f"query_id {kinds['query_id']}, term string, id {kinds['id']}, len int, tf double")

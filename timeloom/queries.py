@@ -11,12 +11,12 @@ from .functions.catalogue import is_video_url, topic
 from .functions.scoring import cosine, hit_source_label, temporal_iou
 from .functions.text import append_history, bigrams, clean_text, contains_ci, dominant_word, extract_terms, negative_text, positive_text, strip_generic_terms
 from .functions.times import format_timestamp, probe_times, sample_times
-from .operators import catalogue, coverage, dense, evaluation, fusion, material, quality, sparse, timeline
+from .operators import catalogue, coverage, dense, evaluation, fusion, material, quality, sparse, timeline, trigrams
 from .plans.hybrid import hybrid_search
 from .sources import adapters
 from .sources.adapters import segments, table, vectors, videos
 from .sources.schemas import reconcile
-from .sources.tables import small, stage
+from .sources.tables import shared_path, small, stage
 from .streaming.conversations import conversation_scopes, history
 from .streaming.jobs import job_state
 from .streaming.tables import log_windows
@@ -104,8 +104,22 @@ def term_routing(spark, d):
 
 @query(f"WITH {SEG}, {TERMS}, {HITS} SELECT query_id, term, id FROM hits WHERE length(term) >= 3")
 def trigram_lookup(spark, d):
-    s = segments(spark, d)
-    return sparse.trigram_lookup(sparse.query_terms(asked(spark)), sparse.build_trigram_index(s), s).select("query_id", "term", "id")
+    """By a stored index of trigrams."""
+    s, path = segments(spark, d), shared_path(spark, "index")
+    trigrams.write_index(trigrams.build_trigram_index(s), path)
+    return trigrams.trigram_lookup(sparse.query_terms(asked(spark)), trigrams.read_index(spark, path), s).select("query_id", "term", "id")
+
+
+MANY = "SELECT DISTINCT substr(word, 1, 4) AS term FROM (SELECT unnest(string_split_regex(lower(text), '[^a-z]+')) AS word FROM benchmark) WHERE length(word) >= 4"
+
+
+@query(f"""WITH {SEG}, t AS ({MANY}) SELECT term, count(*) AS n_hits, CAST(sum((length(content) - length(replace(lower(content), term, ''))) // length(term)) AS BIGINT) AS n FROM t JOIN seg ON contains(lower(content), term) GROUP BY 1""")
+def many_terms(spark, d):
+    """How often the segments hold each beginning of a word of the benchmark, all looked for in one pass."""
+    words = table(spark, d, "benchmark").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("w")).where(F.length("w") >= 4)
+    terms = words.select(F.substring("w", 1, 4).alias("term")).distinct().select(F.lit(1).alias("query_id"), "term", F.lit(None).cast("array<int>").alias("scope"))
+    hits = sparse.term_hits(terms, segments(spark, d))
+    return hits.groupBy("term").agg(F.count("*").alias("n_hits"), F.sum("tf").cast("bigint").alias("n"))
 
 
 NEGATIVE = [(1, "ment，不要theof", None), (2, "tion，沒有zuzu。並非eaux", [0, 1, 2, 3])]

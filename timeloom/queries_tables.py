@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .functions.catalogue import OTHER_TOPIC, TOPICS, best_thumbnail, catalogue_items, chat_cost, embedding_cost, is_video_url, speech_cost
 from .functions.text import dominant_word
 from .operators import catalogue, coverage, dense, evaluation, material, models, quality, sparse, timeline
+from .operators.trigrams import read_index
 from .plans.hybrid import hybrid_search
 from .plans.segments import build_segments
 from .queries import EVAL, HITS, HYBRID, LINE, ORACLE, PAIRS, SEG, SPLIT, STATS, STEPS, VID, _document, _fusion_inputs, _round, _scaled, query, turns_of
@@ -18,7 +19,7 @@ from .sources.tables import append_search_log, read_reports, replace_partition,
 from .sources.vectors import decode_vec, encode_vec, read_documents, uncovered_items
 from .streaming.conversations import ASK_WHICH, conversation_scopes, reply_text, select_result
 from .streaming.jobs import reconcile_after_restart
-from .streaming.tables import grow_index, swap_analyses
+from .streaming.tables import compact_index, grow_index, swap_analyses
 
 # ---- reading and writing
 
@@ -565,14 +566,30 @@ def written_documents(spark, d):
 # ---- streams that end when their input is read
 
 
-@query("WITH g AS (SELECT page_id, unnest(list_distinct(list_transform(range(1, length(url) - 1), lambda i: substr(lower(url), i, 3)))) AS gram FROM pages) SELECT gram, count(*) AS n FROM g GROUP BY 1")
-def grown_index(spark, d):
-    """A trigram index of the pages' addresses that a stream has written."""
+GRAMS = "WITH g AS (SELECT page_id, unnest(list_distinct(list_transform(range(1, length(url) - 1), lambda i: substr(lower(url), i, 3)))) AS gram FROM pages) SELECT gram, count(*) AS n FROM g GROUP BY 1"
+
+
+def _grown(spark, d):
+    """A trigram index of the pages' addresses that a stream has written, in two parts: its place."""
     source, path = shared_path(spark, "source"), shared_path(spark, "index")
     rows = table(spark, d, "pages").select(F.col("page_id").alias("id"), F.lit(0).alias("video_id"), F.col("url").alias("content"))
-    rows.write.parquet(source)
-    grow_index(spark.readStream.schema(rows.schema).parquet(source), path, shared_path(spark, "progress")).awaitTermination()
-    return spark.read.parquet(path).groupBy("gram").agg(F.count("*").alias("n"))
+    for part in ("id % 2 = 0", "id % 2 <> 0"):
+        rows.where(part).write.mode("append").parquet(source)
+        grow_index(spark.readStream.schema(rows.schema).parquet(source), path, f"{path}-progress").awaitTermination()
+    return path
+
+
+@query(GRAMS)
+def grown_index(spark, d):
+    return read_index(spark, _grown(spark, d)).groupBy("gram").agg(F.sum(F.size("ids")).alias("n"))
+
+
+@query(GRAMS)
+def compacted_index(spark, d):
+    """The stream's index after its rows were put together: each gram and block of ids once."""
+    index = compact_index(spark, _grown(spark, d), shared_path(spark, "compact"))
+    once = index.groupBy("gram", "block").agg(F.count("*").alias("rows"), F.sum(F.size("ids")).alias("n")).where("rows = 1")
+    return once.groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 @query(f"WITH {SEG} SELECT video_id, count(*) AS n, count(*) FILTER (video_id IN (1, 4)) AS swapped FROM seg WHERE video_id NOT IN (1, 4) OR id % 3 = 0 GROUP BY 1")

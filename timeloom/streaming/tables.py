@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.sparse import build_trigram_index
+from ..operators.trigrams import compacted, postings, read_index, write_index
 from ..sources.tables import replace_partition
 
 
@@ -26,6 +26,13 @@ def swap_analyses(segments: DataFrame, path: str, checkpoint: str, available_now
 
 
 def grow_index(segments: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Appends the trigrams of new segments to the index as they come; no state is kept."""
-    writer = build_trigram_index(segments).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+    """Appends the posting rows of new segments to the index as they come; no state is kept. They can be looked up at once, and compact_index
+    puts them in order."""
+    writer = postings(segments).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def compact_index(spark: SparkSession, path: str, to: str) -> DataFrame:
+    """The stream's many small files written to another place as one row for each gram and block, in order; the old index stays as it is."""
+    write_index(compacted(read_index(spark, path)), to)
+    return read_index(spark, to)
