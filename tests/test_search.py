@@ -96,13 +96,16 @@ def test_every_way_to_look_for_terms_finds_the_same(spark, monkeypatch):
     assert rows(sparse.term_hits(t, s, grown)) == scanned
     monkeypatch.setattr(trigrams, "MOST_NAMED", 2)
     assert rows(sparse.term_hits(t, s, index)) == scanned
+    monkeypatch.setattr(trigrams, "MOST_PAIRS", 2)
+    monkeypatch.setattr(trigrams, "MOST_FOUND", 2)
+    assert rows(sparse.term_hits(t, s, index)) == scanned
     assert rows(sparse.term_hits(t.limit(0), s, index)) == []
 
 
 def test_an_index_reads_the_wanted_grams_only(spark, tmp_path):
     s = corpus(spark, [(i, 0, f"text {i} about things") for i in range(500)])
     trigrams.write_index(trigrams.build_trigram_index(s), f"{tmp_path}/index")
-    rows = trigrams._wanted_rows(trigrams.read_index(spark, f"{tmp_path}/index"), spark.createDataFrame([("abo",), ("out",)], "gram string"))
+    rows = trigrams._wanted_rows(trigrams.read_index(spark, f"{tmp_path}/index"), None, ["abo", "out"])
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(gram,abo)" in plan and "EqualTo(gram,out)" in plan and "Join" not in plan
     assert {r.gram for r in rows.collect()} == {"abo", "out"} and rows.agg(F.sum(F.size("ids"))).first()[0] == 1000

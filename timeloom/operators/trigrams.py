@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import contains_ci, grams
-from ..sources.tables import small
+from ..sources.tables import small, stage
 from .scopes import in_scope
 
 INDEX = "gram string, block bigint, ids array<bigint>"
@@ -26,6 +26,8 @@ ID_BLOCK = 1 << 13
 CHARS = 1 << 20
 #: Up to so many different grams are named in the scan's filter; more are met by a join.
 MOST_NAMED = 200
+#: Pairs of a term and its gram, and candidates, that are sent to every task; more of them are met by a shuffle.
+MOST_PAIRS, MOST_FOUND = 2_000, 200_000
 
 
 def _gram_rows(ids: np.ndarray, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -90,14 +92,11 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(INDEX).parquet(path)
 
 
-def _wanted_rows(index: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The index's rows of the wanted grams: named in the scan's filter where they are few, else met by a join."""
-    names = [r.gram for r in wanted.select("gram").distinct().limit(MOST_NAMED + 1).collect()]
-    if not names:
-        return index.limit(0)
-    if len(names) <= MOST_NAMED:
-        return index.where(reduce(lambda a, b: a | b, [F.col("gram") == n for n in sorted(names)]))
-    return index.join(wanted.select("gram").distinct(), "gram", "left_semi")
+def _wanted_rows(index: DataFrame, wanted: DataFrame, names: list[str] | None) -> DataFrame:
+    """The index's rows of the wanted grams (low, gram): by the scan's filter where their names are given, else by a join."""
+    if names is None:
+        return index.join(wanted.select("gram").distinct(), "gram", "left_semi")
+    return index.where(reduce(lambda a, b: a | b, [F.col("gram") == n for n in names])) if names else index.limit(0)
 
 
 def candidates(terms: DataFrame, index: DataFrame) -> DataFrame:
@@ -105,10 +104,16 @@ def candidates(terms: DataFrame, index: DataFrame) -> DataFrame:
     rarest first, so that no term's postings are gathered as a whole."""
     each = terms.where(F.length("low") >= 3).select("low").distinct()
     wanted = each.select("low", F.explode(grams(F.col("low"))).alias("gram"))
+    known, names = wanted.limit(MOST_PAIRS + 1).collect(), None
+    if len(known) <= MOST_PAIRS:
+        wanted = F.broadcast(terms.sparkSession.createDataFrame(known, "low string, gram string"))
+        names = sorted({r.gram for r in known})
+        names = names if len(names) <= MOST_NAMED else None
     n_grams = wanted.groupBy("low").agg(F.count("*").alias("n"))
-    part = _wanted_rows(index, wanted).groupBy("gram", "block").agg(F.flatten(F.collect_list("ids")).alias("ids"))
-    met = part.join(small(wanted), "gram").groupBy("low", "block").agg(F.array_sort(F.collect_list(F.struct(F.size("ids").alias("n"), "ids"))).alias("lists"))
-    whole = met.join(small(n_grams), "low").where(F.size("lists") == F.col("n"))  # a block that lacks a gram lacks the term
+    part = _wanted_rows(index, wanted, names)
+    met = part.join(wanted, "gram").groupBy("low", "block", "gram").agg(F.flatten(F.collect_list("ids")).alias("ids"))
+    met = met.groupBy("low", "block").agg(F.array_sort(F.collect_list(F.struct(F.size("ids").alias("n"), "ids"))).alias("lists"))
+    whole = met.join(n_grams, "low").where(F.size("lists") == F.col("n"))  # a block that lacks a gram lacks the term
     both = F.aggregate(F.slice("lists", 2, F.size("lists")), F.array_distinct(F.element_at("lists", 1)["ids"]), lambda acc, x: F.array_intersect(acc, x["ids"]))
     return whole.select("low", F.explode(both).alias("id"))
 
@@ -118,7 +123,7 @@ def trigram_lookup(terms: DataFrame, index: DataFrame, segments: DataFrame) -> D
     Terms of fewer than three characters find nothing. Of the index, which may be a stored one, the rows of the terms' trigrams are read, and of the segments each
     candidate's text is looked at once for all queries."""
     asked = terms.where(F.length("term") >= 3).select("query_id", "term", "scope", F.lower("term").alias("low"))
-    found = candidates(asked, index)
+    found = small(stage(candidates(asked, index)), MOST_FOUND)  # so that texts needn't be moved to few candidates
     texts = segments.select(F.col("id").cast("bigint").alias("_id"), "id", "video_id", "content")
     held = found.withColumnRenamed("id", "_id").join(texts, "_id").where(contains_ci(F.col("content"), F.col("low"))).select("low", "id", "video_id", "content")
     return held.join(small(asked), "low").where(in_scope(F.col("scope"), F.col("video_id"))).select("query_id", "term", "id", "content")
