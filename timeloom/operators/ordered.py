@@ -16,6 +16,15 @@ PLACE = ("_p", "_i")
 _BITS = 33  # of monotonically_increasing_id for the number in a partition
 
 
+#: A key with more rows is a hot one: its rows are dealt to ranges, where those of other keys are cheaper to keep together.
+HOT_ROWS = 1_000_000
+
+
+def has_hot_key(df: DataFrame, key: str) -> bool:
+    """Whether a key has so many rows that one task shouldn't go through them."""
+    return not df.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > HOT_ROWS).isEmpty()
+
+
 def ranged(df: DataFrame, key: str, order: list[Column | str]) -> DataFrame:
     """df in ranges of (key, order), with PLACE. The order has to part all rows that must not change places: equal rows stay in one range."""
     by = [F.col(key), *(F.col(c) if isinstance(c, str) else c for c in order)]
@@ -27,7 +36,7 @@ def unranged(df: DataFrame) -> DataFrame:
     return df.drop(*PLACE)
 
 
-def _carried(rows: DataFrame, key: str, parts: dict[str, Column], carry: dict[str, Column]) -> DataFrame:
+def carried(rows: DataFrame, key: str, parts: dict[str, Column], carry: dict[str, Column]) -> DataFrame:
     """rows with the columns `carry`, of what parts gives for the rows of the row's key in earlier ranges; null without any. carry's
     columns are over _w, the windows of which see the earlier ranges' parts of one key."""
     each = rows.groupBy("_p", key).agg(F.min("_i").alias("_first"), *[c.alias(n) for n, c in parts.items()])
@@ -37,7 +46,7 @@ def _carried(rows: DataFrame, key: str, parts: dict[str, Column], carry: dict[st
     return rows.join(over, (F.col("_p") == F.col("_q")) & F.col(key).eqNullSafe(F.col("_key")), "left").drop("_q", "_key", "_carried")
 
 
-def _earlier(key: str):
+def earlier(key: str):
     return Window.partitionBy(key).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
 
 
@@ -46,8 +55,8 @@ def running(rows: DataFrame, key: str, sums: dict[str, Column] | None = None, le
     before = Window.partitionBy("_p", key).orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)
     todo = [(n, c, F.sum) for n, c in (sums or {}).items()] + [(n, c, F.min) for n, c in (least or {}).items()]
     parts = {f"_t{i}": f(c) for i, (_, c, f) in enumerate(todo)}
-    carry = {f"_c{i}": f(f"_t{i}").over(_earlier(key)) for i, (_, _, f) in enumerate(todo)}
-    rows = _carried(rows, key, parts, carry)
+    carry = {f"_c{i}": f(f"_t{i}").over(earlier(key)) for i, (_, _, f) in enumerate(todo)}
+    rows = carried(rows, key, parts, carry)
     for i, (name, c, f) in enumerate(todo):
         here, then = f(c).over(before), F.col(f"_c{i}")
         rows = rows.withColumn(name, F.coalesce(here, F.lit(0)) + F.coalesce(then, F.lit(0)) if f is F.sum else F.least(here, then))
@@ -58,7 +67,7 @@ def previous(rows: DataFrame, key: str, **columns: Column) -> DataFrame:
     """ranged rows with new columns: the values of the row before in the row's key, null for its first one."""
     names = list(columns)
     value = F.struct(*[c.alias(n) for n, c in columns.items()])
-    rows = _carried(rows, key, {"_t": F.max_by(value, "_i")}, {"_c": F.last("_t").over(_earlier(key))})
+    rows = carried(rows, key, {"_t": F.max_by(value, "_i")}, {"_c": F.last("_t").over(earlier(key))})
     here = F.lag(value).over(Window.partitionBy("_p", key).orderBy("_i"))
     rows = rows.withColumn("_v", F.coalesce(here, F.col("_c")))
     return rows.select("*", *[F.col(f"_v.{n}").alias(n) for n in names]).drop("_v", "_c")

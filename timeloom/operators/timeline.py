@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import dominant_word, has_text, nfkc
 from ..functions.times import sample_times
+from ..sources.tables import look_up, stage
 from .folds import ordered_fold
+from .ordered import has_hot_key, previous, ranged, running, unranged
 
 MERGE_BELOW, SPLIT_ABOVE, SPLIT_TARGET = 8.0, 12.0, 10.0
 NO_SPEECH = 0.7
@@ -23,32 +25,52 @@ def scene_ranges(cuts: DataFrame, videos: DataFrame) -> DataFrame:
     return found.select("video_id", F.coalesce("start_sec", F.lit(0.0)).alias("start_sec"), F.coalesce("end_sec", F.col("duration_sec").cast("double")).alias("end_sec"))
 
 
+def _merging(video, piece, least: float):
+    """Puts a piece's scenes together: gives (scene, is_last, is_rest), the rest being what no scene of the piece could take."""
+    done = begin = end = None
+
+    def out(scene, is_last=False, is_rest=False):
+        return {"video_id": video, "piece": piece, "start_sec": scene[0], "end_sec": scene[1], "is_last": is_last, "is_rest": is_rest}
+
+    def step(row):
+        nonlocal done, begin, end
+        found = []
+        if row is None:
+            if begin is not None and done is None:
+                return [out((begin, end), is_rest=True)]
+            return [out(done if begin is None else (done[0], end), is_last=True)] if done else []
+        begin, end = row["start_sec"] if begin is None else begin, row["end_sec"]
+        if end - begin >= least:
+            found = [out(done)] if done else []
+            done, begin = (begin, end), None
+        return found
+
+    return step
+
+
 def merge_short(scenes: DataFrame, least: float = MERGE_BELOW) -> DataFrame:
     """Scenes put together from left to right until they are `least` seconds long; what is left at the end joins the scene
-    before it, or stands alone. One sorted pass; a video's last whole scene is all that is held."""
-
-    def fold(video):
-        done = begin = end = None
-
-        def step(row):
-            nonlocal done, begin, end
-            out = []
-            if row is None:
-                if begin is not None:
-                    done = (done[0] if done else begin, end)
-                return [{"video_id": video, "start_sec": done[0], "end_sec": done[1]}] if done else []
-            begin, end = row["start_sec"] if begin is None else begin, row["end_sec"]
-            if end - begin >= least:
-                if done:
-                    out = [{"video_id": video, "start_sec": done[0], "end_sec": done[1]}]
-                done, begin = (begin, end), None
-            return out
-
-        return step
+    before it, or stands alone.
 
+    One sorted pass of each video, whose last whole scene is all that is held. Where a video has very many scenes they are cut into pieces after each scene that is
+    long by itself, since nothing open outlasts it; the pieces of all videos are then merged side by side, and what is left of a last piece joins the last
+    scene of the piece before.
+    """
     kind = scenes.schema["video_id"].dataType.simpleString()
     rows = scenes.select("video_id", F.col("start_sec").cast("double").alias("start_sec"), F.col("end_sec").cast("double").alias("end_sec"))
-    return ordered_fold(rows, "video_id", ["start_sec", "end_sec"], fold, f"video_id {kind}, start_sec double, end_sec double")
+    schema = f"video_id {kind}, piece bigint, start_sec double, end_sec double, is_last boolean, is_rest boolean"
+    if not has_hot_key(rows, "video_id"):
+        found = ordered_fold(rows, "video_id", ["start_sec", "end_sec"], lambda video: _merging(video, 0, least), schema)
+        return found.select("video_id", "start_sec", "end_sec")
+    long = (F.col("end_sec") - F.col("start_sec") >= least).cast("bigint")
+    parts = unranged(running(ranged(rows, "video_id", ["start_sec", "end_sec"]), "video_id", sums={"piece": long}))
+    keyed = parts.select(F.struct("video_id", "piece").alias("k"), "start_sec", "end_sec")
+    merged = stage(ordered_fold(keyed, "k", ["start_sec", "end_sec"], lambda k: _merging(k["video_id"], k["piece"], least), schema))
+    alone = F.col("is_rest") & (F.col("piece") == 0)
+    rests = merged.where(F.col("is_rest") & ~alone).select(F.col("video_id").alias("_v"), (F.col("piece") - 1).alias("_p"), F.col("end_sec").alias("_end"))
+    same = F.col("video_id").eqNullSafe(F.col("_v")) & (F.col("piece") == F.col("_p")) & F.col("is_last")
+    joined = merged.where(~F.col("is_rest") | alone).join(rests, same, "left")
+    return joined.select("video_id", "start_sec", F.coalesce("_end", "end_sec").alias("end_sec"))
 
 
 def split_long(scenes: DataFrame, above: float = SPLIT_ABOVE, target: float = SPLIT_TARGET, least: float = MERGE_BELOW) -> DataFrame:
@@ -103,13 +125,20 @@ def is_hallucinated(no_speech_prob: Column, most: float = NO_SPEECH) -> Column:
 
 def runs(df: DataFrame, group: str, order: list, word: Column, qualifies: Column, least: int = MIN_RUN) -> DataFrame:
     """Adds run_length and in_run: consecutive qualifying rows with one word are a run; those of runs of `least` rows or more are
-    in_run."""
-    w = Window.partitionBy(group).orderBy(*order)
+    in_run. A group with very many rows is worked off in ranges."""
     rows = df.withColumn("_w", F.when(qualifies, word))
-    change = F.coalesce(~F.col("_w").eqNullSafe(F.lag("_w").over(w)), F.lit(True)) | F.col("_w").isNull()
-    rows = rows.withColumn("_c", change.cast("int")).withColumn("_run", F.sum("_c").over(w))
-    length = F.when(F.col("_w").isNotNull(), F.count("*").over(Window.partitionBy(group, "_run"))).otherwise(0)
-    return rows.withColumn("run_length", length).withColumn("in_run", F.col("run_length") >= least).drop("_w", "_c", "_run")
+    changes = lambda before: ((~F.col("_w").eqNullSafe(before)) | F.col("_w").isNull()).cast("int")
+    if has_hot_key(df, group):
+        rows = previous(ranged(rows, group, order), group, _before=F.col("_w")).withColumn("_c", changes(F.col("_before")))
+        rows = stage(unranged(running(rows, group, sums={"_run": F.col("_c")})).withColumn("_run", F.col("_run") + F.col("_c")).drop("_before"))
+        n = stage(rows.groupBy(group, "_run").agg(F.count("*").alias("_n")).withColumn("_weight", F.col("_n")))
+        rows = look_up(rows, n, [group, "_run"], "_weight", n.agg(F.sum("_n")).first()[0] or 0)
+    else:
+        w = Window.partitionBy(group).orderBy(*order)
+        rows = rows.withColumn("_c", F.when(F.row_number().over(w) == 1, 1).otherwise(changes(F.lag("_w").over(w)))).withColumn("_run", F.sum("_c").over(w))
+        rows = rows.withColumn("_n", F.count("*").over(Window.partitionBy(group, "_run")))
+    length = F.when(F.col("_w").isNotNull(), F.col("_n")).otherwise(0)
+    return rows.withColumn("run_length", length).withColumn("in_run", F.col("run_length") >= least).drop("_w", "_c", "_run", "_n")
 
 
 def repetitive_transcripts(scenes: DataFrame, transcript: str = "transcript") -> DataFrame:
@@ -139,14 +168,17 @@ def ocr_gap(segments: DataFrame) -> DataFrame:
 
 def ocr_schedule(scenes: DataFrame, budget: float | None = None, cost: Column | float = 1.0) -> DataFrame:
     """(video_id, scene_idx, round, at_sec, position): when to look at which scene, every scene's first time before any second; with a
-    budget, without what comes after the costs used it up."""
+    budget, without what comes after the costs used it up. A video with very many looks is worked off in ranges."""
     times = scenes.select("video_id", "scene_idx", F.posexplode(sample_times(F.col("start_sec"), F.col("end_sec"))).alias("round", "at_sec"))
-    w = Window.partitionBy("video_id").orderBy("round", "scene_idx")
-    rows = times.withColumn("position", F.row_number().over(w))
-    if budget is None:
-        return rows
-    spent = F.coalesce(F.sum(F.lit(cost) if isinstance(cost, float) else cost).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    return rows.withColumn("_spent", spent).where(F.col("_spent") <= budget).drop("_spent")
+    each = F.lit(cost) if isinstance(cost, float) else cost
+    if has_hot_key(times, "video_id"):
+        rows = running(ranged(times, "video_id", ["round", "scene_idx"]), "video_id", sums={"_n": F.lit(1), "_spent": each})
+        rows = unranged(rows).withColumn("position", (F.col("_n") + 1).cast("int")).drop("_n")
+    else:
+        w = Window.partitionBy("video_id").orderBy("round", "scene_idx")
+        spent = F.coalesce(F.sum(each).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+        rows = times.withColumn("position", F.row_number().over(w)).withColumn("_spent", spent)
+    return (rows if budget is None else rows.where(F.col("_spent") <= budget)).drop("_spent")
 
 
 def merge_ocr(hits: DataFrame, scenes: DataFrame) -> DataFrame:
@@ -162,8 +194,15 @@ def merge_ocr(hits: DataFrame, scenes: DataFrame) -> DataFrame:
 
 
 def budget_cut(items: DataFrame, key: str, order: list, cost: str, budget: float, batch: int = 2) -> DataFrame:
-    """The items in order by batches of `batch`, up to and with the batch in which the running cost exceeds the budget."""
-    w = Window.partitionBy(key).orderBy(*order)
-    rows = items.withColumn("_batch", F.floor((F.row_number().over(w) - 1) / batch)).withColumn("_total", F.sum(cost).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    over = F.min(F.when(F.col("_total") > budget, F.col("_batch"))).over(Window.partitionBy(key))
-    return rows.withColumn("_over", over).where(F.col("_over").isNull() | (F.col("_batch") <= F.col("_over"))).drop("_batch", "_total", "_over")
+    """The items in order by batches of `batch`, up to and with the batch in which the running cost exceeds the budget. A key with very many
+    items is worked off in ranges."""
+    beyond = F.when(F.col("_total") > budget, F.col("_batch"))
+    if has_hot_key(items, key):
+        rows = running(ranged(items, key, order), key, sums={"_n": F.lit(1), "_spent": F.col(cost)})
+        rows = rows.withColumn("_batch", F.floor(F.col("_n") / batch)).withColumn("_total", F.col("_spent") + F.coalesce(cost, F.lit(0)))
+        rows = unranged(running(rows, key, least={"_over": beyond})).drop("_n", "_spent")
+    else:
+        w = Window.partitionBy(key).orderBy(*order)
+        rows = items.withColumn("_batch", F.floor((F.row_number().over(w) - 1) / batch)).withColumn("_total", F.sum(cost).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        rows = rows.withColumn("_over", F.min(beyond).over(Window.partitionBy(key)))
+    return rows.where(F.col("_over").isNull() | (F.col("_batch") <= F.col("_over"))).drop("_batch", "_total", "_over")

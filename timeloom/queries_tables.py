@@ -279,6 +279,24 @@ def index_transcripts(spark, d):
     return out.select("video_id", F.col("scene_idx").cast("bigint").alias("scene_idx"), timeline.is_hallucinated(F.col("no_speech_prob")).alias("hallucinated"), "is_repetitive", "index_transcript")
 
 
+@query(
+    """WITH t AS (SELECT doc_id, CAST(substr(source, 4) AS INT) AS video_id, lower(text || CASE WHEN doc_id % 4 > 0 THEN repeat(' ' || lang, CAST(length(text) // 4 AS INT)) ELSE '' END) AS x FROM documents),
+w AS (SELECT doc_id, unnest(l) AS word, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, list_filter(string_split_regex(x, '\\s+'), lambda v: v <> '') AS l FROM t)),
+c AS (SELECT doc_id, word, count(*) AS n, min(i) AS i FROM w GROUP BY 1, 2),
+b AS (SELECT doc_id, CASE WHEN n / sum(n) OVER (PARTITION BY doc_id) >= 0.5 THEN word END AS word FROM c QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, i) = 1),
+j AS (SELECT t.doc_id, video_id, word FROM t LEFT JOIN b USING (doc_id)),
+f AS (SELECT *, CASE WHEN word IS NULL OR word IS DISTINCT FROM lag(word) OVER (PARTITION BY video_id ORDER BY doc_id) THEN 1 ELSE 0 END AS c FROM j),
+r AS (SELECT *, sum(c) OVER (PARTITION BY video_id ORDER BY doc_id) AS run FROM f)
+SELECT doc_id, word IS NOT NULL AND count(*) OVER (PARTITION BY video_id, run) >= 3 AS is_repetitive FROM r"""
+)
+def repetitive_texts(spark, d):
+    """Whole documents by source as transcripts; three of four say their language's code so often that it makes up half of the words."""
+    s = segments(spark, d)
+    more = F.when(F.col("id") % 4 > 0, F.repeat(F.concat(F.lit(" "), "lang"), (F.length("transcript") / 4).cast("int"))).otherwise("")
+    scenes = s.select("video_id", F.col("id").alias("scene_idx"), F.concat("transcript", more).alias("transcript"))
+    return timeline.repetitive_transcripts(scenes).select(F.col("scene_idx").alias("doc_id"), "is_repetitive")
+
+
 @query("SELECT doc_id AS id FROM documents WHERE coalesce(CASE WHEN lang = 'de' THEN text END, '') = ''")
 def text_gaps(spark, d):
     return timeline.ocr_gap(segments(spark, d).withColumn("ocr_text", F.when(F.col("lang") == "de", F.col("transcript")))).select("id")

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.folds import ordered_fold
+from ..operators.ordered import carried, earlier, has_hot_key, ranged, running, unranged
+from ..sources.tables import stage
 
 # What is said and kept for each kind of turn.
 ASK_MORE = "可以再多說明一下想找的內容嗎？"
@@ -54,22 +56,65 @@ def _whole(turns: DataFrame) -> DataFrame:
     return turns.select(F.col("conv_id").cast("bigint").alias("conv_id"), *TURN, *chosen)
 
 
-def conversation_scopes(turns: DataFrame) -> DataFrame:
-    """The state after each turn (see OUT): scope is the search's, shown_scope what the turn shows. One sorted pass that holds one state."""
+def _folding(conversation):
+    now = START
+
+    def step(row):
+        nonlocal now
+        if row is None:
+            return []
+        now, shown, action = next_state(now, row)
+        return [{"conv_id": conversation, "turn": row["turn"], "action": action, "active_query": now[0], "scope": now[1], "shown_scope": shown, "selected_index": now[2], "history": now[3]}]
+
+    return step
+
+
+def _piece_folding(k):
+    """As _folding, for a piece that begins with a new search: history has the turn's own line only."""
+    now = START
+
+    def step(row):
+        nonlocal now
+        if row is None:
+            return []
+        now, shown, action = next_state((*now[:3], "", now[4]), row)
+        return [{"conv_id": k["conv_id"], "turn": row["turn"], "action": action, "active_query": now[0], "scope": now[1], "shown_scope": shown, "selected_index": now[2], "history": now[3], "message": row["message"]}]
 
-    def fold(conversation):
-        now = START
+    return step
 
-        def step(row):
-            nonlocal now
-            if row is None:
-                return []
-            now, shown, action = next_state(now, row)
-            return [{"conv_id": conversation, "turn": row["turn"], "action": action, "active_query": now[0], "scope": now[1], "shown_scope": shown, "selected_index": now[2], "history": now[3]}]
 
-        return step
+def _history_folding(_):
+    """Puts the lines of a range's turns together."""
+    kept = ""
 
-    return ordered_fold(_whole(turns), "conv_id", ["turn", "message"], fold, OUT)
+    def step(row):
+        nonlocal kept
+        if row is None:
+            return []
+        kept = (f"{kept}\n{row['history']}" if kept else row["history"])[-HISTORY_CHARS:]
+        return [{**{c: row[c] for c in row if c != "k"}, "conv_id": row["k"]["conv_id"], "_p": row["k"]["_p"], "history": kept}]
+
+    return step
+
+
+def conversation_scopes(turns: DataFrame) -> DataFrame:
+    """The state after each turn (see OUT): scope is the search's, shown_scope what the turn shows. One sorted pass that holds one state.
+
+    Where a conversation has very many turns, they are cut into pieces before each new search, which keeps nothing of the search before it, and folded side by side.
+    The history, which goes on, is put together in ranges of turns, each of which takes over the last characters of those before.
+    """
+    whole = _whole(turns)
+    if not has_hot_key(whole, "conv_id"):
+        return ordered_fold(whole, "conv_id", ["turn", "message"], _folding, OUT)
+    new = F.coalesce(~F.col("action").isin("clarify", "select_result", "refine_search"), F.lit(True)).cast("bigint")
+    parts = unranged(running(ranged(whole, "conv_id", ["turn", "message"]), "conv_id", sums={"_before": new}))
+    keyed = parts.withColumn("k", F.struct("conv_id", (F.col("_before") + new).alias("piece"))).drop("conv_id", "_before")
+    lines = ordered_fold(keyed, "k", ["turn", "message"], _piece_folding, f"{OUT}, message string")
+    rows = ranged(lines, "conv_id", ["turn", "message"]).withColumn("k", F.struct("_p", "conv_id")).drop("conv_id", "_p", "message")
+    local = stage(ordered_fold(rows, "k", ["_i"], _history_folding, f"{OUT}, _p bigint, _i bigint"))
+    tails = F.array_join(F.collect_list("_t").over(earlier("conv_id")), "\n")
+    joined = carried(local, "conv_id", {"_t": F.max_by("history", "_i")}, {"_c": F.nullif(tails, F.lit(""))})
+    return unranged(joined.withColumn("history", F.right(F.concat_ws("\n", "_c", "history"), F.lit(HISTORY_CHARS))).drop("_c"))
 
 
 def selection_text(index: int, title: str | None, start: float | None, end: float | None) -> str:
@@ -138,10 +183,14 @@ def conversation_stream(turns: DataFrame) -> DataFrame:
 
 def history(turns: DataFrame, chars: int = HISTORY_CHARS) -> DataFrame:
     """(conv_id, history): the last `chars` characters of the texts of turns (conv_id, turn, text), a line each. Only the last turns that
-    reach so far are put together; null texts are none."""
-    later = Window.partitionBy("conv_id").orderBy(F.desc("turn"), F.desc("text")).rowsBetween(Window.unboundedPreceding, -1)
-    size = F.coalesce(F.sum(F.length("text") + 1).over(later), F.lit(0))
-    last = turns.select("conv_id", "turn", "text", size.alias("_after"))
+    reach so far are put together; null texts are none. A conversation with very many turns is worked off in ranges."""
+    order = [F.desc("turn"), F.desc("text")]
+    rows = turns.select("conv_id", "turn", "text")
+    if has_hot_key(rows, "conv_id"):
+        last = unranged(running(ranged(rows, "conv_id", order), "conv_id", sums={"_after": F.length("text") + 1}))
+    else:
+        later = Window.partitionBy("conv_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        last = rows.withColumn("_after", F.coalesce(F.sum(F.length("text") + 1).over(later), F.lit(0)))
     line = F.when(F.col("text").isNotNull() & (F.col("_after") <= chars), F.struct("turn", F.substring("text", -chars, chars).alias("x")))
     lines = F.transform(F.array_sort(F.collect_list(line)), lambda t: t["x"])
     return last.groupBy("conv_id").agg(F.array_join(lines, "\n").alias("_h")).select("conv_id", F.substring("_h", -chars, chars).alias("history"))
