@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .intervals import points_inside
 from .material import material_bounds
 
 GAP_LIMIT = 60
@@ -44,13 +45,9 @@ def backwards(steps: DataFrame) -> DataFrame:
 
 
 def lines_in_gaps(lines: DataFrame, gaps: DataFrame, closed: bool = False, width: int = GAP_LIMIT) -> DataFrame:
-    """Lines inside any of their video's gaps (video_id, a, b), with the ends if closed. Gaps are dealt to buckets of time."""
-    spread = gaps.select("video_id", "a", "b", F.explode(F.sequence(F.floor(F.col("a") / width), F.floor(F.col("b") / width))).alias("_k"))
-    at = F.col("line_sec")
-    inside = (at >= F.col("a")) & (at <= F.col("b")) if closed else (at > F.col("a")) & (at < F.col("b"))
-    keyed = lines.withColumn("_k", F.floor(F.col("line_sec") / width)).alias("l")
-    g = spread.withColumnRenamed("video_id", "_v").withColumnRenamed("_k", "_gk")
-    return keyed.join(g, (F.col("video_id") == F.col("_v")) & (F.col("_k") == F.col("_gk")) & inside, "left_semi").drop("_k")
+    """Lines inside any of their video's gaps (video_id, a, b), with the ends if closed; each line once, however long the gaps are."""
+    found = points_inside(lines, gaps, "line_sec", closed=closed, width=width).select("video_id", "line_sec").distinct()
+    return lines.join(found, ["video_id", "line_sec"], "left_semi")
 
 
 def document_holes(steps: DataFrame, lines: DataFrame, limit: float = GAP_LIMIT) -> DataFrame:
@@ -60,9 +57,7 @@ def document_holes(steps: DataFrame, lines: DataFrame, limit: float = GAP_LIMIT)
     inside = steps.join(bounds, "video_id").where(F.col("timestamp_sec").between(F.col("first_sec"), F.col("last_sec"))).select(*steps.columns)
     gaps = step_gaps(inside, lines).where(F.col("b") - F.col("a") > limit).select("video_id", F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b"))
     open_lines = unwritten(steps, lines).select("video_id", "line_sec")
-    width = GAP_LIMIT
-    spread = gaps.select("video_id", "a", "b", F.explode(F.sequence(F.floor(F.col("a") / width), F.floor(F.col("b") / width))).alias("_k"))
-    has = spread.join(open_lines.withColumn("_k", F.floor(F.col("line_sec") / width)), ["video_id", "_k"]).where(F.col("line_sec").between(F.col("a"), F.col("b")))
+    has = points_inside(open_lines, gaps, "line_sec", width=GAP_LIMIT)
     return has.select("video_id", F.col("a").alias("hole_start"), F.col("b").alias("hole_end")).distinct()
 
 

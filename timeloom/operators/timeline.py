@@ -9,14 +9,15 @@ from ..functions.text import dominant_word, has_text, nfkc
 from ..functions.times import sample_times
 from ..sources.tables import look_up, stage
 from .folds import ordered_fold
+from .intervals import overlap_join
 from .ordered import has_hot_key, previous, ranged, running, unranged
 
 MERGE_BELOW, SPLIT_ABOVE, SPLIT_TARGET = 8.0, 12.0, 10.0
 NO_SPEECH = 0.7
 DOMINANCE, MIN_RUN = 0.5, 3
 MIN_CONFIDENCE, PAD = 0.3, 1.0
-#: Width of the buckets in which time ranges meet; normalised scenes are about so long.
-BUCKET = 12.0
+#: Width of the cells in which time ranges meet; normalised scenes are about so long.
+CELL = 12.0
 
 
 def scene_ranges(cuts: DataFrame, videos: DataFrame) -> DataFrame:
@@ -91,25 +92,7 @@ def normalise_scenes(scenes: DataFrame) -> DataFrame:
     return split.withColumn("scene_idx", F.row_number().over(Window.partitionBy("video_id").orderBy("start_sec", "end_sec")) - 1)
 
 
-def _buckets(start: Column, end: Column, width: float) -> Column:
-    first, last = F.floor(start / width), F.floor(end / width)
-    return F.explode(F.sequence(first, F.greatest(first, last)))
-
-
-def overlap_join(left: DataFrame, right: DataFrame, key: str = "video_id", width: float = BUCKET) -> DataFrame:
-    """Pairs of left and right (start_sec, end_sec each; right's are named r_start and r_end) that overlap within a key.
-
-    Both are dealt to buckets of time, so that a long video's ranges spread over many tasks; a pair comes from the first bucket that
-    both are in, once.
-    """
-    a = left.withColumn("_b", _buckets(F.col("start_sec"), F.col("end_sec"), width)).alias("a")
-    b = right.withColumnRenamed("start_sec", "r_start").withColumnRenamed("end_sec", "r_end").withColumn("_b", _buckets(F.col("r_start"), F.col("r_end"), width))
-    first = F.greatest(F.floor(F.col("start_sec") / width), F.floor(F.col("r_start") / width))
-    joined = a.join(b, [key, "_b"]).where((F.col("r_start") < F.col("end_sec")) & (F.col("r_end") > F.col("start_sec")) & (F.col("_b") == first))
-    return joined.drop("_b")
-
-
-def align_transcript(scenes: DataFrame, utterances: DataFrame, width: float = BUCKET) -> DataFrame:
+def align_transcript(scenes: DataFrame, utterances: DataFrame, width: float = CELL) -> DataFrame:
     """scenes (video_id, scene_idx, start_sec, end_sec) with transcript: the texts of all overlapping utterances in their order, joined
     by a space ('' without any), and their mean no_speech_prob and avg_logprob and highest compression_ratio; width: about a scene's."""
     u = utterances.select("video_id", "start_sec", "end_sec", "text", "no_speech_prob", "avg_logprob", "compression_ratio", F.monotonically_increasing_id().alias("_n"))
