@@ -12,6 +12,7 @@ from timeloom.operators import catalogue, evaluation, models
 from timeloom.sources import schemas, tables, vectors
 from timeloom.sources.golden import read_golden_set
 from timeloom.streaming import conversations, jobs
+from timeloom.sources.snapshots import read_snapshot
 from timeloom.streaming.tables import grow_index, log_windows, swap_analyses
 
 
@@ -46,9 +47,9 @@ def test_vectors(spark):
 def test_writes(spark, folder):
     rows = lambda *x: spark.createDataFrame(list(x), "video_id int, start_sec double, transcript string, visual_description string")
     tables.write_segments(rows((1, 0.0, "", "a"), (1, 1.0, "t", ""), (2, 0.0, "u", "b")), f"{folder}/seg")
-    assert spark.read.parquet(f"{folder}/seg").where("transcript is null").count() == 1
+    assert read_snapshot(spark, f"{folder}/seg").where("transcript is null").count() == 1
     tables.replace_partition(rows((1, 5.0, "new", "n")), f"{folder}/seg")
-    assert sorted((r.video_id, r.start_sec) for r in spark.read.parquet(f"{folder}/seg").collect()) == [(1, 5.0), (2, 0.0)]
+    assert sorted((r.video_id, r.start_sec) for r in read_snapshot(spark, f"{folder}/seg").collect()) == [(1, 5.0), (2, 0.0)]
     tables.append_search_log(spark.createDataFrame([("q", 0.001)], "query string, cost_usd double"), f"{folder}/log")
     tables.append_search_log(spark.createDataFrame([("q2", 0.0)], "query string, cost_usd double"), f"{folder}/log")
     assert spark.read.parquet(f"{folder}/log").count() == 2
@@ -269,7 +270,7 @@ def test_table_streams(spark, folder):
     assert {r.gram for r in spark.read.parquet(f"{folder}/idx").where("array_contains(ids, 1)").collect()} >= {"abc", "bcd"}
     tables.write_segments(content.withColumn("transcript", F.lit("old")), f"{folder}/seg")
     swap_analyses(stream.where("video_id = 1"), f"{folder}/seg", f"{folder}/ck2").awaitTermination(120)
-    assert {r.video_id: r.transcript for r in spark.read.parquet(f"{folder}/seg").collect()} == {1: "abcd", 2: "old"}
+    assert {r.video_id: r.transcript for r in read_snapshot(spark, f"{folder}/seg").collect()} == {1: "abcd", 2: "old"}
     log = spark.createDataFrame([("2026-01-01T10:00:00", 0.5), ("2026-01-01T12:00:00", None), ("2026-01-03T00:00:00", 1.0)], "created_at string, cost_usd double")
     assert sorted((r.searches, r.cost_usd) for r in log_windows(log).collect()) == [(1, 1.0), (2, 0.5)]
     log.coalesce(1).write.parquet(f"{folder}/log")

@@ -15,6 +15,7 @@ from .sources import adapters
 from .sources.adapters import segments, table, vectors, videos
 from .sources.golden import read_golden_set
 from .sources.schemas import align_columns, schema_of
+from .sources.snapshots import commit, compact, read_snapshot
 from .sources.tables import append_search_log, read_reports, replace_partition, scan_ocr_events, scan_segments, shared_path, stage, write_report, write_segments
 from .sources.vectors import decode_vec, encode_vec, read_documents, uncovered_items
 from .streaming.conversations import ASK_WHICH, conversation_scopes, reply_text, select_result
@@ -118,7 +119,22 @@ def replaced_segments(spark, d):
     s = segments(spark, d).select("id", "video_id", "transcript", F.lit("").alias("visual_description"))
     write_segments(s.withColumn("transcript", F.when(F.col("id") % 5 == 0, "").otherwise(F.col("transcript"))), path)
     replace_partition(s.where("video_id in (0, 2) and id % 2 = 0").withColumn("transcript", F.lit("new")), path)
-    return spark.read.parquet(path).groupBy("video_id").agg(F.count("*").alias("n"), F.count("transcript").alias("texts"), F.count_if(F.col("transcript") == "new").alias("new"))
+    return read_snapshot(spark, path).groupBy("video_id").agg(F.count("*").alias("n"), F.count("transcript").alias("texts"), F.count_if(F.col("transcript") == "new").alias("new"))
+
+
+@query(f"WITH {SEG} SELECT 1 AS version, video_id, count(*) AS n FROM seg GROUP BY 2 UNION ALL SELECT 3, video_id, count(*) FILTER (video_id <> 3 OR id % 2 = 0) + count(*) FILTER (video_id = 4) FROM seg WHERE video_id <> 1 GROUP BY 2 HAVING count(*) FILTER (video_id <> 3 OR id % 2 = 0) > 0")
+def segment_versions(spark, d):
+    """A table of segments before and after two steps, put together: one source has a new analysis without segments, another one with half of them; a third one
+    gets all of its segments once more, twice asked for. The old version can still be read."""
+    path = shared_path(spark, "segments")
+    s = segments(spark, d).select("id", "video_id", "transcript")
+    write_segments(s, path)
+    replace_partition(s.where("video_id = 3 and id % 2 = 0"), path, keys=s.where("video_id in (1, 3)"))
+    for _ in range(2):
+        commit(s.where("video_id = 4"), path, "video_id", batch="once")
+    compact(spark, path)
+    n = lambda v, name: read_snapshot(spark, path, v).groupBy("video_id").agg(F.count("*").alias("n")).select(F.lit(name).alias("version"), "video_id", "n")
+    return n(1, 1).unionByName(n(None, 3))
 
 
 @query("SELECT 'by_lang' AS run, lang AS name, count(*) AS n FROM documents WHERE lang IS NOT NULL GROUP BY 2 UNION ALL SELECT 'by_source', source, count(*) FROM documents WHERE source IS NOT NULL GROUP BY 2")
@@ -615,8 +631,8 @@ def swapped_analyses(spark, d):
     """Segments of two sources that a stream has replaced by a third of them."""
     source, path = shared_path(spark, "source"), shared_path(spark, "segments")
     rows = segments(spark, d).select("id", "video_id", F.lit(False).alias("swapped"))
-    rows.write.partitionBy("video_id").parquet(path)
+    write_segments(rows, path)
     new = rows.where("video_id in (1, 4) and id % 3 = 0").withColumn("swapped", F.lit(True))
     new.write.parquet(source)
     swap_analyses(spark.readStream.schema(new.schema).parquet(source), path, shared_path(spark, "progress")).awaitTermination()
-    return spark.read.parquet(path).groupBy("video_id").agg(F.count("*").alias("n"), F.count_if("swapped").alias("swapped"))
+    return read_snapshot(spark, path).groupBy("video_id").agg(F.count("*").alias("n"), F.count_if("swapped").alias("swapped"))

@@ -72,15 +72,20 @@ def append_search_log(summary: DataFrame, path: str) -> None:
     summary.select("query", F.col("cost_usd").cast("double"), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss").alias("created_at")).write.mode("append").parquet(path)
 
 
-def write_segments(rows: DataFrame, path: str) -> None:
-    """Adds segments, empty texts as null, by video."""
+def write_segments(rows: DataFrame, path: str) -> int:
+    """Adds segments, empty texts as null, to a table of snapshots; gives its new version."""
+    from .snapshots import commit
+
     texts = {c: F.nullif(F.col(c), F.lit("")) for c in ("transcript", "visual_description") if c in rows.columns}
-    rows.withColumns(texts).write.mode("append").partitionBy("video_id").parquet(path)
+    return commit(rows.withColumns(texts), path, "video_id")
+
 
+def replace_partition(new: DataFrame, path: str, key: str = "video_id", keys: DataFrame | None = None, batch: str | None = None) -> int:
+    """Puts the new rows in place of all rows with their keys, or with those of `keys`: of these, one without a new row is gone. Rows of
+    other keys stay as they are. Readers see all of it or nothing; a batch that is in the table already changes nothing."""
+    from .snapshots import commit
 
-def replace_partition(new: DataFrame, path: str, key: str = "video_id") -> None:
-    """Puts the new rows in place of all rows with their keys; rows of other keys stay as they are."""
-    new.repartition(F.col(key)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
+    return commit(new, path, key, new.select(key) if keys is None else keys.select(key), batch)
 
 
 def write_report(df: DataFrame, path: str, run_id: str) -> None:

@@ -20,8 +20,13 @@ def log_windows(log: DataFrame, width: str = "1 day", late: str = "1 hour") -> D
 
 
 def swap_analyses(segments: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Each batch's videos take the place of their old segments in one step; readers see the old ones until then."""
-    writer = segments.writeStream.foreachBatch(lambda df, _: replace_partition(df, path)).option("checkpointLocation", checkpoint)
+    """Each batch's videos take the place of their old segments in one step of a table of snapshots: readers see the old ones until then. A row without an id
+    says that its video's new analysis has no segment. A batch that is run again after a failure changes nothing."""
+
+    def swap(df: DataFrame, n: int) -> None:
+        replace_partition(df.where("id is not null"), path, keys=df, batch=f"{checkpoint}:{n}")
+
+    writer = segments.writeStream.foreachBatch(swap).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
