@@ -70,9 +70,19 @@ def _slice(rows: list) -> tuple[list, np.ndarray, np.ndarray]:
     return ids, np.array([r.v for r in rows]), np.array([place[r.query_id] for r in rows])
 
 
-def vector_scores(queries: DataFrame, vectors: DataFrame, id_col: str = "id", vector_col: str = "vector", top: int | None = None) -> DataFrame:
+def _by_id(ids: pa.Array, scores: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """Each different id of a batch with the best of its rows' scores."""
+    coded = ids.dictionary_encode(null_encoding="encode")
+    code = np.asarray(coded.indices)
+    order = np.argsort(code, kind="stable")
+    first = np.flatnonzero(np.r_[True, np.diff(code[order]) > 0])
+    return coded.dictionary, np.maximum.reduceat(scores[order], first, axis=0)
+
+
+def vector_scores(queries: DataFrame, vectors: DataFrame, id_col: str = "id", vector_col: str = "vector", top: int | None = None, best_of_id: bool = False) -> DataFrame:
     """(query_id, id_col, score): the best cosine over each query's variants, for all rows, or for at least the `top` best rows of
-    each query in each batch (equals at the end included). Rows without a vector are left out; one of length 0 scores 0."""
+    each query in each batch (equals at the end included), or with best_of_id for the best row of each id in each batch. Rows without a vector are left out; one of
+    length 0 scores 0."""
     spark = vectors.sparkSession
     kind = vectors.schema[id_col].dataType.simpleString()
     q_kind = queries.schema["query_id"].dataType.simpleString()
@@ -86,13 +96,15 @@ def vector_scores(queries: DataFrame, vectors: DataFrame, id_col: str = "id", ve
             ids, matrix, owner = shared.value
             q = pa.array(ids, q_type)
             for b in _slices(batches, len(ids)):
-                scores = _best(_matrix(b.column("_u")), matrix, owner, len(ids))
+                scores, of = _best(_matrix(b.column("_u")), matrix, owner, len(ids)), b.column(id_col)
+                if best_of_id and len(scores):
+                    of, scores = _by_id(of, scores)
                 if top is not None and top < len(scores):
                     floor = np.partition(scores, len(scores) - top, axis=0)[len(scores) - top]
                     i, j = np.nonzero(scores >= floor - 10.0**-DIGITS)
                 else:
                     i, j = (x.ravel() for x in np.indices(scores.shape))
-                yield pa.record_batch([q.take(pa.array(j)), b.column(id_col).take(pa.array(i)), pa.array(scores[i, j])], ["query_id", id_col, "score"])
+                yield pa.record_batch([q.take(pa.array(j)), of.take(pa.array(i)), pa.array(scores[i, j])], ["query_id", id_col, "score"])
 
         part = rows.mapInArrow(run, f"query_id {q_kind}, `{id_col}` {kind}, score double")
         out = part if out is None else out.unionAll(part)
@@ -117,10 +129,10 @@ def pair_scores(queries: DataFrame, rows: DataFrame) -> DataFrame:
 
 def event_scores(queries: DataFrame, events: DataFrame) -> DataFrame:
     """(query_id, segment_id, score): the best score of each segment's text events; events without a segment or vector count
-    for nothing."""
-    of = events.where("segment_id is not null and embedding is not null").select(F.monotonically_increasing_id().alias("_e"), "segment_id", F.col("embedding").alias("vector"))
-    scores = vector_scores(queries, of.select(F.struct("_e", "segment_id").alias("key"), "vector"), "key")
-    return scores.groupBy("query_id", F.col("key.segment_id").alias("segment_id")).agg(F.max("score").alias("score"))
+    for nothing. A task's part sends one row for each query and segment, however many events the segment has."""
+    of = events.where("segment_id is not null and embedding is not null").select("segment_id", F.col("embedding").alias("vector"))
+    scores = vector_scores(queries, of, "segment_id", best_of_id=True)
+    return scores.groupBy("query_id", "segment_id").agg(F.max("score").alias("score"))
 
 
 MODALITIES = ("transcript", "visual", "ocr")

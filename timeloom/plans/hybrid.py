@@ -10,7 +10,8 @@ from ..functions.text import first_text, negative_text, strip_generic_terms
 from ..operators.dense import dense_channel, relevant_of_vectors
 from ..operators.fusion import MIN_FUSION, MIN_SIMILARITY, ORDER, few_sparse_ranks, fuse, is_confident, rank_bound, rrf, sparse_ranks_of, top_results
 from ..operators.pruned import best_rows, named_rows, rows_before, vector_rows
-from ..operators.sparse import LIMIT, corpus_stats, exclude_negated, in_scope, negated_segments, sparse_channel
+from ..operators.scopes import in_scope, scoped_rows
+from ..operators.sparse import LIMIT, corpus_stats, exclude_negated, negated_segments, sparse_channel
 from ..sources.tables import small, stage
 
 #: Fixed value: the title of a segment whose video isn't among the analysed ones.
@@ -112,7 +113,7 @@ def _pruned(cleaned, narrowed, asked, query_vectors, segments, events, bm25_limi
 def _sorted(cleaned, narrowed, asked, query_vectors, segments, events, bm25_limit, negation_limit, min_fusion, index) -> DataFrame:
     """The same from all pairs of queries and segments, for all rows."""
     rows = segments.select("id", "video_id", "start_sec")
-    scoped = rows.join(small(narrowed.select("query_id", "scope")), in_scope(F.col("scope"), F.col("video_id")))
+    scoped = scoped_rows(narrowed, rows)
     candidates = stage(exclude_negated(narrowed, segments, scoped, negation_limit))
     scored = dense_channel(query_vectors, segments, events).join(candidates, ["query_id", "id"])
     valid = stage(scored.select("query_id", "id", "video_id", "start_sec", "similarity", "transcript_score", "visual_score", "ocr_score"))

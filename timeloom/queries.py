@@ -12,11 +12,12 @@ from .functions.scoring import cosine, hit_source_label, temporal_iou
 from .functions.text import append_history, bigrams, clean_text, contains_ci, dominant_word, extract_terms, negative_text, positive_text, strip_generic_terms
 from .functions.times import format_timestamp, probe_times, sample_times
 from .operators import catalogue, coverage, dense, evaluation, fusion, material, quality, sparse, timeline, trigrams
+from .operators.scopes import scoped_rows
 from .plans.hybrid import hybrid_search
 from .sources import adapters
 from .sources.adapters import segments, table, vectors, videos
 from .sources.schemas import reconcile
-from .sources.tables import shared_path, small, stage
+from .sources.tables import shared_path, stage
 from .streaming.conversations import conversation_scopes, history
 from .streaming.jobs import job_state
 from .streaming.tables import log_windows
@@ -135,7 +136,7 @@ def negation_exclude(spark, d):
     """The candidates that no negated term finds, without a limit; all of these terms occur."""
     q = spark.createDataFrame(NEGATIVE, "query_id int, query string, scope array<int>")
     s = segments(spark, d)
-    candidates = s.join(small(q), sparse.in_scope(F.col("scope"), F.col("video_id"))).select("query_id", "id")
+    candidates = scoped_rows(q, s.select("id", "video_id")).select("query_id", "id")
     return sparse.exclude_negated(q, s, candidates)
 
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -49,9 +50,23 @@ def look_up(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, tot
     return rows.join(heavy, same).drop(*helpers).unionByName(others.join(rest, same, how).drop(*helpers))
 
 
-def small(df: DataFrame, most: int = 10_000) -> DataFrame:
-    """df marked for broadcast if it has at most `most` rows, else as it is."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+#: Bytes, about, that are sent to every task by a broadcast of rows that were counted.
+MOST_BYTES = 16 << 20
+
+
+def _bytes(column: Column, kind: T.DataType) -> Column:
+    """About how many bytes a value has."""
+    if isinstance(kind, T.ArrayType):
+        flat = F.size(column) * 8 if not isinstance(kind.elementType, T.StringType | T.BinaryType) else F.aggregate(column, F.lit(0), lambda n, x: n + F.coalesce(F.length(x), F.lit(0)) + 8)
+        return F.greatest(F.coalesce(flat, F.lit(0)), F.lit(0)) + 8
+    return F.coalesce(F.length(column), F.lit(0)) + 8 if isinstance(kind, T.StringType | T.BinaryType) else F.lit(16)
+
+
+def small(df: DataFrame, most: int = 10_000, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """df marked for broadcast if it has at most `most` rows and about most_bytes bytes, arrays and texts counted, else as it is."""
+    size = sum((_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema), F.lit(0))
+    n, total = df.limit(most + 1).agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    return F.broadcast(df) if n <= most and total <= most_bytes else df
 
 
 def scan(df: DataFrame, scope: list[int] | None = None, order: tuple[str, ...] = ("video_id", "start_sec")) -> DataFrame:
