@@ -65,6 +65,12 @@ def test_term_routing_and_short_terms(spark):
     assert {(r.id, r.score) for r in sparse.sparse_channel(q, s, cand).collect()} == {(0, -1e6), (1, -1e6)}
 
 
+def test_terms_of_long_texts(spark):
+    """Long runs of one script don't exhaust the stack."""
+    text = "word " * 60_000 + "焊接 " + "的" * 60_000
+    assert one(spark, extract_terms, text) == ["word", "焊接"]
+
+
 def test_negation(spark):
     s = corpus(spark, [(1, 1, "工廠裡的機器人"), (2, 1, "工廠"), *[(i, 1, "x") for i in range(3, 9)]])
     q = spark.createDataFrame([(1, "工廠，不要機器人", None), (2, "工廠", None)], "query_id int, query string, scope array<int>")

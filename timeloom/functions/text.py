@@ -46,7 +46,8 @@ def extract_terms(query: Column) -> Column:
     """Candidate keywords: runs of ASCII letters and digits first, then the other text cut at stop characters, white space and
     clause marks; those of two or more characters, each once, in order."""
     words = F.regexp_extract_all(query, F.lit("([A-Za-z0-9]+)"), 1)
-    rest = F.split(query, f"(?:[A-Za-z0-9]|[{STOP_CHARACTERS}{CLAUSE_MARKS}]|{BLANK})+")
+    # one class of characters: repeated alternatives would take a stack frame for each character of a long text
+    rest = F.split(query, f"[A-Za-z0-9{STOP_CHARACTERS}{CLAUSE_MARKS}{BLANK[1:-1]}]+")
     return F.array_distinct(F.filter(F.concat(words, rest), lambda t: F.length(t) >= 2))
 
 

@@ -52,10 +52,19 @@ def status_view(videos: DataFrame, kind: str) -> DataFrame:
     return videos.where(F.col("status") == "failed" if kind == "failed" else F.col("status") != "failed")
 
 
+def _library_order(column: str, desc: bool) -> list[Column]:
+    keys = {"title": F.col("title"), "segment_count": F.coalesce("segment_count", F.lit(0)), "cost_usd": F.coalesce("cost_usd", F.lit(0.0)), "analyzed_at": F.coalesce("analyzed_at", "created_at")}
+    return [keys[column].desc() if desc else keys[column].asc(), F.col("id")]
+
+
 def library_sort(videos: DataFrame, column: str = "analyzed_at", desc: bool = True) -> DataFrame:
     """By title, segment_count, cost_usd or analyzed_at; missing numbers count as 0 and a missing time as that of creation."""
-    keys = {"title": F.col("title"), "segment_count": F.coalesce("segment_count", F.lit(0)), "cost_usd": F.coalesce("cost_usd", F.lit(0.0)), "analyzed_at": F.coalesce("analyzed_at", "created_at")}
-    return videos.orderBy(keys[column].desc() if desc else keys[column].asc(), "id")
+    return videos.orderBy(*_library_order(column, desc))
+
+
+def library_places(videos: DataFrame, column: str = "analyzed_at", desc: bool = True) -> DataFrame:
+    """Adds place: each video's number in that order."""
+    return places(videos, *_library_order(column, desc))
 
 
 def places(rows: DataFrame, *order: Column) -> DataFrame:

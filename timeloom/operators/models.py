@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-import json
 import time
 from collections.abc import Callable
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..functions.text import strip_generic_terms
-from ..sources.tables import stage
+from ..functions.text import has_text, strip_generic_terms
+from ..sources.tables import look_up, shared_path, stage
 from .dense import query_variants
 
 #: fn(list of dicts) gives for each one a dict of the output columns and cost_usd, or raises.
@@ -61,27 +61,73 @@ def apply_model(df: DataFrame, in_cols: list[str], fn: BatchFn, out_schema: str,
     return df.mapInArrow(run, schema)
 
 
-def embed_columns(segments: DataFrame, columns: dict[str, str], fn: BatchFn, **options) -> tuple[DataFrame, DataFrame]:
+#: The columns by which a text is known, and how many rows a wave of questions has, about.
+KEY, WAVE = ["_h1", "_h2"], 100_000
+
+
+def _key(*columns: str) -> list[Column]:
+    """128 bits of some columns; nulls differ from empty texts."""
+    values = [*[F.col(c).isNull() for c in columns], *[F.col(c) for c in columns]]
+    return [F.xxhash64(F.lit(seed), *values).alias(n) for seed, n in enumerate(KEY)]
+
+
+def answered(rows: DataFrame, in_cols: list[str], fn: BatchFn, out_schema: str, ledger: str | None = None, wave: int | None = None, **options) -> DataFrame:
+    """As apply_model for rows (KEY, ...) of different keys, with answers that are kept: what the ledger, a folder, has is not asked again.
+
+    Questions go out in waves, and a wave's answers are in the ledger before the next one begins. So a job that stops half-way, or is run again, asks the rest
+    only (and what had failed), and pays at most one wave twice. Without a ledger the answers lie in the shared folder of this session.
+    """
+    spark = rows.sparkSession
+    path = ledger or shared_path(spark, "answers")
+    schema = T.StructType([*rows.schema.fields, *T.StructType.fromDDL(out_schema).fields]).add("cost_usd", "double").add("error", "string")
+    exists = spark._jvm.org.apache.hadoop.fs.Path(path)
+    known = exists.getFileSystem(spark._jsc.hadoopConfiguration()).exists(exists)
+    rows = stage(rows)
+    todo = rows if not known else stage(rows.join(spark.read.schema(schema).parquet(path).where("error is null").select(*KEY), KEY, "left_anti"))
+    waves = -(-todo.count() // (wave or WAVE))
+    for i in range(waves):
+        part = todo.where(F.pmod(F.xxhash64(*KEY), F.lit(waves)) == i) if waves > 1 else todo
+        apply_model(part, in_cols, fn, out_schema, **options).write.mode("append").parquet(path)
+    if not known and not waves:
+        return spark.createDataFrame([], schema)
+    found = spark.read.schema(schema).parquet(path)
+    if not known:
+        return found
+    own = [c for c in found.columns if c not in KEY]
+    best = found.groupBy(*KEY).agg(F.min_by(F.struct(*own), F.col("error").isNotNull()).alias("_a"))  # an answer rather than an old failure
+    return best.join(rows.select(*KEY), KEY, "left_semi").select(*KEY, *[F.col(f"_a.{c}").alias(c) for c in own]).select(*found.columns)
+
+
+def embed_columns(segments: DataFrame, columns: dict[str, str], fn: BatchFn, ledger: str | None = None, **options) -> tuple[DataFrame, DataFrame]:
     """segments with a vector column for each text column of `columns` (text: vector), and the ledger (text, cost_usd, error). Each
-    distinct non-empty text is sent once: the answers are written before they are used."""
-    texts = None
-    for c in columns:
-        part = segments.select(F.col(c).alias("text"))
-        texts = part if texts is None else texts.union(part)
-    distinct = texts.where("coalesce(text, '') <> ''").distinct()
-    embedded = stage(apply_model(distinct, ["text"], fn, "vector array<float>", **options))
+    distinct non-empty text is sent once, and not at all if the folder `ledger` has its answer. Texts are known by 128-bit hashes; a text that many rows have reaches them
+    by its weight, so that they don't meet in one task."""
+    parts = [segments.where(has_text(c)).select(F.col(c).alias("text"), *_key(c)) for c in columns]
+    texts = reduce(DataFrame.unionByName, parts)
+    once = texts.groupBy(*KEY).agg(F.count("*").alias("_weight"), F.any_value("text").alias("text"))
+    embedded = answered(once, ["text"], fn, "vector array<float>", ledger, **options)
+    total = embedded.agg(F.sum("_weight")).first()[0] or 0
     for c, v in columns.items():
-        segments = segments.join(embedded.select(F.col("text").alias(c), F.col("vector").alias(v)), c, "left")
+        vectors = embedded.select(*KEY, "_weight", F.col("vector").alias(v))
+        segments = look_up(segments.select("*", *_key(c)), vectors, KEY, "_weight", total, "left").drop(*KEY)
     return segments, embedded.select("text", "cost_usd", "error")
 
 
-def prepare_queries(queries: DataFrame, translate: BatchFn, embed: BatchFn, **options) -> tuple[DataFrame, DataFrame]:
+def _asked(rows: DataFrame, in_cols: list[str], fn: BatchFn, out_schema: str, ledger: str | None, **options) -> DataFrame:
+    """apply_model for rows that are different, with answers that a ledger keeps or, without one, this session does."""
+    if ledger is None:
+        return stage(apply_model(rows, in_cols, fn, out_schema, **options))
+    return answered(rows.select("*", *_key(*rows.columns)), in_cols, fn, out_schema, ledger, **options).drop(*KEY)
+
+
+def prepare_queries(queries: DataFrame, translate: BatchFn, embed: BatchFn, ledger: str | None = None, **options) -> tuple[DataFrame, DataFrame]:
     """(query_id, variant, vector) of each query's text and translations (columns zh, en), and the cost of each query; a failed translation
-    leaves the text alone. Vectors and costs come from the same answers."""
+    leaves the text alone. Vectors and costs come from the same answers; a ledger (two folders below it) spares what was asked before."""
+    of = lambda name: None if ledger is None else f"{ledger}/{name}"
     cleaned = queries.select("query_id", strip_generic_terms(F.col("query")).alias("query"))
-    translated = stage(apply_model(cleaned, ["query"], translate, "zh string, en string", **options))
+    translated = _asked(cleaned, ["query"], translate, "zh string, en string", of("translations"), **options)
     variants = query_variants(translated, "zh", "en")
-    embedded = stage(apply_model(variants, ["variant"], lambda rows: embed([{"text": r["variant"]} for r in rows]), "vector array<float>", **options))
+    embedded = _asked(variants, ["variant"], lambda rows: embed([{"text": r["variant"]} for r in rows]), "vector array<float>", of("vectors"), **options)
     cost = translated.select("query_id", "cost_usd").union(embedded.select("query_id", "cost_usd")).groupBy("query_id").agg(F.sum("cost_usd").alias("cost_usd"))
     return embedded.where("error is null").select("query_id", "variant", "vector"), cost
 
@@ -106,13 +152,14 @@ def parse_intents(answers: DataFrame, raw: str = "answer", message: str = "messa
     )
 
 
-def write_documents(material: DataFrame, document: BatchFn, summary: BatchFn, **options) -> DataFrame:
+def write_documents(material: DataFrame, document: BatchFn, summary: BatchFn, ledger: str | None = None, **options) -> DataFrame:
     """(video_id, document_json, document_type, summary, cost_usd, error) from each video's material (video_id, material): a document,
     or if that fails a summary, or if both fail nulls and the last error. Either model is asked once for a video: its answers are
-    written before they are parted. A failed document's cost counts with its summary's."""
-    made = stage(apply_model(material.select("video_id", "material"), ["material"], document, "document_json string", **options))
+    written before they are parted; a ledger (two folders below it) spares what was answered before. A failed document's cost counts with its summary's."""
+    of = lambda name: None if ledger is None else f"{ledger}/{name}"
+    made = _asked(material.select("video_id", "material"), ["material"], document, "document_json string", of("documents"), **options)
     good, bad = made.where("error is null"), made.where("error is not null").select("video_id", "material", F.coalesce("cost_usd", F.lit(0.0)).alias("_spent"))
-    short = stage(apply_model(bad, ["material"], summary, "summary string", **options)).withColumn("cost_usd", F.col("_spent") + F.coalesce("cost_usd", F.lit(0.0)))
+    short = _asked(bad, ["material"], summary, "summary string", of("summaries"), **options).withColumn("cost_usd", F.col("_spent") + F.coalesce("cost_usd", F.lit(0.0)))
     kind = F.get_json_object("document_json", "$.doc_type")
     a = good.select("video_id", "document_json", kind.alias("document_type"), F.get_json_object("document_json", "$.overview").alias("summary"), "cost_usd", "error")
     b = short.select("video_id", F.lit(None).cast("string").alias("document_json"), F.lit(None).cast("string").alias("document_type"), "summary", "cost_usd", "error")
@@ -123,23 +170,3 @@ def collect_material(lines: DataFrame) -> DataFrame:
     """(video_id, material): each video's lines in order; a document's material is bounded by the number of segments that it may have."""
     ordered = F.array_sort(F.collect_list(F.struct("start_sec", "line")))
     return lines.groupBy("video_id").agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("material"))
-
-
-def hash_embedding(dimensions: int = 16) -> BatchFn:
-    """A deterministic stand-in for an embedding model, for tests: character counts by hash."""
-
-    def fn(rows: list[dict]) -> list[dict]:
-        out = []
-        for r in rows:
-            v = [0.0] * dimensions
-            for ch in r["text"]:
-                v[ord(ch) * 2654435761 % 2**32 % dimensions] += 1.0
-            out.append({"vector": v, "cost_usd": len(r["text"]) * 1e-8})
-        return out
-
-    return fn
-
-
-def echo_json(rows: list[dict]) -> list[dict]:
-    """A stand-in for a document model: the material's first line as the only step."""
-    return [{"document_json": json.dumps({"doc_type": "sop", "overview": (r["material"] or "")[:40], "sections": [], "uncovered": []}), "cost_usd": 0.001} for r in rows]

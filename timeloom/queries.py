@@ -287,7 +287,7 @@ c AS (SELECT query_id, score >= 0.35 AS conf FROM r WHERE rank = 1),
 e AS (SELECT q.query_id, is_answerable, coalesce(h.rank <= 1, false) AS r1, coalesce(h.rank <= 5, false) AS r5, coalesce(1.0 / h.rank, 0) AS rr, CASE WHEN h.rank <= 5 THEN 1 / log2(h.rank + 1) ELSE 0 END AS nd, iou, conf FROM q LEFT JOIN h USING (query_id) JOIN c USING (query_id))"""
 
 
-def _evaluated(spark, d):
+def _evaluated_parts(spark, d):
     v = vectors(spark, d)
     q = adapters.query_vectors(spark, d)
     top = dense.cosine_topk(q, v, 21).where("id <> query_id")
@@ -297,7 +297,11 @@ def _evaluated(spark, d):
     queries = v.where("id % 100 = 0").select(F.col("id").alias("query_id"), (F.col("id") % 200 == 0).alias("is_answerable"), "video_id")
     answers = queries.where("is_answerable").select("query_id", "video_id", F.lit(20.0).alias("start_sec"), F.lit(70.0).alias("end_sec"))
     summary = results.where("rank = 1").select("query_id", (F.col("similarity") >= 0.35).alias("is_confident"))
-    return evaluation.evaluate(queries, answers, results, summary)
+    return queries, answers, results, summary
+
+
+def _evaluated(spark, d):
+    return evaluation.evaluate(*_evaluated_parts(spark, d))
 
 
 @query(
@@ -733,4 +737,4 @@ def time_functions(spark, d):
     return scored.select("event_id", format_timestamp(v * 60).alias("stamp"), F.size(sample_times(F.lit(0.0), v)).cast("bigint").alias("samples"), F.round(F.get(probe_times(F.lit(0.0), v), F.lit(2)), 6).alias("last_probe"), F.round(temporal_iou(F.lit(0.0), v, F.lit(5.0), F.lit(20.0)), 6).alias("iou"), hit_source_label().alias("label"))
 
 
-from . import queries_tables  # noqa: E402, F401  registers its queries
+from . import queries_more, queries_tables  # noqa: E402, F401  register their queries

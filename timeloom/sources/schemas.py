@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -65,11 +65,46 @@ def align_columns(source: DataFrame, target: T.StructType, generated: tuple[str,
     return fit(source, kept), report
 
 
+#: Bits of a key's hash that each level of the digests looks at, and the levels.
+LEAF_BITS, LEVELS = 12, 2
+
+
+def _leaf(key: str, bits: int) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(key), 64 - bits)
+
+
+def _digests(rows: DataFrame, key: str, columns: list[str], bits: int) -> DataFrame:
+    """(leaf, n, a, b): for each range of the keys' hashes how many rows it has, and 128 bits of all their values, whatever their order."""
+    values = [*[F.col(c).isNull() for c in columns], *[F.col(c) for c in columns]]  # a hash passes over nulls
+    hashes = [F.bit_xor(F.xxhash64(F.lit(seed), F.col(key).isNull(), F.col(key), *values)).alias(n) for n, seed in (("a", 1), ("b", 2))]
+    return rows.groupBy(_leaf(key, bits).alias("leaf")).agg(F.count("*").alias("n"), *hashes)
+
+
+def _differing(left: DataFrame, right: DataFrame, key: str, columns: list[str], bits: int) -> list[int]:
+    x, y = _digests(left, key, columns, bits).alias("x"), _digests(right, key, columns, bits).alias("y")
+    same = F.expr("x.n <=> y.n and x.a <=> y.a and x.b <=> y.b")
+    return [r.leaf for r in x.join(y, F.expr("x.leaf = y.leaf"), "full_outer").where(~same).select(F.coalesce("x.leaf", "y.leaf").alias("leaf")).limit((1 << LEAF_BITS) + 1).collect()]
+
+
 def reconcile(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """(key, difference, columns): a row for each key whose rows differ: only `left`, only `right` or `values` with the
-    columns that differ, null equal to null and bytes compared as bytes. Keys must be unique on either side."""
+    columns that differ, null equal to null and bytes compared as bytes. Keys must be unique on either side.
+
+    Both sides are digested by ranges of the keys' hashes first, and the ranges that differ once more in finer ones; only rows of those that still do are
+    joined. Equal copies shuffle nothing but digests.
+    """
     columns = [c for c in left.columns if c in right.columns and c != key]
-    a, b = left.alias("a"), right.alias("b")
+    plain = [c for c in columns if not isinstance(left.schema[c].dataType, T.MapType)]
+    a, b = left, right
+    for level in range(1, LEVELS + 1 if plain == columns else 1):
+        leaves = _differing(a, b, key, columns, level * LEAF_BITS)
+        if len(leaves) > 1 << LEAF_BITS - 1:
+            break  # most ranges differ: finer digests would spare nothing
+        inside = _leaf(key, level * LEAF_BITS).isin(leaves)
+        a, b = a.where(inside), b.where(inside)
+        if not leaves:
+            break
+    a, b = a.alias("a"), b.alias("b")
     joined = a.join(b, F.col(f"a.{key}") == F.col(f"b.{key}"), "full_outer")
     differ = F.filter(F.array(*[F.when(~F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")), F.lit(c)) for c in columns]), lambda x: x.isNotNull()) if columns else F.array().cast("array<string>")
     kind = F.when(F.col(f"b.{key}").isNull(), "left").when(F.col(f"a.{key}").isNull(), "right").when(F.size(differ) > 0, "values")
