@@ -4,6 +4,7 @@ import random
 import tempfile
 
 import pytest
+import stand_ins
 from pyspark.sql import functions as F
 
 from timeloom.functions.catalogue import best_thumbnail, catalogue_items, chat_cost, is_video_url, topic
@@ -11,8 +12,8 @@ from timeloom.functions.times import format_timestamp, parse_timestamp, sample_t
 from timeloom.operators import catalogue, evaluation, models
 from timeloom.sources import schemas, tables, vectors
 from timeloom.sources.golden import read_golden_set
-from timeloom.streaming import conversations, jobs
 from timeloom.sources.snapshots import read_snapshot
+from timeloom.streaming import conversations, jobs
 from timeloom.streaming.tables import grow_index, log_windows, swap_analyses
 
 
@@ -162,11 +163,11 @@ def test_model_seam(spark):
     rows = {r.id: (r.n, r.cost_usd, r.error) for r in models.apply_model(df, ["t"], fn, "n int", wait=0).collect()}
     assert rows == {1: (2, 0.5, None), 2: (None, 0.0, "ValueError: no"), 3: (3, 0.5, None)}
     seg = spark.createDataFrame([(1, "x", "y"), (2, "x", ""), (3, None, "x")], "id int, transcript string, ocr_text string")
-    out, ledger = models.embed_columns(seg, {"transcript": "tv", "ocr_text": "ov"}, models.hash_embedding())
+    out, ledger = models.embed_columns(seg, {"transcript": "tv", "ocr_text": "ov"}, stand_ins.hash_embedding())
     got = {r.id: r for r in out.collect()}
     assert got[1].tv == got[2].tv == got[3].ov and got[2].ov is None and got[3].tv is None and ledger.count() == 2
     q = spark.createDataFrame([(1, "ab")], "query_id int, query string")
-    vec, cost = models.prepare_queries(q, lambda rows: [{"zh": r["query"], "en": "en", "cost_usd": 0.001} for r in rows], models.hash_embedding())
+    vec, cost = models.prepare_queries(q, lambda rows: [{"zh": r["query"], "en": "en", "cost_usd": 0.001} for r in rows], stand_ins.hash_embedding())
     assert {r.variant for r in vec.collect()} == {"ab", "en"} and cost.first().cost_usd > 0.001
     answers = spark.createDataFrame([("m1", '{"action":"refine_search","standalone_query":" ","filters_video_ids":[3]}'), ("m2", "junk"), ("m3", '{"action":"dance"}')], "message string, answer string")
     assert [(r.action, r.standalone_query, r.llm_video_ids) for r in models.parse_intents(answers).collect()] == [("refine_search", "m1", [3]), ("new_search", "m2", []), ("new_search", "m3", [])]
@@ -178,7 +179,7 @@ def test_model_seam(spark):
     assert material.first().material == "a\nb"
     made = models.write_documents(material, broken, lambda rows: [{"summary": "s", "cost_usd": 0.1} for _ in rows]).first()
     assert made.summary == "s" and made.document_json is None
-    assert models.write_documents(material, models.echo_json, broken).first().document_type == "sop"
+    assert models.write_documents(material, stand_ins.echo_json, broken).first().document_type == "sop"
 
 
 def run_stream(df, folder, mode, name):
