@@ -207,6 +207,41 @@ def test_job_stream(spark, folder):
         assert (x.status, x.stage, x.progress_percent, x.error_message, x.cost_usd, x.completed_at) == (final[j].status, final[j].stage, final[j].progress_percent, final[j].error_message, final[j].cost_usd, final[j].completed_at)
 
 
+def test_stored_jobs_begin_another_stream(spark, folder):
+    """What is under way when a stream stops is read from its state, fails after a restart, or goes on in another stream."""
+    kind = "job_id bigint, seq bigint, event_time timestamp, event_type string, stage string, percent int, message string, cost_usd double"
+    event = "select {0} as job_id, {1} as seq, timestamp_seconds({1}) as event_time, '{2}' as event_type, '{3}' as stage, {4} as percent, '{3}' as message, 0.5D as cost_usd"
+    events = lambda *rows: spark.sql(" union all ".join(event.format(*x) for x in rows)).selectExpr(*[f"cast({c.split()[0]} as {c.split()[1]}) as {c.split()[0]}" for c in kind.split(", ")])
+    events((1, 1, "progress", "a", 10), (2, 1, "progress", "a", 20), (2, 2, "result", "b", 0), (3, 1, "error", "boom", 0)).coalesce(1).write.parquet(f"{folder}/first")
+    run_stream(jobs.job_state_stream(spark.readStream.schema(kind).parquet(f"{folder}/first")), folder, "update", "first_jobs")
+    left = jobs.stored_jobs(spark, f"{folder}/ck-first_jobs")
+    assert [(r.job_id, r.status, r.stage, r.progress_percent) for r in left.collect()] == [(1, "running", "a", 10)]
+    failed, _ = jobs.reconcile_after_restart(left, spark.createDataFrame([], "id int, status string, analyzed_at string, pipeline_stage string"))
+    assert [(r.job_id, r.status, r.error_message) for r in failed.collect()] == [(1, "failed", jobs.INTERRUPTED)]
+    events((1, 5, "progress", "c", 50), (2, 6, "progress", "late", 1), (3, 7, "result", "late", 1), (1, 8, "result", "d", 0)).coalesce(1).write.parquet(f"{folder}/second")
+    known = spark.table("first_jobs").where("status <> 'running'").unionByName(left)
+    run_stream(jobs.job_state_stream(spark.readStream.schema(kind).parquet(f"{folder}/second"), initial=known), folder, "update", "second_jobs")
+    assert [(r.job_id, r.status, r.stage, r.progress_percent) for r in spark.table("second_jobs").collect()] == [(1, "completed", "c", 100)]
+
+
+def test_silent_and_ended_jobs(spark, folder):
+    """With a clock: a silent job fails, and the state of an ended one goes after its time."""
+    import time
+
+    kind = "job_id bigint, seq bigint, event_time timestamp, event_type string, stage string, percent int, message string, cost_usd double"
+    rows = lambda *x: spark.createDataFrame(list(x), "job_id bigint, seq bigint, event_type string").selectExpr("job_id", "seq", "timestamp_seconds(seq) as event_time", "event_type", "'s' as stage", "1 as percent", "'m' as message", "0.5D as cost_usd").coalesce(1).write.mode("append").parquet(f"{folder}/ev2")
+    rows((1, 1, "progress"), (2, 1, "result"))
+    q = jobs.job_state_stream(spark.readStream.schema(kind).parquet(f"{folder}/ev2"), silence_ms=3000, keep_ms=1000).writeStream.format("memory").queryName("clock_jobs").outputMode("update").option("checkpointLocation", f"{folder}/ck-clock").trigger(processingTime="1 second").start()
+    try:
+        end = time.time() + 90
+        while time.time() < end and not spark.sql("select * from clock_jobs where status = 'failed'").count():
+            time.sleep(1)
+    finally:
+        q.stop()
+    assert [(r.job_id, r.error_message) for r in spark.sql("select * from clock_jobs where status = 'failed'").collect()] == [(1, jobs.INTERRUPTED)]
+    assert jobs.stored_jobs(spark, f"{folder}/ck-clock").count() == 0  # no job is under way any more
+
+
 def test_restart(spark, catalog):
     j = spark.createDataFrame([(1, "running", None), (2, "completed", None)], "id int, status string, error_message string")
     a, b = jobs.reconcile_after_restart(j, catalog)

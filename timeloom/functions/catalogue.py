@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .text import bound
+from .patterns import held
 
 # Topics in the order that decides between equals, with their keywords; the topic of the rest.
 TOPICS = {
@@ -27,24 +29,25 @@ EMBEDDING_PRICE, SPEECH_PRICE = 0.02 / 1_000_000, 0.006
 VIDEO_URL = r"youtube\.com/watch\?v=|youtu\.be/|youtube\.com/shorts/"
 
 
-def keyword_score(title: Column, summary: Column, words: tuple[str, ...]) -> Column:
-    """How much the keywords weigh that lower-cased texts hold."""
-    score = F.lit(0)
-    for w in words:
-        score = score + F.when(F.contains(title, F.lit(w)), TITLE_WEIGHT).otherwise(0) + F.when(F.contains(summary, F.lit(w)), SUMMARY_WEIGHT).otherwise(0)
-    return score
-
-
 def topic(title: Column, summary: Column, topics: dict[str, tuple[str, ...]] | None = None, other: str = OTHER_TOPIC) -> Column:
-    """The topic whose keywords score highest, a title's more than a summary's; of equals the first, without any `other`. Both texts are
-    lower-cased once a row."""
+    """The topic whose keywords score highest, a title's more than a summary's; of equals the first, without any `other`. Each text is lower-cased once and
+    goes once through an automaton of all keywords."""
     rules = TOPICS if topics is None else topics
+    words = tuple(dict.fromkeys(w for ws in rules.values() for w in ws))
+    number = {w: i for i, w in enumerate(words)}
+    names, sets = list(rules), [{number[w] for w in ws} for ws in rules.values()]
+
+    def best(title: str | None, summary: str | None) -> str:
+        t, s = (held(words, (x or "").lower()) for x in (title, summary))
+        scores = [TITLE_WEIGHT * len(t & own) + SUMMARY_WEIGHT * len(s & own) for own in sets]
+        top = max(scores, default=0)
+        return names[scores.index(top)] if top else other
 
-    def best(x: Column) -> Column:
-        return F.array_max(F.array(*[F.struct(keyword_score(x["t"], x["s"], words).alias("score"), F.lit(-i).alias("at"), F.lit(name).alias("topic")) for i, (name, words) in enumerate(rules.items())]))
+    @F.pandas_udf(T.StringType())
+    def topic_of(title: pd.Series, summary: pd.Series) -> pd.Series:
+        return pd.Series([best(t, s) for t, s in zip(title, summary, strict=True)], dtype=object)
 
-    texts = F.struct(F.lower(title).alias("t"), F.lower(F.coalesce(summary, F.lit(""))).alias("s"))
-    return bound(bound(texts, best), lambda b: F.when(b["score"] > 0, b["topic"]).otherwise(other))
+    return topic_of.asNondeterministic()(title, summary)  # so that a plan doesn't repeat it
 
 
 def is_video_url(url: Column) -> Column:

@@ -32,3 +32,8 @@ def counted(patterns: tuple[str, ...], texts: Iterable[str]) -> Iterator[dict[in
                 n[i] = n.get(i, 0) + 1
                 free[i] = end + 1
         yield n
+
+
+def held(patterns: tuple[str, ...], text: str) -> set[int]:
+    """Which of the patterns, by number, the text holds."""
+    return {i for _, (i, _) in automaton(patterns).iter(text)} if patterns else set()

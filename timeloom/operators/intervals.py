@@ -7,6 +7,8 @@ spreads over many tasks.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,8 +27,9 @@ def _cells(start: Column, end: Column, level: Column, width: float) -> Column:
 
 
 def _top(*sides: tuple[DataFrame, Column, Column], width: float) -> int:
-    """The highest level of any range."""
-    return max((df.agg(F.max(_level(a, b, width))).first()[0] or 0) for df, a, b in sides)
+    """The highest level of any range, in one job."""
+    levels = reduce(DataFrame.unionAll, [df.select(_level(a, b, width).alias("_l")) for df, a, b in sides])
+    return levels.agg(F.max("_l")).first()[0] or 0
 
 
 def overlap_join(left: DataFrame, right: DataFrame, key: str = "video_id", width: float = 12.0) -> DataFrame:

@@ -74,6 +74,8 @@ def previous(rows: DataFrame, key: str, **columns: Column) -> DataFrame:
 
 
 def numbered(df: DataFrame, key: str, order: list[Column | str], name: str) -> DataFrame:
-    """df with each row's number in its key from 1 on, in this order."""
+    """df with each row's number in its key from 1 on, in this order: in ranges where a key is hot, else by a window of each key."""
+    if not has_hot_key(df, key):
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(key).orderBy(*order)))
     rows = running(ranged(df, key, order), key, sums={"_before": F.lit(1)})
     return unranged(rows).withColumn(name, (F.col("_before") + 1).cast("int")).drop("_before")

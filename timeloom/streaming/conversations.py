@@ -9,16 +9,15 @@ scope.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.folds import ordered_fold
 from ..operators.ordered import carried, earlier, has_hot_key, ranged, running, unranged
 from ..sources.tables import stage
+from .states import plain_rows, use_state_store
 
 # What is said and kept for each kind of turn.
 ASK_MORE = "可以再多說明一下想找的內容嗎？"
@@ -155,30 +154,41 @@ def next_state(state: tuple, turn: dict) -> tuple[tuple, list[int], str]:
     return (query, scope, selected, history, results), shown, action
 
 
-def _fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    query, scope, selected, history, results = state.get if state.exists else START
-    now = (query, [int(v) for v in scope], selected, history, results)
-    out = []
-    for r in pd.concat(list(batches)).sort_values("turn").to_dict("records"):
-        clean = {k: (None if v is None or (not isinstance(v, (list, str)) and not hasattr(v, "__len__") and pd.isna(v)) else v) for k, v in r.items()}
-        for c in ("llm_video_ids", "ui_video_ids"):
-            clean[c] = [int(v) for v in clean[c]] if clean[c] is not None else []
-        clean |= {c: clean.get(c) for c in SELECTION}
-        for c in ("selected_index", "n_results"):
-            clean[c] = None if clean[c] is None else int(clean[c])
-        now, shown, action = next_state(now, clean)
-        out.append({"conv_id": key[0], "turn": r["turn"], "action": action, "active_query": now[0], "scope": now[1], "shown_scope": shown, "selected_index": now[2], "history": now[3]})
-    state.update(now)
-    frame = pd.DataFrame(out)
-    frame["selected_index"] = frame["selected_index"].astype("Int32")
-    yield frame
-
-
-def conversation_stream(turns: DataFrame) -> DataFrame:
+#: The state of a conversation.
+KEPT = "query string, scope array<int>, selected int, history string, results int"
+
+
+class _Conversations(StatefulProcessor):
+    def __init__(self, keep_ms: int | None):
+        self.keep_ms = keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("state", KEPT, self.keep_ms)
+
+    def close(self) -> None:
+        pass
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+        query, scope, selected, history, results = self.state.get() if self.state.exists() else START
+        now = (query, [int(v) for v in scope], selected, history, results)
+        out = []
+        for r in plain_rows(rows, ["turn"]):
+            turn = r | {c: [int(v) for v in r[c]] if r[c] is not None else [] for c in ("llm_video_ids", "ui_video_ids")}
+            turn |= {c: turn.get(c) for c in SELECTION}
+            turn |= {c: None if turn[c] is None else int(turn[c]) for c in ("selected_index", "n_results")}
+            now, shown, action = next_state(now, turn)
+            out.append({"conv_id": key[0], "turn": r["turn"], "action": action, "active_query": now[0], "scope": now[1], "shown_scope": shown, "selected_index": now[2], "history": now[3]})
+        self.state.update(now)
+        frame = pd.DataFrame(out)
+        frame["selected_index"] = frame["selected_index"].astype("Int32")
+        yield frame
+
+
+def conversation_stream(turns: DataFrame, keep_ms: int | None = None) -> DataFrame:
     """The stream twin of conversation_scopes, in append mode: a row for each turn. Turns of a conversation must arrive in order
-    of their batches; within a batch they are sorted."""
-    kept = "query string, scope array<int>, selected int, history string, results int"
-    return turns.groupBy("conv_id").applyInPandasWithState(_fold, OUT, kept, "append", GroupStateTimeout.NoTimeout)
+    of their batches; within a batch they are sorted. With keep_ms a conversation without a turn for so long is forgotten."""
+    use_state_store(turns.sparkSession)
+    return turns.groupBy("conv_id").transformWithStateInPandas(_Conversations(keep_ms), OUT, "append", "processingTime" if keep_ms else "none")
 
 
 def history(turns: DataFrame, chars: int = HISTORY_CHARS) -> DataFrame:
