@@ -237,6 +237,17 @@ def test_gain_on_other_notations(field):
     assert not any(pii.added_spans(field, [c], [[]])[0] for c in clean)
 
 
+def test_bars(monkeypatch):
+    """A bar stands between the spans that are right often enough and the first that would spoil it; without a wrong one it stays at its least."""
+    m = pii.RandomField(*[None] * 4)
+    texts = [(f"t{i}", [("phone", 0, 1)] if ok else []) for i, ok in enumerate((1, 1, 1, 0, 1, 0))]
+    found = [[("phone", 0, 1, p)] for p in (0.95, 0.9, 0.8, 0.7, 0.65, 0.2)]
+    monkeypatch.setattr(pii, "_decoded", lambda m, texts: [found[int(t[1:])] for t in texts])
+    assert abs(pii.calibrated(m, texts, 0.9).bars["phone"] - 0.75) < 1e-9 and m.bars["email"] == pii.BAR
+    assert pii.calibrated(m, texts[:3], 0.9).bars["phone"] == pii.BAR == pii.calibrated(m, texts[:5], 0.8).bars["phone"]
+    assert pii.calibrated(m, texts[3:4], 0.9).bars["phone"] == 0.99 and pii.calibrated(m, []).bars["phone"] == pii.BAR
+
+
 def test_probabilities_are_those_of_all_paths(field):
     """Of a short text, by going through all of its paths."""
     from itertools import product

@@ -541,7 +541,10 @@ def calibrated(m: RandomField, examples: list[tuple[str, list[tuple[str, int, in
         spans.sort(reverse=True)
         right = np.cumsum([ok for _, ok in spans])
         fine = np.flatnonzero(right >= precision * np.arange(1, len(spans) + 1))
-        m.bars[kind] = min(max(spans[fine[-1]][0], BAR), 0.99) if len(fine) else (0.99 if spans else BAR)
+        at = fine[-1] if len(fine) else -1
+        # between the last span that is let in and the next one, which isn't
+        cut = BAR if at + 1 == len(spans) else (spans[at][0] + spans[at + 1][0]) / 2 if at >= 0 else 0.99
+        m.bars[kind] = min(max(cut, BAR), 0.99)
     return m
 
 
