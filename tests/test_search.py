@@ -148,6 +148,21 @@ def test_vector_scores(spark, monkeypatch):
     assert dense.vector_scores(queries.limit(0), rows).collect() == []
 
 
+def test_the_best_rows_of_a_task(spark, monkeypatch):
+    """However often a task sorts out what it holds, each query's best rows are there, and ties go by id."""
+    r = np.random.default_rng(5)
+    v = [r.choice([-1.0, 0.0, 1.0], 3).tolist() for _ in range(300)]
+    rows = stage(spark.createDataFrame([(i, x) for i, x in enumerate(v)], "id int, vector array<double>").coalesce(1))
+    queries = spark.createDataFrame([(i, 0, r.normal(size=3).tolist()) for i in range(5)], "query_id int, variant int, vector array<double>")
+    want = sorted(map(tuple, dense.cosine_topk(queries, rows, 7).select("query_id", "rank", "id").collect()))
+    monkeypatch.setattr(dense, "HELD", 10)
+    monkeypatch.setattr(dense, "MOST_SCORES", 60)
+    assert sorted(map(tuple, dense.cosine_topk(queries, rows, 7).select("query_id", "rank", "id").collect())) == want and len(want) == 35
+    every = sorted(((x.query_id, -round(x.score, 9), x.id) for x in dense.vector_scores(queries, rows).collect()))
+    best = [x for k in range(5) for x in [y for y in every if y[0] == k][:7]]
+    assert [(q, i) for q, _, i in best] == [(q, i) for q, _, i in want]
+
+
 def test_relevant_videos(spark):
     s = spark.createDataFrame([(1, 1, 0.5), (1, 2, 0.35), (1, 3, 0.34), (2, 1, 0.05), (2, 2, 0.01), (3, 1, 0.9)], "query_id int, video_id int, score double")
     relevant = dense.relevant_videos(s)

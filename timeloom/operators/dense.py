@@ -22,6 +22,8 @@ from ..functions.scoring import cosine
 MAX_QUERIES = 4_096
 #: Scores that a task holds at once: rows of a batch times queries.
 MOST_SCORES = 2_000_000
+#: Rows of best scores that a task holds before it keeps only the best of them.
+HELD = 200_000
 #: Scores are equal if they are up to this digit.
 DIGITS = 9
 
@@ -79,22 +81,34 @@ def _by_id(ids: pa.Array, scores: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     return coded.dictionary, np.maximum.reduceat(scores[order], first, axis=0)
 
 
+def _first_k(held: list[tuple[np.ndarray, pa.Array, np.ndarray]], k: int) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Of parts (query, id, score) the k best rows of each query, and what equals the last of them."""
+    j, s = (np.concatenate([x[i] for x in held]) for i in (0, 2))
+    order = np.lexsort((-s, j))
+    j, s = j[order], s[order]
+    start = np.searchsorted(j, j)
+    last = np.minimum(start + k - 1, np.searchsorted(j, j, side="right") - 1)
+    keep = s >= s[last] - 10.0**-DIGITS
+    return j[keep], pa.concat_arrays([x[1] for x in held]).take(pa.array(order[keep])), s[keep]
+
+
 def vector_scores(queries: DataFrame, vectors: DataFrame, id_col: str = "id", vector_col: str = "vector", top: int | None = None, best_of_id: bool = False) -> DataFrame:
     """(query_id, id_col, score): the best cosine over each query's variants, for all rows, or for at least the `top` best rows of
-    each query in each batch (equals at the end included), or with best_of_id for the best row of each id in each batch. Rows without a vector are left out; one of
+    each query in each task (equals at the end included), or with best_of_id for the best row of each id in each batch. Rows without a vector are left out; one of
     length 0 scores 0."""
     spark = vectors.sparkSession
     kind = vectors.schema[id_col].dataType.simpleString()
     q_kind = queries.schema["query_id"].dataType.simpleString()
     q_type = to_arrow_type(queries.schema["query_id"].dataType)
     rows = vectors.where(F.col(vector_col).isNotNull()).select(id_col, F.coalesce(unit(F.col(vector_col)), F.transform(vector_col, lambda x: F.lit(0.0))).alias("_u"))
-    out = None
+    out, names = None, ["query_id", id_col, "score"]
     for ids, matrix, owner in query_slices(queries):
         shared = spark.sparkContext.broadcast((ids, matrix, owner))
 
         def run(batches, shared=shared):
             ids, matrix, owner = shared.value
             q = pa.array(ids, q_type)
+            held, size = [], 0
             for b in _slices(batches, len(ids)):
                 scores, of = _best(_matrix(b.column("_u")), matrix, owner, len(ids)), b.column(id_col)
                 if best_of_id and len(scores):
@@ -104,7 +118,17 @@ def vector_scores(queries: DataFrame, vectors: DataFrame, id_col: str = "id", ve
                     i, j = np.nonzero(scores >= floor - 10.0**-DIGITS)
                 else:
                     i, j = (x.ravel() for x in np.indices(scores.shape))
-                yield pa.record_batch([q.take(pa.array(j)), of.take(pa.array(i)), pa.array(scores[i, j])], ["query_id", id_col, "score"])
+                if top is None:
+                    yield pa.record_batch([q.take(pa.array(j)), of.take(pa.array(i)), pa.array(scores[i, j])], names)
+                    continue
+                held.append((j, of.take(pa.array(i)), scores[i, j]))
+                size += len(i)
+                if size > max(HELD, 2 * top * len(ids)):
+                    held = [_first_k(held, top)]
+                    size = len(held[0][0])
+            if held:
+                j, found, s = _first_k(held, top)
+                yield pa.record_batch([q.take(pa.array(j)), found, pa.array(s)], names)
 
         part = rows.mapInArrow(run, f"query_id {q_kind}, `{id_col}` {kind}, score double")
         out = part if out is None else out.unionAll(part)

@@ -210,5 +210,5 @@ def exclude_negated(queries: DataFrame, segments: DataFrame, candidates: DataFra
     negated = queries.where(F.trim(negative_text(F.col("query"))) != "")
     if negated.isEmpty():
         return candidates
-    of = candidates.join(negated.select("query_id"), "query_id", "left_semi")
+    of = stage(candidates.join(negated.select("query_id"), "query_id", "left_semi").select("query_id", "id"))  # read several times
     return candidates.join(negated_segments(negated, segments, of, limit), ["query_id", "id"], "left_anti")
