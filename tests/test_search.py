@@ -288,3 +288,51 @@ def test_search_without_all_pairs_gives_the_sorted_results(spark, monkeypatch):
         got, want = (sorted(map(tuple, x.select(*columns).collect()), key=repr) for x in (a, b))
         assert got == want and len(got) > 20
         assert sorted(map(tuple, sa.collect())) == sorted(map(tuple, sb.collect()))
+
+
+def test_queries_of_one_text_and_scope_ask_the_keywords_once(spark, monkeypatch):
+    from timeloom.plans import hybrid
+    from timeloom.sources.schemas import with_content
+
+    rows = [(i, i % 3, float(i), i + 1.0, ("alpha " if i % 2 else "") + ("beta" if i % 5 else ""), None, None, [1.0, i % 7 / 7], None, None) for i in range(80)]
+    s = with_content(spark.createDataFrame(rows, "id int, video_id int, start_sec double, end_sec double, transcript string, visual_description string, ocr_text string, transcript_embedding array<float>, visual_embedding array<float>, ocr_embedding array<float>"))
+    q = spark.createDataFrame([(i, "alpha，不要beta" if i % 4 == 0 else "alpha", [0, 1] if i % 2 else None) for i in range(24)], "query_id int, query string, scope array<int>")
+    # query 0 asks for others, but has no vector itself
+    vectors = spark.createDataFrame([(i, 0, [1.0, i % 6 / 6]) for i in range(1, 24)], "query_id int, variant int, vector array<float>")
+    videos, asked, real = spark.createDataFrame([(1, "t")], "id int, title string"), [], hybrid.sparse_channel
+    monkeypatch.setattr(hybrid, "sparse_channel", lambda q, *a, **b: asked.append(q.count()) or real(q, *a, **b))
+    got, summary = hybrid_search(q, vectors, s, videos)
+    want, summed = hybrid_search(q, vectors, s, videos, prune=False)
+    assert asked == [3, 24]
+    columns = ("query_id", "rank", "segment_id", "fusion_score")
+    assert sorted(map(tuple, got.select(*columns).collect())) == sorted(map(tuple, want.select(*columns).collect())) != []
+    assert sorted(map(tuple, summary.collect())) == sorted(map(tuple, summed.collect()))
+
+
+@pytest.mark.parametrize("name", ["rrf_fusion", "rrf_pruned", "rrf_fusion_all"])
+def test_fusion_asks_the_keywords_once_and_joins_no_pairs(spark, data, monkeypatch, name):
+    from timeloom import queries
+    from timeloom.operators import dense
+
+    def none(*a, **b):
+        raise AssertionError("all pairs")
+
+    monkeypatch.setattr(dense, "vector_scores", none)
+    assert queries.QUERIES[name](spark, data).count() > 0
+
+
+def test_text_events_go_with_their_segment(spark, monkeypatch):
+    """No pair of a query and a segment is joined, but for segments with very many events."""
+    from timeloom.operators import dense
+
+    none = F.lit(None).cast("array<double>")
+    s = spark.createDataFrame([(i, [1.0, float(i)] if i != 3 else None) for i in range(5)], "id bigint, transcript_embedding array<double>").withColumns({"visual_embedding": none, "ocr_embedding": none})
+    e = spark.createDataFrame([(i % 7, [float(i), 1.0]) for i in range(40)] + [(3, None), (None, [1.0, 1.0])], "segment_id int, embedding array<double>")
+    q = spark.createDataFrame([(1, 0, [1.0, 0.0]), (2, 0, [0.0, 1.0])], "query_id int, variant int, vector array<double>")
+    norm = lambda df: sorted((r.query_id, r.id, *[None if r[c] is None else round(r[c], 12) for c in ("transcript_score", "ocr_score", "similarity")]) for r in df.collect())
+    alone, real = [], dense.event_scores
+    monkeypatch.setattr(dense, "event_scores", lambda *a: alone.append(1) or real(*a))
+    with_them = norm(dense.dense_channel(q, s, e))
+    assert not alone and len(with_them) == 10
+    monkeypatch.setattr(dense, "MOST_EVENTS", 5)
+    assert norm(dense.dense_channel(q, s, e)) == with_them and alone

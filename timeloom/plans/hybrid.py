@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scoring import hit_source_label
 from ..functions.text import first_text, negative_text, strip_generic_terms
 from ..operators.dense import dense_channel, relevant_of_vectors
-from ..operators.fusion import MIN_FUSION, MIN_SIMILARITY, ORDER, few_sparse_ranks, fuse, is_confident, rank_bound, rrf, sparse_ranks_of, top_results
-from ..operators.pruned import best_rows, named_rows, rows_before, vector_rows
+from ..operators.fusion import MIN_FUSION, MIN_SIMILARITY, is_confident, rank_bound, rrf, top_results
+from ..operators.pruned import askers, best_rows, fused_rows, vector_rows
 from ..operators.scopes import in_scope, scoped_rows
 from ..operators.sparse import LIMIT, corpus_stats, exclude_negated, negated_segments, sparse_channel
 from ..sources.tables import small, stage
@@ -83,31 +83,34 @@ def _pruned(cleaned, narrowed, asked, query_vectors, segments, events, bm25_limi
     """The rows that can reach the floor, with both ranks and the fused score.
 
     Such a row, and the best row of a query too, has one of its ranks at most rank_bound: the dense ones are the best of what the tasks
-    send, the sparse ones the first that the keywords find; the latter's dense rank is counted inside the tasks.
+    send, the sparse ones the first that the keywords find; the latter's dense rank is counted inside the tasks. Queries of one text and
+    scope ask the keywords once.
     """
-    bound, scopes = max(rank_bound(min_fusion), 1), narrowed.select("query_id", "scope")
-    inside = _within(narrowed, segments)
-    negated = cleaned.where(F.trim(negative_text(F.col("query"))) != "")
+    bound = max(rank_bound(min_fusion), 1)
+    both = cleaned.select("query_id", "query", F.col("scope").alias("own")).join(narrowed.select("query_id", "scope"), "query_id")
+    members = askers(both, "query", "own", "scope")
+    once = stage(members.where("query_id = asker"))
+    own = once.select("query_id", "query", F.col("own").alias("scope"))
+    scopes = once.select("query_id", "scope")
+    asked = once.select("query_id", "query", "scope") if asked is narrowed else own
+    inside = _within(scopes, segments)
+    negated = own.where(F.trim(negative_text(F.col("query"))) != "")
     excluded = None
     if not negated.isEmpty():
         n = corpus_stats(scopes, segments).select("query_id", F.col("n_docs").alias("n"))
         excluded = stage(negated_segments(negated, segments, None, negation_limit, index=index, restrict=inside, totals=n))
     vectors = stage(vector_rows(segments, events, excluded))
-    first = stage(best_rows(query_vectors, scopes, vectors, bound))
-    totals = first.where("id is null").groupBy("query_id").agg(F.sum("n").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), *ORDER))
-    top = first.where("id is not null").drop("n").withColumn("dense_rank", rank).where(F.col("dense_rank") <= bound)
+    first = stage(best_rows(query_vectors, members, vectors, bound))
+    # queries of one asker have as many rows; it may itself have no vector
+    counts = first.where("id is null").groupBy("query_id").agg(F.sum("n").alias("n")).join(members, "query_id")
+    totals = counts.groupBy(F.col("asker").alias("query_id")).agg(F.max("n").alias("n"))
 
     def valid(found: DataFrame) -> DataFrame:
         kept = inside(found).join(vectors.select("id"), "id", "left_semi")
         return kept if excluded is None else kept.join(excluded, ["query_id", "id"], "left_anti")
 
-    sparse = stage(sparse_channel(asked, segments, limit=bm25_limit, index=index, restrict=valid, totals=totals))
-    low = few_sparse_ranks(sparse, bound).join(top, ["query_id", "id"], "left_anti").select("query_id", "id")
-    named = stage(named_rows(query_vectors, scopes, vectors, low))
-    counted = rows_before(query_vectors, scopes, vectors, named).select("query_id", "id", (F.col("before") + 1).cast("int").alias("dense_rank"))
-    rows = stage(top.unionByName(named.join(counted, ["query_id", "id"])))
-    return fuse(rows.join(sparse_ranks_of(sparse, rows), ["query_id", "id"], "left"))
+    sparse = sparse_channel(asked, segments, limit=bm25_limit, index=index, restrict=valid, totals=totals)
+    return fused_rows(query_vectors, members, vectors, first, sparse, bound)
 
 
 def _sorted(cleaned, narrowed, asked, query_vectors, segments, events, bm25_limit, negation_limit, min_fusion, index) -> DataFrame:
