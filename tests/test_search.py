@@ -1,5 +1,6 @@
 """Terms, keyword scores, vectors and fusion."""
 
+import math
 import random
 import time
 
@@ -336,3 +337,15 @@ def test_text_events_go_with_their_segment(spark, monkeypatch):
     assert not alone and len(with_them) == 10
     monkeypatch.setattr(dense, "MOST_EVENTS", 5)
     assert norm(dense.dense_channel(q, s, e)) == with_them and alone
+
+
+def test_scores_in_videos_spread_a_video_over_tasks(spark, monkeypatch):
+    from timeloom.operators import dense
+
+    monkeypatch.setattr(dense, "PART_ROWS", 10)
+    rows = [(i, 0 if i % 10 else None, [float(i % 7), 1.0, 0.0] if i % 9 else [0.0, 0.0, 0.0]) for i in range(100)]
+    v = spark.createDataFrame(rows, "id int, video_id int, vector array<float>")
+    got = dense.scores_in_videos(v.where("id % 20 = 1").withColumnRenamed("id", "query_id"), v).withColumn("_p", F.spark_partition_id()).collect()
+    cos = lambda a, b: 0.0 if not any(a) or not any(b) else sum(x * y for x, y in zip(a, b)) / (math.hypot(*a) * math.hypot(*b))
+    assert len(got) == 5 * 90 and len({r._p for r in got}) >= 4
+    assert all(abs(r.score - cos(rows[r.query_id][2], rows[r.id][2])) < 1e-9 for r in got)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.scoring import cosine
-from ..sources.tables import stage
+from ..sources.tables import small, stage
 
 #: Query rows that are broadcast at once; more are worked off in several passes.
 MAX_QUERIES = 4_096
@@ -25,6 +25,8 @@ MAX_QUERIES = 4_096
 MOST_SCORES = 2_000_000
 #: Rows of best scores that a task holds before it keeps only the best of them.
 HELD = 200_000
+#: Vectors of one video that meet its queries in a task.
+PART_ROWS = 1_000
 #: Scores are equal if they are up to this digit.
 DIGITS = 9
 
@@ -152,6 +154,25 @@ def pair_scores(queries: DataFrame, rows: DataFrame) -> DataFrame:
     return rows.join(q, "query_id").withColumn("score", F.when(F.col("vector").isNotNull(), best)).drop("_variants")
 
 
+def scores_in_videos(queries: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(query_id, id, score): the cosines of queries (query_id, video_id, vector) and the vectors (id, video_id, vector) of their video, without
+    Python; 0 if either has length 0. Lengths are computed once a row, not once a pair, and a video's vectors are dealt to parts of about PART_ROWS
+    rows, each of which meets the video's queries, so that few videos spread over many tasks."""
+    length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    doubles = F.transform("vector", lambda x: x.cast("double"))
+    parts = stage(vectors.groupBy("video_id").agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("_parts")))
+    q = queries.select("query_id", "video_id", doubles.alias("q"), length.alias("q_length")).join(small(parts), "video_id")
+    q = q.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    v = vectors.select("id", "video_id", doubles.alias("v"), length.alias("v_length")).join(small(parts), "video_id")
+    v = v.withColumn("_part", F.pmod(F.xxhash64("id"), F.col("_parts")).cast("int")).drop("_parts")
+    # so many tasks as there are parts: their bytes are few, but not the pairs
+    n = parts.agg(F.sum("_parts")).first()[0] or 1
+    q, v = (x.repartition(n, "video_id", "_part") for x in (q, v))
+    norm = F.col("q_length") * F.col("v_length")
+    dot = F.aggregate(F.zip_with("q", "v", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    return q.join(v, ["video_id", "_part"]).select("query_id", "id", F.when(norm == 0, 0.0).otherwise(dot / norm).alias("score"))
+
+
 def event_scores(queries: DataFrame, events: DataFrame) -> DataFrame:
     """(query_id, segment_id, score): the best score of each segment's text events; events without a segment or vector count
     for nothing. A task's part sends one row for each query and segment, however many events the segment has."""
