@@ -230,3 +230,14 @@ def test_one_popular_url_stays_bounded(spark):
     rest = spark.range(500).select("id", F.concat(F.lit("http://b.net/"), F.col("id").cast("string")).alias("text"), F.lit(True).alias("rejected"))
     model = U.train(same.union(rest), sample=200)
     assert 60 < model.accepted.seen[1].max() < 400 * 20 and len(model.accepted.joint[0])
+
+
+def test_url_models_learn_from_all_rows_in_bounded_cells(spark):
+    from timeloom.llm import urls as U
+
+    rows = spark.range(50_000).select("id", F.concat(F.lit("http://a.org/fr/"), F.col("id").cast("string")).alias("text"), F.lit(False).alias("rejected"))
+    learned = rows.where(~U._held(rows)).agg(F.sum(F.length("text"))).first()[0]
+    model = U.train(rows)
+    assert model.accepted.seen[1].max() == learned and model.threshold == 0
+    small = U.train(rows, cells=256)
+    assert len(small.accepted.joint[0]) <= 256 and small.accepted.joint[1].sum() == model.accepted.joint[1].sum() == 6 * learned
