@@ -135,3 +135,16 @@ def test_repetitive_texts_of_whole_length(spark):
     got = {(r.video_id, r.scene_idx): r.is_repetitive for r in timeline.repetitive_transcripts(df).collect()}
     assert {k for k, v in got.items() if v} == {(1, i) for i in (0, 1, 2, 7, 8, 9, 10)} and len(got) == len(texts) + 1
     assert Counter(got.values())[True] == 7
+
+
+def test_places_sort_bounded_ranges(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from timeloom.operators import catalogue
+
+    monkeypatch.setattr(catalogue, "RANGE_ROWS", 50)
+    staged, real = [], catalogue.stage
+    monkeypatch.setattr(catalogue, "stage", lambda df: staged.append(df.rdd.glom().map(len).collect()) or real(df))
+    got = catalogue.places(spark.range(2_000).withColumn("x", F.col("id") % 7), F.desc("x"), F.col("id")).collect()
+    assert max(staged[0]) < 200
+    assert [r.id for r in sorted(got, key=lambda r: r.place)] == sorted(range(2_000), key=lambda i: (-(i % 7), i)) and {r.place for r in got} == set(range(1, 2_001))

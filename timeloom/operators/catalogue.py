@@ -12,6 +12,8 @@ from ..sources.tables import stage
 TEXTS = (("has_transcript", "transcript"), ("has_visual", "visual_description"), ("has_ocr", "ocr_text"))
 #: What a reset blanks.
 RESULTS = ("analyzed_at", "segment_count", "cost_usd", "pipeline_stage", "asr_model", "vlm_model", "embedding_model", "summary", "summary_model", "document_json", "document_type", "document_model")
+#: Rows, about, that a task sorts, and the bits of monotonically_increasing_id for the number in a partition.
+RANGE_ROWS, ID_BITS = 250_000, 33
 UNANALYZED = "status = 'pending' or (status = 'analyzing' and analyzed_at is null)"
 LIBRARY = "status in ('analyzed', 'failed') or (status = 'analyzing' and analyzed_at is not null)"
 
@@ -69,12 +71,14 @@ def library_places(videos: DataFrame, column: str = "analyzed_at", desc: bool =
 
 def places(rows: DataFrame, *order: Column) -> DataFrame:
     """Adds place: each row's number from 1 on in this order. Rows are numbered inside ranges of the order, and the rows before a
-    range are counted; no task has all of them."""
-    parted = stage(rows.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
+    range are counted. A range has about RANGE_ROWS rows, however many there are, and is sorted once."""
+    session = rows.sparkSession
+    n = max(int(session.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // RANGE_ROWS))
+    parted = stage(rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_row_", F.monotonically_increasing_id()))
+    parted = parted.select("*", F.shiftright("_row_", ID_BITS).alias("_p"), F.col("_row_").bitwiseAND((1 << ID_BITS) - 1).alias("_i")).drop("_row_")
     count = parted.groupBy("_p").agg(F.count("*").alias("_n"))
     before = count.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    number = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
-    return parted.withColumn("_i", number).join(F.broadcast(before), "_p").withColumn("place", F.col("_i") + F.col("_before")).drop("_p", "_i", "_before")
+    return parted.join(F.broadcast(before), "_p").withColumn("place", F.col("_i") + 1 + F.col("_before")).drop("_p", "_i", "_before")
 
 
 def modality_flags(segments: DataFrame) -> DataFrame:

@@ -24,7 +24,8 @@ def library_orders(spark, d):
     """Every video's place in the library by each key in both directions; some have no count and some no cost."""
     i = F.col("id")
     v = videos(spark, d).withColumns({"segment_count": F.when(i % 5 > 0, F.col("segment_count")), "cost_usd": F.when(i % 3 > 0, F.col("cost_usd"))})
-    each = [catalogue.library_places(v, c, w == "DESC").select(F.lit(f"{c} {w}").alias("sorted"), "id", "place") for c in _ORDERS for w in ("ASC", "DESC")]
+    own = lambda c: v.select("id", c, *(["created_at"] if c == "analyzed_at" else []))
+    each = [catalogue.library_places(own(c), c, w == "DESC").select(F.lit(f"{c} {w}").alias("sorted"), "id", "place") for c in _ORDERS for w in ("ASC", "DESC")]
     return reduce(DataFrame.unionByName, each)
 
 
