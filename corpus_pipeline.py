@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from timeloom.llm import languages, pii
 from timeloom.llm.common import load, materialize
+from timeloom.llm.components import components
 from timeloom.llm.near_copies import near_copies
 from timeloom.llm.packing import pack_documents
+from timeloom.llm.simhash import simhash_near_dups
 from timeloom.llm.substrings import substring_dedup
 
 #: A text of which no language has this share of the n-grams is in none of the known languages.
@@ -43,13 +45,22 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies stays: those that links of similarity 0.8 or more of their
-    sets of five-word shingles connect. A repeated row stays once; a row without an id stays if its group has no other."""
+    """The document with the smallest id of each group of near copies stays: those that links of operator 1's fingerprints connect, or links of similarity 0.8
+    or more of their sets of five-word shingles, which fingerprints alone don't all tell. A repeated row stays once; a row without an id stays if its group has no other."""
     rows, inner = _apart(docs)
     i, text = inner["doc_id"], inner["text"]
     whole = rows.withColumn("_key", F.xxhash64(i, text))
-    found = near_copies(whole, i, text, keep=("_key",))
-    first = found.where(F.col(i).eqNullSafe(F.col("component_id"))).select("_key").distinct()
+    prints = simhash_near_dups(whole, i, text, keep=("_key",)).select("_key", F.col("component_id").alias("_s")).distinct()
+    found = materialize(near_copies(whole, i, text, keep=("_key",)), "near")
+    # a group of either kind is a node, and each row connects its two groups
+    node = lambda kind, c: F.xxhash64(F.lit(kind), F.col(c), F.when(F.col(c).isNull(), F.col("_key")))
+    each = found.select("_key", F.col("component_id").alias("_g")).distinct()
+    edges = materialize(each.join(prints, "_key").select("_g", node(0, "_g").alias("a"), node(1, "_s").alias("b")).distinct(), "edges")
+    joined = edges.select("_g", "a").distinct().join(components(edges.select("a", "b").distinct()).withColumnRenamed("node", "a"), "a")
+    least = joined.groupBy("root").agg(F.min("_g").alias("_least"))
+    stays = joined.join(least, "root").where(F.col("_g").eqNullSafe(F.col("_least"))).select("a")
+    first = found.where(F.col(i).eqNullSafe(F.col("component_id"))).withColumn("_g", F.col("component_id"))
+    first = first.select("_key", node(0, "_g").alias("a")).distinct().join(stays, "a", "left_semi").select("_key").distinct()
     # texts move once, to their key; there repeated rows meet, too
     again = F.row_number().over(Window.partitionBy("_key", i, text).orderBy("_key"))
     return _back(whole.join(first, "_key", "left_semi").withColumn("_again", again).where("_again = 1"), inner)

@@ -80,3 +80,17 @@ def test_crowded_marks_by_tiles_and_rounds(spark, monkeypatch):
         monkeypatch.setattr(N, name, value)
     found = near_copies(docs.selectExpr("doc_id", "body", "doc_id * 2 as twice"), text_col="body", keep=("twice",)).collect()
     assert {r.doc_id: r.component_id for r in found} == expected(rows) and all(r.twice == 2 * r.doc_id for r in found)
+
+
+def test_stage_joins_the_links_of_fingerprints_and_of_shingles(spark, monkeypatch):
+    """A row goes if either operator, or both in turn, lead to a smaller id; null ids go behind others."""
+    from pyspark.sql import functions as F
+
+    ids = [1, 2, 3, 4, 5, None, None]
+    docs = spark.createDataFrame([(i, f"text {n}", "en", "src0", 6) for n, i in enumerate(ids)], SCHEMA)
+    of = lambda d, i, t, pairs: d.select(i, "_key", F.coalesce(*[F.when(F.col(t) == f"text {n}", F.lit(c)) for n, c in pairs.items()], F.col(i)).alias("component_id"))
+    monkeypatch.setattr(corpus_pipeline, "near_copies", lambda d, i, t, keep: of(d, i, t, {1: 1}))
+    monkeypatch.setattr(corpus_pipeline, "simhash_near_dups", lambda d, i, t, keep: of(d, i, t, {2: 2, 5: 4}))
+    kept = corpus_pipeline.without_near_copies(spark, docs, "")
+    assert sorted((x.doc_id, x.text) for x in kept.collect() if x.doc_id) == [(1, "text 0"), (4, "text 3"), (5, "text 4")]
+    assert [x.text for x in kept.collect() if x.doc_id is None] == ["text 6"]

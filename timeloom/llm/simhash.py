@@ -90,16 +90,17 @@ def simhash(texts: list[bytes], shingle: int = 3, seed: int = 42, part: int = PA
     return np.packbits(2 * ones > shingles[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(id_col, fp): the fingerprint as a signed 64-bit number."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id_col, keep, fp): the fingerprint as a signed 64-bit number; keep: other columns to be returned."""
+    own = [id_col, *keep]
 
     def run(batches):
         for b in text_slices(batches, text_col):
             fp = simhash(utf8_list(b.column(text_col)), shingle)
-            yield pa.record_batch([b.column(id_col), pa.array(fp.view(np.int64))], [id_col, "fp"])
+            yield pa.record_batch([*(b.column(c) for c in own), pa.array(fp.view(np.int64))], [*own, "fp"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, fp bigint")
+    kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in own)
+    return docs.select(*own, text_col).mapInArrow(run, f"{kinds}fp bigint")
 
 
 #: Lists of more fingerprints are crowded.
@@ -178,15 +179,15 @@ def link_fingerprints(distinct: DataFrame, max_bits: int = 2) -> DataFrame:
     return lists.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def simhash_near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 2) -> DataFrame:
-    """(id_col, fingerprint, component_id) for each row of docs.
+def simhash_near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 2, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id_col, keep, fingerprint, component_id) for each row of docs.
 
     fingerprint: 16 hex digits. component_id: the smallest id that is reachable by links, the row's own included.
     Null and empty texts and texts without words have fingerprint zero and link like any other; repeated rows and repeated
     ids stay, each with its own row; an empty table gives an empty result; other columns of docs, whatever their names, are
     not read. A null id is kept, never a component's smallest unless it stands alone.
     """
-    fp = materialize(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+    fp = materialize(fingerprints(docs, id_col, text_col, shingle, keep), "fingerprints")
     each = materialize(fp.groupBy("fp").agg(F.min(id_col).alias("least"), F.count("*").alias("n")), "distinct")
     roots = components(link_fingerprints(each.select("fp"), max_bits))
     linked = materialize(roots.join(each, roots.node == each.fp).select("fp", "root", "least"), "linked")
@@ -194,4 +195,4 @@ def simhash_near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     of = look_up(linked, groups, ["root"], "m", linked.count()).select("fp", "first")
     named = materialize(each.join(of, "fp", "left").select("fp", "n", F.coalesce("first", "least").alias("component_id")), "named")
     total = each.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    return look_up(fp, named, ["fp"], "n", total).select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return look_up(fp, named, ["fp"], "n", total).select(id_col, *keep, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
