@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from timeloom.operators import coverage, timeline
-from timeloom.operators.intervals import _cells, _level, overlap_join, points_inside
+from timeloom.operators.intervals import _cells, _level, overlap_join, points_inside, with_overlapping
+from timeloom.sources import adapters
 from timeloom.sources.tables import stage
 
 
@@ -51,3 +52,41 @@ def test_points(spark, closed):
     assert sorted(map(tuple, points_inside(li, g, "line_sec", closed=closed).collect())) == pairs
     got = coverage.lines_in_gaps(li, g, closed)
     assert got.columns == li.columns and sorted((x.video_id, x.line_sec) for x in got.collect()) == sorted({p[:2] for p in pairs})
+
+
+@pytest.mark.parametrize("left", [(0, 1, 11, 12), (1, 24, 400, 36_000), (5, -3)])
+@pytest.mark.parametrize("right", [(0, 3, 12, 13), (2, 191, 192, 193, 1_300, 2_000), (100_000, 7, -5)])
+def test_with_overlapping(spark, left, right):
+    r = random.Random(sum(left) + sum(right))
+    x, y = ranges(r, 80, left), ranges(r, 80, right)
+    a, b = (stage(spark.createDataFrame(rows, f"video_id int, {n} int, start_sec double, end_sec double")) for rows, n in ((x, "i"), (y, "j")))
+    pairs = [(p[1], q[1]) for p in x for q in y if p[0] is not None and p[0] == q[0] and q[2] < p[3] and q[3] > p[2]]
+    want = sorted(pairs + [(p[1], -1) for p in x if p[1] not in {i for i, _ in pairs}])
+    got = with_overlapping(a, b).select("i", F.coalesce("j", F.lit(-1)), "_level", "_home").collect()
+    assert sorted(g[:2] for g in got) == want and len({(g.i, g._level, g._home) for g in got}) == len(x)
+    assert sorted(g.i for g in with_overlapping(a, b.limit(0)).collect()) == list(range(80)) and with_overlapping(a.limit(0), b).isEmpty()
+
+
+def test_very_long_ranges_are_sent_to_homes_only(spark):
+    """A hundred that would each reach five million cells."""
+    scenes = stage(spark.range(10).select(F.lit(1).alias("video_id"), F.col("id").cast("int").alias("scene_idx"), (F.col("id") * 1e8).alias("start_sec"), (F.col("id") * 1e8 + 10).alias("end_sec")))
+    long = stage(spark.range(100).select(F.lit(1).alias("video_id"), F.col("id").alias("j"), F.lit(0.0).alias("start_sec"), F.lit(1e9).alias("end_sec")))
+    assert with_overlapping(scenes, long).count() == 1000
+
+
+def test_alignment_deals_each_side_once(spark, capsys):
+    """What finds a scene's utterances also groups them: no scene is copied to other levels, and no pair is dealt again."""
+    scenes = stage(spark.range(3000).select((F.col("id") % 7).alias("video_id"), F.col("id").alias("scene_idx"), (F.col("id") * 10.0).alias("start_sec"), (F.col("id") * 10.0 + 10).alias("end_sec")))
+    u = spark.range(3000).select((F.col("id") % 7).alias("video_id"), (F.col("id") * 10.0).alias("start_sec"), (F.col("id") * 10.0 + 1 + F.col("id") % 300).alias("end_sec"), F.lit("a").alias("text"), F.lit(0.5).alias("no_speech_prob"), F.lit(0.5).alias("avg_logprob"), F.lit(1.0).alias("compression_ratio"))
+    found = timeline.align_transcript(scenes, stage(u))
+    capsys.readouterr()
+    found.explain()
+    plan = capsys.readouterr().out
+    assert plan.count("Exchange") == 2 and "Window" not in plan
+    assert found.count() == 3000 and found.columns == [*scenes.columns, "transcript", "no_speech_prob", "avg_logprob", "compression_ratio"]
+
+
+def test_timeline_deals_events_once(spark, data, capsys):
+    capsys.readouterr()
+    adapters.timeline(spark, data).explain()
+    assert capsys.readouterr().out.count("Exchange") == 1

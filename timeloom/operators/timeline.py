@@ -9,7 +9,7 @@ from ..functions.text import dominant_word, has_text, nfkc
 from ..functions.times import sample_times
 from ..sources.tables import look_up, stage
 from .folds import ordered_fold
-from .intervals import overlap_join
+from .intervals import with_overlapping
 from .ordered import has_hot_key, previous, ranged, running, unranged
 
 MERGE_BELOW, SPLIT_ABOVE, SPLIT_TARGET = 8.0, 12.0, 10.0
@@ -96,10 +96,14 @@ def align_transcript(scenes: DataFrame, utterances: DataFrame, width: float = CE
     """scenes (video_id, scene_idx, start_sec, end_sec) with transcript: the texts of all overlapping utterances in their order, joined
     by a space ('' without any), and their mean no_speech_prob and avg_logprob and highest compression_ratio; width: about a scene's."""
     u = utterances.select("video_id", "start_sec", "end_sec", "text", "no_speech_prob", "avg_logprob", "compression_ratio", F.monotonically_increasing_id().alias("_n"))
-    pairs = overlap_join(scenes.select("video_id", "scene_idx", "start_sec", "end_sec"), u, width=width)
-    texts = F.transform(F.array_sort(F.collect_list(F.struct("r_start", "r_end", "_n", "text"))), lambda x: x["text"])
-    of = pairs.groupBy("video_id", "scene_idx").agg(F.trim(F.array_join(texts, " ")).alias("transcript"), F.avg("no_speech_prob").alias("no_speech_prob"), F.avg("avg_logprob").alias("avg_logprob"), F.max("compression_ratio").alias("compression_ratio"))
-    return scenes.join(of, ["video_id", "scene_idx"], "left").withColumn("transcript", F.coalesce("transcript", F.lit("")))
+    times = ("video_id", "start_sec", "end_sec")
+    rows = scenes.select(*times, F.struct(*[c for c in scenes.columns if c not in times]).alias("_own"), F.monotonically_increasing_id().alias("_row"))
+    said = F.when(F.col("r_start").isNotNull(), F.struct("r_start", "r_end", "_n", "text"))
+    texts = F.transform(F.array_sort(F.collect_list(said)), lambda x: x["text"])
+    of = with_overlapping(rows, u, width=width).groupBy("video_id", "_level", "_home", "_row")
+    found = of.agg(F.first(F.struct("start_sec", "end_sec", "_own")).alias("_scene"), F.trim(F.array_join(texts, " ")).alias("transcript"), F.avg("no_speech_prob").alias("no_speech_prob"), F.avg("avg_logprob").alias("avg_logprob"), F.max("compression_ratio").alias("compression_ratio"))
+    found = found.select("video_id", "_scene.*", "transcript", "no_speech_prob", "avg_logprob", "compression_ratio")
+    return found.select(*[c if c in times else F.col(f"_own.{c}").alias(c) for c in scenes.columns], "transcript", "no_speech_prob", "avg_logprob", "compression_ratio")
 
 
 def is_hallucinated(no_speech_prob: Column, most: float = NO_SPEECH) -> Column:

@@ -356,8 +356,9 @@ FROM s LEFT JOIN tl ON tl.video_id = s.video_id AND start_sec < b AND end_sec >
 )
 def interval_align(spark, d):
     """The event types that overlap each stretch of six hours of each user."""
-    t = adapters.timeline(spark, d)
-    scenes = t.select("video_id").distinct().select("video_id", F.explode(F.sequence(F.lit(0), F.lit(119))).alias("scene_idx"))
+    of_user = F.row_number().over(Window.partitionBy("video_id").orderBy("ts", "event_id"))
+    t = stage(adapters.timeline(spark, d).select("video_id", "start_sec", "end_sec", "word", "value", (of_user == 1).alias("is_first")))
+    scenes = t.where("is_first").select("video_id", F.explode(F.sequence(F.lit(0), F.lit(119))).alias("scene_idx"))
     scenes = scenes.select("video_id", "scene_idx", (F.col("scene_idx") * 21600.0).alias("start_sec"), ((F.col("scene_idx") + 1) * 21600.0).alias("end_sec"))
     u = t.select("video_id", "start_sec", "end_sec", F.col("word").alias("text"), F.col("value").alias("no_speech_prob"), F.col("value").alias("avg_logprob"), F.col("value").alias("compression_ratio"))
     out = timeline.align_transcript(scenes, u, width=21600.0)

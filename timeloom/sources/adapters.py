@@ -37,11 +37,12 @@ def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events by user as scenes: (video_id, scene_idx, start_sec, end_sec, word, value), each until the user's next event, in seconds
     since the user's first one."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    first = F.min(F.col("ts").cast("timestamp")).over(Window.partitionBy("user_id"))
+    w = Window.partitionBy("video_id").orderBy("ts", "event_id")
+    first = F.min(F.col("ts").cast("timestamp")).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 - F.unix_micros(first) / 1e6
-    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("video_id"), (F.row_number().over(w) - 1).alias("scene_idx"), at.alias("start_sec"), F.col("event_type").alias("word"), "value", "ts", "event_id")
-    return rows.withColumn("end_sec", F.lead("start_sec").over(Window.partitionBy("video_id").orderBy("ts", "event_id"))).where("end_sec > start_sec")
+    events = table(spark, sf_dir, "events").withColumn("video_id", F.col("user_id"))  # all windows are over this one column, so rows are dealt and sorted once
+    rows = events.select("video_id", (F.row_number().over(w) - 1).alias("scene_idx"), at.alias("start_sec"), F.col("event_type").alias("word"), "value", "ts", "event_id")
+    return rows.withColumn("end_sec", F.lead("start_sec").over(w)).where("end_sec > start_sec")
 
 
 def videos(spark: SparkSession, sf_dir: str) -> DataFrame:
