@@ -80,6 +80,37 @@ def test_writers_at_the_same_time_lose_nothing(spark, path):
     assert not snapshots._publish(spark, path, 6, {}) and snapshots._versions(spark, path)[-1] == 6
 
 
+class _Meeting:
+    """A session whose user waits for the other writers at each turn to the JVM, the last time before its draft."""
+
+    def __init__(self, spark, barrier):
+        self.spark, self.barrier = spark, barrier
+
+    def __getattr__(self, name):
+        if name == "_jvm":
+            self.barrier.wait()
+        return getattr(self.spark, name)
+
+
+def test_a_number_is_given_once(spark, path, tmp_path):
+    """To the one whose manifest is there, which can be read; on a local file system the checksum of another's draft could come to lie beside it."""
+    n, versions, won = 6, range(1, 101), {}
+    barrier = threading.Barrier(n, timeout=60)
+
+    def write(i):
+        for v in versions:
+            won[v, i] = snapshots._publish(_Meeting(spark, barrier), path, v, {"by": i, "more": "x" * i})
+
+    todo = [threading.Thread(target=write, args=(i,)) for i in range(n)]
+    for t in todo:
+        t.start()
+    for t in todo:
+        t.join(120)
+    for v in versions:
+        assert [i for i in range(n) if won[v, i]] == [snapshots._manifest(spark, path, v)["by"]]
+    assert sorted(f.name for f in (tmp_path / "table" / "manifests").iterdir()) == [f"{v:012d}.json" for v in versions]
+
+
 def test_a_batch_counts_once(spark, path):
     one = rows(spark, (1, 1, "a"))
     assert [commit(one, path, "video_id", batch=b) for b in ("x:0", "x:0", "x:1", "x:0")] == [1, 1, 2, 2]

@@ -1,4 +1,4 @@
-"""Tables of immutable files whose versions are published by one rename.
+"""Tables of immutable files whose versions are published by one rename (on a local file system by one hard link).
 
 A table is a folder with `data` (a folder for each commit), `keys` (the keys whose earlier rows a commit replaces) and `manifests`. Manifest number v lists the commits
 that make up version v. A commit writes its files first, then its manifest under another name, and renames it to the next number; if somebody else has taken that
@@ -11,6 +11,7 @@ A row is in a version if no later commit of it replaces its key. A replaced key
 from __future__ import annotations
 
 import json
+import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,6 +52,14 @@ def _publish(spark: SparkSession, path: str, version: int, manifest: dict) -> bo
     out.write(bytearray(json.dumps(manifest).encode()))
     out.close()
     target = jvm.org.apache.hadoop.fs.Path(f"{path}/manifests/{version:012d}.json")
+    if fs.getUri().getScheme() == "file":  # there a rename looks first, and then moves the file and its checksum one after the other
+        try:
+            os.link(draft.toUri().getPath(), target.toUri().getPath())
+            return True
+        except FileExistsError:
+            return False
+        finally:
+            fs.delete(draft, False)
     files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(draft.toUri(), spark._jsc.hadoopConfiguration())
     none = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
     try:
