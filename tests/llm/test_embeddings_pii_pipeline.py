@@ -213,6 +213,14 @@ def test_long_runs_of_digits(spark, field):
     assert {r.doc_id: [tuple(s) for s in r.base] for r in got} == {0: [("ip", 0, 5006)], 1: by_patterns(odd[1]), 2: [], 3: [], 4: by_patterns(odd[4])}
 
 
+def test_spans_that_are_no_addresses(field):
+    """What the field calls an address may be any text with three dots; its parts are numbers, or it is none."""
+    assert pii._valid("ip", "0192.168.0.255") and pii._valid("ip", "0" * 5000 + ".1.1.1")
+    assert not any(pii._valid("ip", s) for s in ("ip.1.2.3", "255.)..168", "1.2.3.", "1 .2.3.4", "-1.2.3.4", "1_0.2.3.4", "\u0661.2.3.4", "\u00b2.1.1.1", "1.2.3.256", "1.2.3", "1.2.3.4.5"))
+    odd = ["-.\u00b2@ .192.+ dota1\u2013\xa0-0192%%/at\u2013dot", "\u2013-,\u00bd@ 255.)..168dot12. ", "+... version\u0663123v-123+.\u00b2@1..\u2013", "255. %x.12.comdot+2551234\u0663+dot168168"]
+    assert [pii.added_spans(field, [t], [pii.base_spans(t)])[0] for t in odd] == [[]] * 4
+
+
 def test_gain_on_other_notations(field):
     """A labelled set that the training's templates don't make: what the field adds to the patterns."""
     r = random.Random(12)

@@ -40,8 +40,9 @@ def luhn(digits: str) -> bool:
 
 def _valid(kind: str, s: str) -> bool:
     if kind == "ip":
-        parts = [p.lstrip("0") for p in s.split(".")]  # of any length before that
-        return len(parts) == 4 and all(len(p) <= 3 and int(p or 0) <= 255 for p in parts)
+        parts = s.split(".")  # of the field's spans they may be any text
+        short = [p.lstrip("0") for p in parts if p.isascii() and p.isdigit()]  # of any length before that
+        return len(parts) == len(short) == 4 and all(len(p) <= 3 and int(p or 0) <= 255 for p in short)
     digits = "".join(_DIGITS.findall(s))
     if kind == "card":
         return 12 <= len(digits) <= 19 and luhn(digits)
