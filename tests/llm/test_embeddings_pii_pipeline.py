@@ -308,6 +308,16 @@ def test_stages(docs, no_docs, spark, texts):
     assert stages["best-fit packing"](spark, docs, "").count() >= len(texts)
 
 
+def test_personal_data_stage_on_texts_of_dots(spark, docs):
+    """Texts of which the field takes parts for addresses that aren't numbers go through the stage as they are."""
+    odd = [(1, "-.\u00b2@ .192.+ dota1\u2013\xa0-0192%%/at\u2013dot"), (2, "255. %x.12.comdot+2551234\u0663+dot168168"), (3, "at 10.0.0.255 now")]
+    rows = spark.createDataFrame([(i, t, "en", "src0", len(t)) for i, t in odd], docs.schema)
+    stages = dict(corpus_pipeline.STAGES)
+    masked = stages["PII"](spark, rows, "")
+    assert {r.doc_id: r.text for r in masked.collect()} == {1: odd[0][1], 2: odd[1][1], 3: "at <IP> now"}
+    assert stages["best-fit packing"](spark, masked, "").count() == 3
+
+
 CLASHING = ("score", "lang_pred", "n_words", "n_removed", "kept_text", "base", "spans", "masked", "_key", "_again", "k", "marks", "component_id", "block")
 
 
