@@ -241,3 +241,16 @@ def test_url_models_learn_from_all_rows_in_bounded_cells(spark):
     assert model.accepted.seen[1].max() == learned and model.threshold == 0
     small = U.train(rows, cells=256)
     assert len(small.accepted.joint[0]) <= 256 and small.accepted.joint[1].sum() == model.accepted.joint[1].sum() == 6 * learned
+
+
+def test_url_verdicts_by_slices_are_those_of_whole_models(spark):
+    """Models of more counts than a task may hold pass by in slices; no count is merged with another."""
+    from timeloom.llm import urls as U
+
+    odd = spark.createDataFrame([(-1, None), (-2, ""), (-3, "x"), (-4, "http://\u00e9.ORG/fr/\u00e9")], "page_id bigint, url string")
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "url").union(odd).repartition(3)
+    want = {r.page_id: r for r in judge_urls(pages).collect()}
+    for cells in (1 << 9, 1 << 8):
+        got = judge_urls(pages, cells=cells).collect()
+        assert len(got) == len(want) and all(tuple(r)[:5] == tuple(want[r.page_id])[:5] and abs(r.difference - want[r.page_id].difference) < 1e-12 for r in got)
+    assert want[-1].difference == want[-2].difference == 0
