@@ -250,7 +250,7 @@ def test_url_verdicts_by_slices_are_those_of_whole_models(spark):
     odd = spark.createDataFrame([(-1, None), (-2, ""), (-3, "x"), (-4, "http://\u00e9.ORG/fr/\u00e9")], "page_id bigint, url string")
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "url").union(odd).repartition(3)
     want = {r.page_id: r for r in judge_urls(pages).collect()}
-    for cells in (1 << 9, 1 << 8):
+    for cells in (1 << 9, 1 << 7):  # orders share slices; orders are parted
         got = judge_urls(pages, cells=cells).collect()
         assert len(got) == len(want) and all(tuple(r)[:5] == tuple(want[r.page_id])[:5] and abs(r.difference - want[r.page_id].difference) < 1e-12 for r in got)
     assert want[-1].difference == want[-2].difference == 0
